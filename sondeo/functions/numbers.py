@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sondeo.functions import vocabulary as V
-from sondeo.functions.text import is_placeholder
 
 
 def is_numeric_type(dtype: T.DataType) -> bool:
@@ -23,30 +22,33 @@ def _magnitude(body: Column) -> Column:
     )
 
 
+# Shapes of a bare number in which the last separator is the decimal mark.
+DECIMAL_SHAPES = "|".join((
+    r"^[^,]*\.[^,]*,[^.,]*$",              # 1.234,56
+    r"^[^.]*,[^.]*\.[^.,]*$",              # 1,234.56
+    r"^[^.,]*,[^.,]{0,2}$",                # 1,5
+    r"^[^.,]*\.(?:[^.,]{0,2}|[^.,]{4,})$", # 1.5 and 1.2345
+    r"^[^,]*\.[^,]*\.[^.,]{0,2}$",         # 1.234.56
+))
+# Both separators, the last kind repeated: no reading makes sense.
+MUDDLED_SHAPES = r"^(?=.*\.)(?=.*,.*,).*,[^.,]*$|^(?=.*,)(?=.*\..*\.).*\.[^.,]*$"
+UNIT_WORDS = rf"{V.BILLION_WORDS}|\b(?:mm|millones?)\b|(?<=\d)\s*m\b|{V.THOUSAND_WORDS}|{V.CURRENCY_WORDS}"
+
+
 def _settle_separators(s: Column) -> Column:
     """Decide which of ``,`` and ``.`` is the decimal mark, by position and last-group length."""
-    no_commas, no_dots = F.replace(s, F.lit(",")), F.replace(s, F.lit("."))
-    backwards = F.reverse(s)
-    comma_last = F.instr(backwards, ",") < F.instr(backwards, ".")
+    last_only = F.translate(F.regexp_replace(s, r"[.,](?=.*[.,])", ""), ",", ".")
     return (
-        F.when(
-            s.contains(",") & s.contains("."),
-            F.when(comma_last, F.translate(no_dots, ",", ".")).otherwise(no_commas),
-        )
-        .when(s.rlike(r"^[^,]*,[^,]{0,2}$"), F.translate(s, ",", "."))
-        .when(s.contains(","), no_commas)
-        .when(s.rlike(r"^[^.]*\.[^.]{3}$"), no_dots)
-        .when(s.rlike(r"\..*\.[^.]{0,2}$"), F.regexp_replace(s, r"\.(?=.*\.)", ""))
-        .when(s.rlike(r"\..*\."), no_dots)
-        .otherwise(s)
+        F.when(s.rlike(DECIMAL_SHAPES), last_only)
+        .when(s.rlike(MUDDLED_SHAPES), F.lit(None))
+        .otherwise(F.translate(s, ",.", ""))
     )
 
 
-def _reads_as_number(body: Column) -> Column:
+def _reads_as_number(text: Column) -> Column:
     """True when nothing but digits, separators, signs and unit words is left in the text."""
-    units = rf"{V.BILLION_WORDS}|\b(?:mm|millones?)\b|(?<=\d)\s*m\b|{V.THOUSAND_WORDS}|{V.CURRENCY_WORDS}"
-    rest = F.regexp_replace(body, rf"{units}|\b(?:us|col?)?\$", "")
-    return rest.rlike(r"^[\s$€£¥]*[+-]?[\s$€£¥]*[.,]?\d[\d\s.,']*[\s$€£¥%.]*$")
+    rest = F.regexp_replace(text, rf"{UNIT_WORDS}|\b(?:us|col?)?\$", "")
+    return rest.rlike(r"^[\s$€£¥]*[+-]*[\s$€£¥]*[.,]?\d[\d\s.,']*[\s$€£¥%.]*$")
 
 
 def parse_number(c: Column, strict: bool = False, zero_is_null: bool = False) -> Column:
@@ -55,23 +57,19 @@ def parse_number(c: Column, strict: bool = False, zero_is_null: bool = False) ->
     Understands both decimal conventions, parentheses and three dash glyphs for negatives,
     currency words, and the multipliers mil / millones / mil millones. ``strict`` refuses
     text that merely contains digits (``Calle 10``, ``2024-01-15``, ``Brand#4``).
-    """
-    text = F.trim(F.translate(F.lower(c), " ", " "))
-    dashes = F.translate(text, "−–—", "---")
-    inner = F.regexp_replace(dashes, r"^\(\s*(.*?)\s*\)$", "$1")
-    negative = text.rlike(r"^\(.*\)$") | inner.startswith("-")
-    body = F.regexp_replace(inner, r"^-\s*", "")
-    kept = F.regexp_replace(F.regexp_replace(body, V.CURRENCY_WORDS, ""), r"[^0-9,.\-]", "")
-    digits = _settle_separators(F.regexp_replace(kept, r"(?<!^)-", ""))
-    signed = F.when(negative & ~digits.startswith("-"), F.concat(F.lit("-"), digits)).otherwise(digits)
-    value = signed.try_cast("double") * _magnitude(body)
 
-    # Most cells are already plain; settle those without the regex ladder.
-    plain = text.rlike(r"^-?\d{1,15}(\.\d{1,2})?$")
-    readable = kept.rlike(r"\d") & ~is_placeholder(text)
+    Every step refers to the one before it once, so the expression stays small enough for
+    whole-stage code generation.
+    """
+    text = F.trim(F.translate(F.lower(c), "\u00a0−–—", " ---"))
+    signed = F.regexp_replace(text, r"^\(\s*(.*?)\s*\)$", "-$1")
+    kept = F.regexp_replace(F.regexp_replace(signed, V.CURRENCY_WORDS, ""), r"[^0-9,.\-]", "")
+    digits = F.regexp_replace(kept, r"(?<!^)-", "")
+    value = _settle_separators(digits).try_cast("double") * _magnitude(signed)
     if strict:
-        readable = readable & _reads_as_number(body)
-    parsed = F.when(plain, text.try_cast("double")).when(readable, value)
+        value = F.when(_reads_as_number(signed), value)
+    # Most cells are already plain; settle those without the regex ladder.
+    parsed = F.when(text.rlike(r"^-?\d{1,15}(\.\d{1,2})?$"), text.try_cast("double")).otherwise(value)
     return F.when(text != "0", parsed) if zero_is_null else parsed
 
 

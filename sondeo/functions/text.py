@@ -20,10 +20,10 @@ def is_placeholder(c: Column, zero: bool = False) -> Column:
     return c.isNull() | F.lower(F.trim(as_text(c))).isin(words)
 
 
-def clean_category(c: Column) -> Column:
-    """Trimmed label, NULL when it is a placeholder."""
+def clean_category(c: Column, zero: bool = False) -> Column:
+    """Trimmed label, NULL when it is a placeholder (a ``0`` only with ``zero=True``)."""
     trimmed = F.trim(as_text(c))
-    return F.when(~is_placeholder(trimmed, zero=True), trimmed)
+    return F.when(~is_placeholder(trimmed, zero), trimmed)
 
 
 def fold_accents(c: Column) -> Column:
