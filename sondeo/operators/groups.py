@@ -43,6 +43,20 @@ def totals_and_counts(df: DataFrame, label: str, amount: Column, counted: str) -
     )
 
 
+def category_totals(df: DataFrame, categories: list[str], amounts: dict[str, Column]) -> DataFrame:
+    """(column, label, n, <one sum per amount>): every categorical column in a single scan.
+
+    Rows fan out to one per column inside the task and collapse again in its partial
+    aggregation, so the shuffle carries labels, not rows. Sums are named ``s0``, ``s1``, ...
+    """
+    fan = F.array(*[F.struct(F.lit(c).alias("column"), clean_category(F.col(f"`{c}`")).alias("label")) for c in categories])
+    sums = [f"s{i}" for i in range(len(amounts))]
+    rows = df.select(*[a.alias(s) for a, s in zip(amounts.values(), sums)], F.inline(fan))
+    return rows.where("label IS NOT NULL").groupBy("column", "label").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(s) for s in sums]
+    )
+
+
 def report_groups(df: DataFrame, label: str, amount: Column | None = None) -> DataFrame:
     """Counts, or totals of ``amount``, per cleaned report label; noise labels left out."""
     text = clean_text(F.col(label))

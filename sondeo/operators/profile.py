@@ -19,6 +19,7 @@ from sondeo.functions import vocabulary as V
 from sondeo.functions.numbers import number_view
 from sondeo.operators.money import MIN_RESOLVED, money_view, resolution_aggregates
 from sondeo.operators.quantiles import exact_quantiles
+from sondeo.session import local_table
 
 PROFILE_SCHEMA = """
     source string, column string, ord int, role string, kind string, importance int,
@@ -247,7 +248,7 @@ def profile_table(df: DataFrame, source: str, profiles: list[ColumnProfile] | No
          p.stats, round(p.resolved_ratio, 3), p.currencies, p.unresolved_rows, p.trusted)
         for p in profiles
     ]
-    return df.sparkSession.createDataFrame(rows, PROFILE_SCHEMA)
+    return local_table(df.sparkSession, rows, PROFILE_SCHEMA)
 
 
 def shape_types(df: DataFrame, order_by: list[str] | None = None, sample_rows: int | None = None) -> DataFrame:

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A group of rows that one task may sort or hold. Checked by counting, never assumed.
 SINGLE_TASK_ROWS = 2_000_000
@@ -43,3 +46,20 @@ def durable(df: DataFrame) -> DataFrame:
 def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
     """Has ``df`` at most ``limit`` rows? (A Parquet source answers from its footers.)"""
     return df.count() <= (SINGLE_TASK_ROWS if limit is None else limit)
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A metadata-sized table (a row per column, sheet or chart), held in the plan itself."""
+    struct = T.StructType.fromDDL(schema)
+    records = [dict(zip(struct.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, to_arrow_schema(struct)), struct)
+
+
+def settle(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """Compute a report-sized table once, for the several statements that read it.
+
+    Such a table (labels of categorical columns, periods, outlier columns) is a few rows
+    however long its input. Its size is checked: a larger one goes to the checkpoint folder.
+    """
+    table = df.limit(limit + 1).toArrow()
+    return df.sparkSession.createDataFrame(table, df.schema) if table.num_rows <= limit else durable(df)
