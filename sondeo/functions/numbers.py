@@ -32,6 +32,11 @@ DECIMAL_SHAPES = "|".join((
 ))
 # Both separators, the last kind repeated: no reading makes sense.
 MUDDLED_SHAPES = r"^(?=.*\.)(?=.*,.*,).*,[^.,]*$|^(?=.*,)(?=.*\..*\.).*\.[^.,]*$"
+# Fails at the first foreign letter, so prose costs next to nothing.
+NUMBER_ALPHABET = (
+    r"^(?:[\s\d.,'$€£¥%()+\-]++|(?:us|col?)\$|(?:mil|mm|m|k|bn|millon(?:es)?|billon(?:es)?|cop|usd|eur|"
+    r"pesos?|dolares?|moneda|aprox|aproximado|estimado)\b)*+$"
+)
 UNIT_WORDS = rf"{V.BILLION_WORDS}|\b(?:mm|millones?)\b|(?<=\d)\s*m\b|{V.THOUSAND_WORDS}|{V.CURRENCY_WORDS}"
 
 
@@ -67,7 +72,7 @@ def parse_number(c: Column, strict: bool = False, zero_is_null: bool = False) ->
     digits = F.regexp_replace(kept, r"(?<!^)-", "")
     value = _settle_separators(digits).try_cast("double") * _magnitude(signed)
     if strict:
-        value = F.when(_reads_as_number(signed), value)
+        value = F.when(text.rlike(NUMBER_ALPHABET), F.when(_reads_as_number(signed), value))
     # Most cells are already plain; settle those without the regex ladder.
     parsed = F.when(text.rlike(r"^-?\d{1,15}(\.\d{1,2})?$"), text.try_cast("double")).otherwise(value)
     return F.when(text != "0", parsed) if zero_is_null else parsed

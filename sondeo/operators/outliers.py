@@ -28,13 +28,13 @@ def outliers(
     df: DataFrame,
     columns: dict[str, Column],
     quartiles: dict[str, list[float | None]] | None = None,
-    single_task_values: int | None = None,
+    sortable_values: int | None = None,
 ) -> DataFrame:
     """One row per column that has outliers; columns with fewer than eight values are skipped.
 
     Fences are a pair of numbers per column, so they enter the second pass as literals.
     """
-    quartiles = quartiles or exact_quantiles(df, columns, (0.25, 0.75), single_task_values)
+    quartiles = quartiles or exact_quantiles(df, columns, (0.25, 0.75), sortable_values=sortable_values)
     bounds = fences(quartiles)
     if not bounds:
         return df.sparkSession.createDataFrame([], SCHEMA)
@@ -62,7 +62,7 @@ def outliers(
     # column before the shuffle (WindowGroupLimit), so no task receives a whole column.
     cells = F.array(*[F.when(outside(i), F.struct(F.lit(name).alias("column"), F.col(f"v{i}").alias("value"))) for i, name in enumerate(names)])
     largest = (
-        views.select(F.inline(F.filter(cells, lambda cell: cell.isNotNull())))
+        views.select(F.inline(cells)).where("column IS NOT NULL")
         .withColumn("place", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("value"))))
         .where(F.col("place") <= EXAMPLES)
         .groupBy("column")

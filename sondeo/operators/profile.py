@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from sondeo.functions import names
 from sondeo.functions import vocabulary as V
-from sondeo.functions.numbers import number_view
-from sondeo.operators.money import MIN_RESOLVED, money_view, resolution_aggregates
+from sondeo.functions.numbers import parse_simple_number
+from sondeo.functions.text import compact_key
+from sondeo.operators.money import MIN_RESOLVED, money_view
 from sondeo.operators.quantiles import exact_quantiles
 from sondeo.session import local_table
 
@@ -29,6 +30,11 @@ PROFILE_SCHEMA = """
     resolved_ratio double, currencies array<string>, unresolved_rows bigint, trusted boolean
 """
 
+NUMERIC_SCHEMA = """
+    column string, n bigint, n_missing bigint, total double, mean double, median double,
+    min double, max double, std double, q1 double, q3 double
+"""
+
 SKETCH_ERROR = 0.02
 SKETCH_MARGIN = 0.2          # ten standard errors of the sketch
 CHEAP_DISTINCT = 100_000     # below this, exact counting collapses before the shuffle
@@ -66,28 +72,19 @@ def profilable(df: DataFrame) -> list[str]:
     return [c for c in plain if not names.is_generic(c)]
 
 
-def numeric_profile(df: DataFrame, columns: list[str], strict: bool = True, single_task_values: int | None = None) -> DataFrame:
+def numeric_profile(df: DataFrame, columns: list[str], strict: bool = True, sortable_values: int | None = None) -> DataFrame:
     """(column, n, n_missing, total, mean, median, min, max, std, q1, q3) for the given columns."""
-    views = {c: money_view(df, c, strict).converted for c in columns}
-    quartiles = exact_quantiles(df, views, single_task_values=single_task_values)
-    one = df.agg(F.count(F.lit(1)).alias("n_rows"), *[_basic(v).alias(f"s{i}") for i, v in enumerate(views.values())])
+    slots = {c: F.col(f"v{i}") for i, c in enumerate(columns)}
+    views = df.select(*[money_view(df, c, strict).converted.alias(f"v{i}") for i, c in enumerate(columns)])
+    facts = views.agg(F.count(F.lit(1)).alias("n_rows"), *[_basic(v).alias(c) for c, v in slots.items()]).first()
+    told = {c: (facts[c]["n"], facts[c]["min"], facts[c]["max"]) for c in columns}
+    quartiles = exact_quantiles(views, slots, facts=told, sortable_values=sortable_values)
     rows = []
-    for i, name in enumerate(views):
-        s, (q1, median, q3) = F.col(f"s{i}"), quartiles[name]
-        rows.append(F.struct(
-            F.lit(name).alias("column"),
-            s["n"].alias("n"),
-            (F.col("n_rows") - s["n"]).alias("n_missing"),
-            s["total"].alias("total"),
-            s["mean"].alias("mean"),
-            F.lit(median).cast("double").alias("median"),
-            s["min"].alias("min"),
-            s["max"].alias("max"),
-            s["std"].alias("std"),
-            F.lit(q1).cast("double").alias("q1"),
-            F.lit(q3).cast("double").alias("q3"),
-        ))
-    return one.select(F.inline(F.array(*rows))).where("n >= 2")
+    for c in columns:
+        s, (q1, median, q3) = facts[c], quartiles[c]
+        if s["n"] >= 2:
+            rows.append((c, s["n"], facts["n_rows"] - s["n"], s["total"], s["mean"], median, s["min"], s["max"], s["std"], q1, q3))
+    return local_table(df.sparkSession, rows, NUMERIC_SCHEMA)
 
 
 def _basic(v: Column) -> Column:
@@ -116,8 +113,14 @@ def exact_where_it_matters(df: DataFrame, sketched: dict[str, tuple[Column, int,
     recount = {name: expr for name, (expr, estimate, n) in sketched.items() if decides(estimate, n)}
     counts = {name: estimate for name, (_, estimate, _) in sketched.items()}
     if recount:
-        exact = df.agg(*[F.count_distinct(expr).alias(f"d{i}") for i, expr in enumerate(recount.values())]).first()
-        counts.update(zip(recount, exact))
+        # Compared by 128 bits of hash, so that long texts are not shuffled whole.
+        prints = F.array(*[
+            F.when(expr.isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(expr).alias("a"), F.xxhash64(F.lit("sondeo"), expr).alias("b")))
+            for i, expr in enumerate(recount.values())
+        ])
+        cells = df.select(F.inline(prints)).where("i IS NOT NULL").groupBy("i", "a", "b").count()
+        exact = {r["i"]: r["n"] for r in cells.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+        counts.update({name: exact.get(i, 0) for i, name in enumerate(recount)})
     return counts
 
 
@@ -154,7 +157,7 @@ def profile_columns(
     df: DataFrame,
     order_by: list[str] | None = None,
     strict: bool = True,
-    single_task_values: int | None = None,
+    sortable_values: int | None = None,
 ) -> list[ColumnProfile]:
     """Role, importance and statistics of every column, most important first.
 
@@ -162,31 +165,25 @@ def profile_columns(
     test is left out. ``strict=False`` lets any text with a digit count as a number.
     """
     columns = profilable(df)
-    types = {c: df.schema[c].dataType for c in columns}
     views = {c: money_view(df, c, strict) for c in columns}
-    raw = {c: F.col(f"`{c}`") for c in columns}
-    texts = {c: raw[c].cast("string") for c in columns if not isinstance(types[c], T.NumericType)}
-
-    facts = df.agg(F.count(F.lit(1)).alias("n_rows"), *[
-        F.struct(
-            F.count(raw[c]).alias("n_filled"),
-            F.count(views[c].amount).alias("n_numbers"),
-            _basic(views[c].converted).alias("basic"),
-            *[a.alias(k) for k, a in resolution_aggregates(views[c]).items() if views[c].currency_column],
-            *([F.approx_count_distinct(texts[c], SKETCH_ERROR).alias("sketch")] if c in texts else []),
-        ).alias(f"c{i}")
-        for i, c in enumerate(columns)
-    ]).first()
+    numbers = {c: isinstance(df.schema[c].dataType, T.NumericType) for c in columns}
+    # Projected first, so each text is parsed once however many aggregates read the number.
+    staged = df.select(*(order_by or []), *[e.alias(f"{k}{i}") for i, c in enumerate(columns) for k, e in _cell_views(views[c], numbers[c]).items()])
+    slot = {c: {k: F.col(f"{k}{i}") for k in _cell_views(views[c], numbers[c])} for i, c in enumerate(columns)}
+
+    facts = staged.agg(F.count(F.lit(1)).alias("n_rows"), *[_cell_facts(slot[c], views[c]).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     known = {c: facts[f"c{i}"] for i, c in enumerate(columns) if facts[f"c{i}"]["n_filled"]}
-    numeric = [c for c in known if known[c]["n_numbers"] / known[c]["n_filled"] >= 0.6]
+    numeric = [c for c in known if known[c]["n_amounts"] / known[c]["n_filled"] >= 0.6]
     textual = [c for c in known if c not in numeric]
 
-    measured = {c: views[c].converted for c in numeric if known[c]["basic"]["n"] >= 2}
-    quartiles = exact_quantiles(df, measured, single_task_values=single_task_values)
-    heads = first_whole_values(
-        df, measured, {c: known[c]["basic"]["n_whole"] for c in measured}, order_by
-    ) if order_by else {}
-    distinct = exact_where_it_matters(df, {c: (texts[c], known[c]["sketch"], known[c]["n_filled"]) for c in textual})
+    basics = {c: known[c]["basic"] for c in numeric if known[c]["basic"]["n"] >= 2}
+    measured = {c: slot[c]["v"] for c in basics}
+    told = {c: (b["n"], b["min"], b["max"]) for c, b in basics.items()}
+    quartiles = exact_quantiles(staged, measured, facts=told, sortable_values=sortable_values)
+    heads = first_whole_values(staged, measured, {c: b["n_whole"] for c, b in basics.items()}, order_by) if order_by else {}
+    distinct = exact_where_it_matters(
+        staged, {c: (slot[c]["t"], known[c]["sketch"], known[c]["n_filled"]) for c in textual if "t" in slot[c]}
+    )
 
     profiles = []
     for position, c in enumerate(columns):
@@ -207,13 +204,39 @@ def profile_columns(
     return sorted(profiles, key=lambda p: (-p.importance, p.ord))
 
 
+def _cell_views(view, is_number: bool) -> dict[str, Column]:
+    """The readings of one column that the profile needs: number, amount, currency, text."""
+    raw = F.col(f"`{view.column}`")
+    out = {"v": view.converted}
+    if view.currency_column:
+        out |= {"a": view.amount, "k": view.code}
+    return out if is_number else out | {"t": raw.cast("string")}
+
+
+def _cell_facts(slot: dict[str, Column], view) -> Column:
+    amount = slot.get("a", slot["v"])
+    parts = [
+        F.count(slot.get("t", amount)).alias("n_filled"),
+        F.count(amount).alias("n_amounts"),
+        _basic(slot["v"]).alias("basic"),
+    ]
+    if "a" in slot:
+        parts += [
+            F.count(slot["v"]).alias("n_resolved"),
+            F.array_sort(F.collect_set(F.when(amount.isNotNull(), slot["k"]))).alias("currencies"),
+        ]
+    if "t" in slot:
+        parts.append(F.approx_count_distinct(slot["t"], SKETCH_ERROR).alias("sketch"))
+    return F.struct(*parts)
+
+
 def _describe_number(profile, fact, basic, quartiles, head, foreign: bool) -> None:
     profile.role = "numerico"
     profile.importance += 20
     profile.n, profile.n_missing = basic["n"], profile.n_rows - basic["n"]
     if foreign:
         profile.currencies = fact["currencies"] or [V.BASE_CURRENCY]
-        profile.unresolved_rows = fact["n_unresolved"]
+        profile.unresolved_rows = fact["n_amounts"] - fact["n_resolved"]
         profile.resolved_ratio = fact["n_resolved"] / max(1, fact["n_amounts"])
         profile.trusted = len(profile.currencies) <= 1 or profile.resolved_ratio >= MIN_RESOLVED
     if quartiles is None:
@@ -257,45 +280,68 @@ def shape_types(df: DataFrame, order_by: list[str] | None = None, sample_rows: i
     The whole column is judged by default; ``sample_rows`` with ``order_by`` judges the top
     of the table only, as an interactive preview does.
     """
-    from sondeo.functions.numbers import parse_simple_number
-    from sondeo.functions.text import compact_key
-
-    columns = [c for c in df.columns if c in profilable(df)]
+    columns = profilable(df)
     rows = df.orderBy(*order_by).limit(sample_rows) if sample_rows else df
-    cells = rows.select(*[F.when(F.trim(F.col(f"`{c}`").cast("string")) != "", F.col(f"`{c}`").cast("string")).alias(f"c{i}") for i, c in enumerate(columns)])
-
-    def judged(i: int) -> Column:
-        cell = F.col(f"c{i}")
-        v = parse_simple_number(cell)
-        key = compact_key(cell)
-        return F.struct(
-            F.count(cell).alias("n"),
-            F.count(v).alias("n_numbers"),
-            F.count_if(v.between(0, 1)).alias("n_unit"),
-            F.avg(v).alias("mean"),
-            F.count_distinct(key).alias("n_keys"),
-            F.bool_or(key.isin("SI", "NO", "TRUE")).alias("yes_no"),
-        ).alias(f"j{i}")
-
-    one = cells.agg(*[judged(i) for i in range(len(columns))])
-    out = []
-    for i, c in enumerate(columns):
-        j = F.col(f"j{i}")
-        by_header = _header_type(c)
-        numeric = (
-            F.when((j["n_unit"] == j["n_numbers"]) & (j["n_numbers"] >= 5), "percent")
-            .when(j["mean"] > 10_000, "currency")
-            .otherwise("numeric")
-        )
-        by_values = (
-            F.when(j["n_numbers"] >= 0.75 * j["n"], numeric)
-            .when((j["n_keys"] <= 2) & j["yes_no"], "boolean")
-            .when((j["n_keys"] <= 10) & (j["n"] >= 4), "categorical")
-            .otherwise("text")
-        )
-        kind = F.when(j["n"] == 0, "empty").otherwise(F.lit(by_header) if by_header else by_values)
-        out.append(F.struct(F.lit(c).alias("column"), F.lit(i).alias("ord"), kind.alias("type")))
-    return one.select(F.inline(F.array(*out)))
+    # A header that settles the type spares its column the look at the values.
+    open_columns = [c for c in columns if not _header_type(c)]
+    texts = {c: _filled_text(df, c) for c in columns}
+    cells = rows.select(*[texts[c].alias(f"c{i}") for i, c in enumerate(columns)], *[_simple_number(df, c).alias(f"v{i}") for i, c in enumerate(columns) if c in open_columns])
+
+    def judged(i: int, c: str) -> Column:
+        parts = [F.count(f"c{i}").alias("n")]
+        if c in open_columns:
+            v = F.col(f"v{i}")
+            parts += [F.count(v).alias("n_numbers"), F.count_if(v.between(0, 1)).alias("n_unit"), F.avg(v).alias("mean")]
+        return F.struct(*parts).alias(f"j{i}")
+
+    facts = cells.agg(*[judged(i, c) for i, c in enumerate(columns)]).first()
+    undecided = [i for i, c in enumerate(columns) if c in open_columns and facts[i]["n_numbers"] < 0.75 * facts[i]["n"]]
+    keys = _distinct_keys(cells, undecided)
+    judgements = [(c, i, _shape_type(c, facts[i], *keys.get(i, (0, False)))) for i, c in enumerate(columns)]
+    return local_table(df.sparkSession, judgements, "column string, ord int, type string")
+
+
+def _filled_text(df: DataFrame, c: str) -> Column:
+    text = F.col(f"`{c}`").cast("string")
+    return text if isinstance(df.schema[c].dataType, T.NumericType) else F.when(F.trim(text) != "", text)
+
+
+def _simple_number(df: DataFrame, c: str) -> Column:
+    raw = F.col(f"`{c}`")
+    return raw.cast("double") if isinstance(df.schema[c].dataType, T.NumericType) else parse_simple_number(raw)
+
+
+def _distinct_keys(cells: DataFrame, columns: list[int]) -> dict[int, tuple[int, bool]]:
+    """Number of distinct comparison keys, and whether one is a yes/no word, per column.
+
+    Equal cells collapse before their key is worked out.
+    """
+    if not columns:
+        return {}
+    fan = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("cell")) for i in columns])
+    once = cells.select(F.inline(fan)).where("cell IS NOT NULL").distinct()
+    keys = once.select("i", compact_key(F.col("cell")).alias("key")).distinct()
+    counted = keys.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("key").isin("SI", "NO", "TRUE")).alias("yes_no"))
+    return {r["i"]: (r["n"], r["yes_no"]) for r in counted.collect()}
+
+
+FEW_KEYS = 10
+
+
+def _shape_type(name: str, fact, n_keys: int, yes_no: bool) -> str:
+    n = fact["n"]
+    if not n:
+        return "empty"
+    if by_header := _header_type(name):
+        return by_header
+    n_numbers = fact["n_numbers"]
+    if n_numbers >= 0.75 * n:
+        if fact["n_unit"] == n_numbers and n_numbers >= 5:
+            return "percent"
+        return "currency" if fact["mean"] > 10_000 else "numeric"
+    if n_keys <= 2 and yes_no:
+        return "boolean"
+    return "categorical" if n_keys <= FEW_KEYS and n >= 4 else "text"
 
 
 # Fixed header patterns of the organiser's type test, tried in this order.

@@ -1,12 +1,12 @@
 """Exact quantiles of any number of columns, for tables of any size.
 
 Spark's ``percentile`` keeps every distinct value of a column in one aggregation buffer,
-which is right for a table that one task could sort and wrong for anything larger. Beyond
-that size we select order statistics by narrowing instead: ``percentile_approx`` (a small
-mergeable sketch) brackets each wanted rank, one counting pass proves the bracket, and the
-step repeats inside the bracket until the few values left can be sorted. No pass shuffles
-more than one small row per partition, and a value shared by a third of all rows merely
-ends the search early.
+which no task can hold for a long column. We select order statistics by narrowing instead. A
+pass counts values in equal-width cells of the interval known to hold a wanted rank, keeping
+each cell's true minimum and maximum; the cell that contains the rank becomes the next
+interval. When few values are left they are sorted. Every pass is a plain hash aggregation
+of one small row per cell, so nothing is shuffled but counts, and a value shared by a third
+of all rows merely ends the search early.
 """
 
 from __future__ import annotations
@@ -16,124 +16,104 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sondeo import session
+CELLS = 2_048
+SORTABLE_VALUES = 100_000
 
-SKETCH_ACCURACY = 10_000
-SORTABLE_VALUES = 200_000
+
+class _Search:
+    """One wanted quantile: ranks ``low`` and ``high`` (0-based), known to lie in [lo, hi]."""
+
+    def __init__(self, column: int, n: int, lo: float, hi: float, prob: float):
+        position = prob * (n - 1)
+        self.column, self.low, self.high = column, math.floor(position), math.ceil(position)
+        self.weight = position - self.low
+        self.lo, self.hi, self.below, self.inside = lo, hi, 0, n
+        self.value = lo if lo == hi else None
+
+    @property
+    def interval(self) -> tuple[int, float, float]:
+        return self.column, self.lo, self.hi
+
+    def settle(self, low: float, high: float) -> None:
+        self.value = low + (high - low) * self.weight
+
+    def narrow(self, cells: list) -> None:
+        """Continue in the cell that holds both ranks, or finish between two neighbours."""
+        seen, low_cell = self.below, None
+        for cell in cells:
+            if low_cell is None and self.low < seen + cell["n"]:
+                low_cell = cell
+                if self.high < seen + cell["n"]:
+                    if cell["lo"] == cell["hi"]:
+                        self.settle(cell["lo"], cell["lo"])
+                    self.lo, self.hi, self.below, self.inside = cell["lo"], cell["hi"], seen, cell["n"]
+                    return
+            elif low_cell is not None:
+                # The lower rank ends one cell and the upper one starts the next.
+                self.settle(low_cell["hi"], cell["lo"])
+                return
+            seen += cell["n"]
 
 
 def exact_quantiles(
     df: DataFrame,
     columns: dict[str, Column],
     probs: tuple[float, ...] = (0.25, 0.5, 0.75),
-    single_task_values: int | None = None,
+    facts: dict[str, tuple[int, float, float]] | None = None,
+    sortable_values: int | None = None,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles per column, NULLs ignored; ``None`` where a column is empty."""
+    """Linearly interpolated quantiles per column, NULLs ignored; ``None`` where a column is empty.
+
+    ``facts`` gives (count, minimum, maximum) of each column to a caller that already has them.
+    """
     if not columns:
         return {}
+    limit = SORTABLE_VALUES if sortable_values is None else sortable_values
     names = list(columns)
     views = df.select(*[columns[name].cast("double").alias(f"v{i}") for i, name in enumerate(names)])
-    limit = session.SINGLE_TASK_ROWS * 4 if single_task_values is None else single_task_values
-    if df.count() * len(names) <= limit:
-        row = views.agg(*[F.percentile(f"v{i}", F.array(*map(F.lit, probs))).alias(f"q{i}") for i in range(len(names))]).first()
-        return {name: list(row[i]) if row[i] is not None else [None] * len(probs) for i, name in enumerate(names)}
-    found = _narrow(views, len(names), probs)
-    return {name: found[i] for i, name in enumerate(names)}
-
-
-class _Target:
-    """One wanted quantile: ranks ``low`` and ``high`` (0-based) known to lie in [lo, hi]."""
-
-    def __init__(self, column: int, n: int, prob: float):
-        position = prob * (n - 1)
-        self.v = F.col(f"v{column}")
-        self.low, self.high = math.floor(position), math.ceil(position)
-        self.weight = position - self.low
-        self.below, self.inside = 0, n
-
-    def bracket(self, lo: float, hi: float) -> None:
-        self.lo, self.hi = lo, hi
-
-    @property
-    def solved(self) -> bool:
-        return self.lo == self.hi
-
-    def within(self) -> Column:
-        return F.when(self.v.between(self.lo, self.hi), self.v)
-
-    def sketch(self) -> Column:
-        """The values just outside the wanted ranks, by sketch, among those still inside."""
-        slack = 3 / SKETCH_ACCURACY
-        first = max(0.0, (self.low - self.below) / self.inside - slack)
-        last = min(1.0, (self.high - self.below + 1) / self.inside + slack)
-        edges = F.percentile_approx(self.within(), F.array(F.lit(first), F.lit(last)), F.lit(SKETCH_ACCURACY))
-        # The sketch never undercuts the true minimum, so pin the ends where slack reached them.
-        lo = F.lit(self.lo) if first == 0.0 else edges[0]
-        hi = F.lit(self.hi) if last == 1.0 else edges[1]
-        return F.struct(lo.alias("lo"), hi.alias("hi"))
-
-
-def _narrow(views: DataFrame, n_columns: int, probs) -> list[list[float | None]]:
-    facts = views.agg(*[
-        F.struct(F.count(f"v{i}").alias("n"), F.min(f"v{i}").alias("lo"), F.max(f"v{i}").alias("hi")).alias(f"c{i}")
-        for i in range(n_columns)
-    ]).first()
-    wanted: dict[tuple[int, float], _Target] = {}
-    for i in range(n_columns):
-        for prob in probs:
-            if facts[i]["n"]:
-                target = wanted[i, prob] = _Target(i, facts[i]["n"], prob)
-                target.bracket(facts[i]["lo"], facts[i]["hi"])
-
-    open_targets = [t for t in wanted.values() if not t.solved and t.inside > SORTABLE_VALUES]
-    while open_targets:
-        edges = views.agg(*[t.sketch().alias(f"e{k}") for k, t in enumerate(open_targets)]).first()
-        proposals = [(e["lo"], e["hi"]) for e in edges]
-        counts = views.agg(*[
-            F.struct(
-                F.count_if(t.v < lo).alias("below"), F.count_if(t.v.between(lo, hi)).alias("inside")
-            ).alias(f"n{k}")
-            for k, (t, (lo, hi)) in enumerate(zip(open_targets, proposals))
-        ]).first()
-        still_open = []
-        for t, (lo, hi), count in zip(open_targets, proposals, counts):
-            proven = count["below"] <= t.low and t.high < count["below"] + count["inside"]
-            shrunk = count["inside"] < t.inside
-            if proven:
-                t.bracket(lo, hi)
-                t.below, t.inside = count["below"], count["inside"]
-            if t.solved:
-                continue
-            if not (proven and shrunk):
-                # Two or more values share almost all of the bracket: sort the distinct ones.
-                _settle_by_distinct(views, t)
-            elif t.inside > SORTABLE_VALUES:
-                still_open.append(t)
-        open_targets = still_open
-
-    pending = [t for t in wanted.values() if not t.solved]
-    if pending:
-        ranked = views.agg(*[
-            F.slice(F.sort_array(F.collect_list(t.within())), t.low - t.below + 1, 2).alias(f"s{j}")
-            for j, t in enumerate(pending)
+    if facts is None:
+        row = views.agg(*[
+            F.struct(F.count(f"v{i}"), F.min(f"v{i}"), F.max(f"v{i}")).alias(f"c{i}") for i in range(len(names))
         ]).first()
-        for t, pair in zip(pending, ranked):
-            t.value = pair[0] + (pair[-1] - pair[0]) * t.weight
-    for t in wanted.values():
-        if t.solved:
-            t.value = t.lo
-    return [[wanted[i, p].value if (i, p) in wanted else None for p in probs] for i in range(n_columns)]
-
-
-def _settle_by_distinct(views: DataFrame, target: _Target) -> None:
-    """Exact selection over (value, count) pairs, by a running count in value order."""
-    from sondeo.operators.running import running_totals
-
-    pairs = views.where(target.within().isNotNull()).groupBy(target.v.alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    ends = running_totals(pairs, [F.col("x").asc()], "c", total="upto", single_task_rows=0)
-    hits = ends.agg(
-        F.min(F.when(F.col("upto") > target.low - target.below, F.col("x"))).alias("a"),
-        F.min(F.when(F.col("upto") > target.high - target.below, F.col("x"))).alias("b"),
-    ).first()
-    value = hits["a"] + (hits["b"] - hits["a"]) * target.weight
-    target.bracket(value, value)
+        facts = {name: tuple(row[i]) for i, name in enumerate(names)}
+
+    searches = {(i, p): _Search(i, *facts[name], p) for i, name in enumerate(names) for p in probs if facts[name][0]}
+    while pending := [s for s in searches.values() if s.value is None and s.inside > limit]:
+        cells = _count_cells(views, list(dict.fromkeys(s.interval for s in pending)))
+        for s in pending:
+            s.narrow(cells[s.interval])
+    _sort_rest(views, [s for s in searches.values() if s.value is None])
+    return {name: [searches[i, p].value if (i, p) in searches else None for p in probs] for i, name in enumerate(names)}
+
+
+def _count_cells(views: DataFrame, intervals: list[tuple[int, float, float]]) -> dict[tuple, list]:
+    """Non-empty cells of every interval in value order, all intervals in one pass."""
+    located = []
+    for k, (column, lo, hi) in enumerate(intervals):
+        v = F.col(f"v{column}")
+        # The two ends get cells of their own, so every pass makes progress. Halved before
+        # subtracting, so that the widest intervals cannot overflow.
+        place = F.least(F.floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * CELLS), F.lit(CELLS - 1))
+        cell = F.when(v == lo, F.lit(-1)).when(v == hi, F.lit(CELLS)).otherwise(place)
+        located.append(F.when(v.between(lo, hi), F.struct(F.lit(k).alias("k"), cell.alias("cell"), v.alias("v"))))
+    # Nulls are dropped after the fan-out: a filter on the array would leave generated code.
+    rows = views.select(F.inline(F.array(*located))).where("k IS NOT NULL")
+    counted = rows.groupBy("k", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    out: dict[tuple, list] = {interval: [] for interval in intervals}
+    for row in sorted(counted.collect(), key=lambda r: (r["k"], r["cell"])):
+        out[intervals[row["k"]]].append(row)
+    return out
+
+
+def _sort_rest(views: DataFrame, searches: list[_Search]) -> None:
+    """Pick the ranks from the few values left in each interval."""
+    if not searches:
+        return
+    intervals = list(dict.fromkeys(s.interval for s in searches))
+    values = {
+        interval: F.sort_array(F.collect_list(F.when(F.col(f"v{interval[0]}").between(*interval[1:]), F.col(f"v{interval[0]}"))))
+        for interval in intervals
+    }
+    picks = [F.slice(values[s.interval], s.low - s.below + 1, 2).alias(f"s{j}") for j, s in enumerate(searches)]
+    for s, pair in zip(searches, views.agg(*picks).first()):
+        s.settle(pair[0], pair[-1])

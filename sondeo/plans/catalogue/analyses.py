@@ -50,7 +50,7 @@ SELECT round(quantile_cont(l_extendedprice, 0.25), 4) AS q1, round(quantile_cont
        round(quantile_cont(l_extendedprice, 0.75), 4) AS q3 FROM lineitem""")
 def quantiles_by_narrowing(spark, sf):
     """The selection used beyond one task's reach, asked for at any size."""
-    found = exact_quantiles(table(spark, sf, "lineitem"), {"p": F.col("l_extendedprice")}, single_task_values=0)["p"]
+    found = exact_quantiles(table(spark, sf, "lineitem"), {"p": F.col("l_extendedprice")}, sortable_values=0)["p"]
     return spark.range(1).select(*[F.round(F.lit(v), 4).alias(f"q{i + 1}") for i, v in enumerate(found)])
 
 
@@ -376,10 +376,10 @@ def progress_status_labels(spark, sf):
 @query("""
 SELECT count(*) AS total, count(*) FILTER (WHERE l_linenumber >= 7) AS done, count(*) FILTER (WHERE l_linenumber < 7 AND l_linenumber > 1) AS under_way,
        count(*) FILTER (WHERE l_linenumber = 1) AS pending,
-       round(avg(CASE WHEN l_linenumber = 1 THEN 0 ELSE least(l_linenumber, 7) / 7.0::DOUBLE END), 4) AS mean_progress FROM lineitem""")
+       round(avg(CASE WHEN l_linenumber >= 7 THEN 1 ELSE (l_linenumber - 1) * 15 / 100 END), 4) AS mean_progress FROM lineitem""")
 def progress_status_percent(spark, sf):
     """A column on the 0 to 100 scale, written as text."""
-    line = F.least("l_linenumber", F.lit(7))
-    pct = F.when(line == 1, "0 %").when(line == 7, "100%").otherwise(F.concat((line / 7 * 100).cast("string"), F.lit("%")))
-    df = table(spark, sf, "lineitem").select(F.translate(pct, ".", ",").alias("Avance"))
+    line = F.col("l_linenumber")
+    pct = F.when(line >= 7, "100%").otherwise(F.concat(((line - 1) * 15).cast("string"), F.lit(",0 %")))
+    df = table(spark, sf, "lineitem").select(pct.alias("Avance"))
     return progress_status(df, progress_values(df, "Avance"))
