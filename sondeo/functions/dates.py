@@ -8,8 +8,16 @@ from pyspark.sql import types as T
 
 from sondeo.functions import vocabulary as V
 
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "dd/MM/yyyy",
-                "d/M/yyyy", "dd-MM-yyyy", "yyyy/MM/dd", "yyyy-MM")
+# Accepted formats, each with the shape a text must have before it is tried.
+DATE_FORMATS = {
+    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
+    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$",
+    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
+    "yyyy-MM": r"^\d{4}-\d{2}$",
+}
 
 # Serial days outside this span are month numbers, years or amounts, not dates (1954 to 2119).
 SERIAL_SPAN = (20_000, 80_000)
@@ -32,7 +40,10 @@ def parse_timestamp(c: Column, dtype: T.DataType) -> Column:
         return from_excel_serial(c).cast("timestamp")
     if isinstance(dtype, T.StringType):
         text = F.trim(c)
-        return F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in DATE_FORMATS])
+        read = F.lit(None).cast("timestamp")
+        for fmt, shape in DATE_FORMATS.items():
+            read = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))).otherwise(read)
+        return read
     return F.lit(None).cast("timestamp")
 
 

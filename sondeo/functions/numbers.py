@@ -70,7 +70,8 @@ def parse_number(c: Column, strict: bool = False, zero_is_null: bool = False) ->
     signed = F.regexp_replace(text, r"^\(\s*(.*?)\s*\)$", "-$1")
     kept = F.regexp_replace(F.regexp_replace(signed, V.CURRENCY_WORDS, ""), r"[^0-9,.\-]", "")
     digits = F.regexp_replace(kept, r"(?<!^)-", "")
-    value = _settle_separators(digits).try_cast("double") * _magnitude(signed)
+    # A failing cast costs an exception, so text without digits never reaches it.
+    value = F.when(digits.rlike(r"\d"), _settle_separators(digits).try_cast("double") * _magnitude(signed))
     if strict:
         value = F.when(text.rlike(NUMBER_ALPHABET), F.when(_reads_as_number(signed), value))
     # Most cells are already plain; settle those without the regex ladder.
@@ -92,7 +93,7 @@ def parse_simple_number(c: Column) -> Column:
     """The organiser's parser: symbols, commas, blanks and COP/USD out, then a leading number."""
     bare = F.regexp_replace(F.upper(c.cast("string")), r"[$€£¥,\s]|COP|USD", "")
     lead = F.regexp_extract(bare, r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:E[+-]?\d+)?", 0)
-    return lead.try_cast("double")
+    return F.when(lead != "", lead.try_cast("double"))
 
 
 def _spanish(value: Column, decimals: int) -> Column:

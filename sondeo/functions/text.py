@@ -51,14 +51,19 @@ def clean_text(c: Column, repair: bool = False) -> Column:
     """One line, single-spaced; null words and NULL become the empty string."""
     text = F.regexp_replace(as_text(c), r"_x000d_|\s+", " ")
     text = F.trim(F.regexp_replace(repair_mojibake(text) if repair else text, r" +", " "))
-    return F.when(c.isNull() | F.lower(text).isin(*V.NULL_WORDS), F.lit("")).otherwise(text)
+    return F.coalesce(F.regexp_replace(text, f"(?i)^(?:{'|'.join(V.NULL_WORDS)})$", ""), F.lit(""))
+
+
+# Two letters or digits somewhere, and more than a filler word between trimmed marks.
+READABLE = (
+    rf"(?isU)^(?![ _\-./]*(?:{'|'.join(V.NOISE_WORDS)})[ _\-./]*$)"
+    r"(?=[^\p{L}\p{N}]*[\p{L}\p{N}][^\p{L}\p{N}]*[\p{L}\p{N}])"
+)
 
 
 def is_noise(c: Column) -> Column:
     """Nothing to read: empty, at most one letter or digit, or a filler word."""
-    text = F.lower(clean_text(c))
-    core = F.regexp_replace(text, r"^[ _\-./]+|[ _\-./]+$", "")
-    return (F.length(F.regexp_replace(core, r"[^\p{L}\p{N}]", "")) <= 1) | core.isin(*V.NOISE_WORDS)
+    return ~clean_text(c).rlike(READABLE)
 
 
 def is_sentence(c: Column) -> Column:

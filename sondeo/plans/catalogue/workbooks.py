@@ -1 +1,151 @@
-"""Pending."""
+"""The test tables as a workbook: catalog, families, primary sheet, provenance."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sondeo.operators import audit as A
+from sondeo.operators.profile import shape_types
+from sondeo.operators.workbook import classify_sheets, decide_shape, workbook_notes, workbook_profile
+from sondeo.plans.catalogue import add, query, table
+from sondeo.sources.catalog import Catalog, Sheet, find_sheet, load_catalog, sheet_table
+from sondeo.sources.sinks import file_fingerprints, from_report_json, to_report_json
+
+KEYS = {
+    "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"],
+    "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "events": ["event_id"],
+    "documents": ["doc_id"], "embeddings": ["vec_id"], "pages": ["page_id"], "benchmark": ["item_id"], "labels": ["doc_id"],
+    "conversations": ["conv_id", "turn"],
+}
+WIDTHS = {"region": 2, "nation": 3, "customer": 5, "supplier": 4, "part": 6, "orders": 6, "lineitem": 11, "events": 6, "documents": 5,
+          "embeddings": 3, "pages": 3, "benchmark": 2, "labels": 3, "conversations": 4}
+
+
+def whole(spark, sf) -> Catalog:
+    return load_catalog(spark, "libro", {t: f"{sf}/{t}.parquet" for t in KEYS}, order_by=KEYS)
+
+
+# Sheet names an audit workbook would use, over the same tables.
+NAMED = {
+    "Base de comisiones": ("orders", "general", 500), "Hallazgos 2024": ("documents", "hallazgos", 120 - 200),
+    "Matriz de riesgos": ("part", "matriz_riesgos", 180), "Check list": ("customer", "checklist", 260), "TD": ("supplier", "distribucion", -80 - 200),
+    "Resumen ventas": ("lineitem", "general", 180), "Acta de arqueo": ("events", "arqueo", -260), "Cuestionario": ("labels", "cuestionario", 40),
+    "COSO": ("nation", "coso", 20 - 200),
+}
+
+
+def named(spark, sf) -> Catalog:
+    return Catalog("libro", {n: Sheet(n, table(spark, sf, t), KEYS[t]) for n, (t, *_) in NAMED.items()})
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{t}' AS sheet, {i} AS ord, count(*) AS n_rows, {w} AS n_cols, count(*) * {w} AS cells FROM {t}" for i, (t, w) in enumerate(WIDTHS.items())))
+def sheet_catalog(spark, sf):
+    return sheet_table(whole(spark, sf)).select("sheet", "ord", "n_rows", "n_cols", (F.col("n_rows") * F.col("n_cols")).alias("cells"))
+
+
+FAMILIES = " UNION ALL ".join(
+    f"SELECT '{n}' AS sheet, {i} AS ord, '{fam}' AS family, (count(*) * {WIDTHS[t]} + {bonus})::BIGINT AS score FROM {t}"
+    for i, (n, (t, fam, bonus)) in enumerate(NAMED.items()))
+
+
+@query(f"""
+WITH s AS ({FAMILIES})
+SELECT sheet, family, score, row_number() OVER (ORDER BY score DESC, ord) = 1 AND score >= 0 AS is_primary FROM s""")
+def sheet_families(spark, sf):
+    return classify_sheets(sheet_table(named(spark, sf))).select("sheet", "family", "score", "is_primary")
+
+
+@query("""
+WITH s AS (""" + " UNION ALL ".join(f"SELECT '{t}' AS sheet, count(*) * {w} AS score FROM {t}" for t, w in WIDTHS.items()) + """)
+SELECT sheet, score::BIGINT AS score FROM s ORDER BY score DESC LIMIT 1""")
+def primary_sheet(spark, sf):
+    return classify_sheets(sheet_table(whole(spark, sf))).where("is_primary").select("sheet", "score")
+
+
+@query(f"""
+WITH s AS ({FAMILIES})
+SELECT 'libro' AS workbook, CASE WHEN count(*) FILTER (WHERE family NOT IN ('general', 'distribucion')) >= 3 THEN 'auditoria_control' ELSE 'general' END AS kind,
+       count(*) AS n_sheets, string_agg(DISTINCT family, '|' ORDER BY family) FILTER (WHERE family <> 'general') AS families FROM s""")
+def workbook_kind(spark, sf):
+    return workbook_profile(classify_sheets(sheet_table(named(spark, sf)))).withColumn("families", F.array_join("families", "|"))
+
+
+@query(f"""
+WITH s AS ({FAMILIES}), f AS (SELECT DISTINCT family FROM s)
+SELECT 'conclusion' AS note, 2 AS n UNION ALL
+SELECT 'insight', (1 + (SELECT count(*) FROM f WHERE family IN ('matriz_riesgos', 'checklist', 'coso')))::INTEGER""")
+def workbook_note_counts(spark, sf):
+    notes = workbook_notes(workbook_profile(classify_sheets(sheet_table(named(spark, sf)))))
+    return notes.groupBy("note").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("SELECT 'libro' AS workbook, 'COSO' AS coso, 'TD' AS td")
+def sheets_by_name(spark, sf):
+    sheets = sheet_table(named(spark, sf))
+    coso = find_sheet(sheets, contains="coso").withColumnRenamed("sheet", "coso")
+    return coso.join(find_sheet(sheets, contains="distribucion", equals="td").withColumnRenamed("sheet", "td"), "workbook")
+
+
+SHAPES = {"orders": "auto", "part": "auto", "customer": "boardroom", "lineitem": "charts", "documents": "tables"}
+SHAPE_SQL = {
+    "orders": "SELECT 'TABLE' AS shape, 6::BIGINT AS n_cols, 4::BIGINT AS n_measures, 1::BIGINT AS n_categories",
+    "part": "SELECT CASE WHEN count(*) <= 30 THEN 'MIXTO' ELSE 'TABLE' END AS shape, 6::BIGINT AS n_cols, 3::BIGINT AS n_measures, 1::BIGINT AS n_categories FROM part",
+    "customer": "SELECT CASE WHEN count(DISTINCT c_mktsegment) <= 10 THEN 'MIXTO' ELSE 'CHART' END AS shape, 5::BIGINT AS n_cols, 3::BIGINT AS n_measures, 1::BIGINT AS n_categories FROM customer",
+    "lineitem": "SELECT 'TABLE' AS shape, 11::BIGINT AS n_cols, 8::BIGINT AS n_measures, 2::BIGINT AS n_categories",
+    "documents": "SELECT 'TABLE' AS shape, 5::BIGINT AS n_cols, 1::BIGINT AS n_measures, 1::BIGINT AS n_categories",
+}
+for _t, _mode in SHAPES.items():
+    def _shape(spark, sf, t=_t, mode=_mode):
+        df = table(spark, sf, t)
+        return decide_shape(shape_types(df), F.lit(df.count()), mode)
+
+    add(f"sheet_shape_{_t}", _shape, SHAPE_SQL[_t])
+
+
+# ---- provenance ---------------------------------------------------------------------------
+@query("SELECT 'orders.parquet' AS file")
+def unauthorised_inputs(spark, sf):
+    """Both files are read; only one is on the list."""
+    read = table(spark, sf, "orders").select("o_custkey", "_metadata").join(
+        table(spark, sf, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+    paths = A.referenced_paths(read).unionByName(A.referenced_paths(table(spark, sf, "customer")))
+    allowed = A.referenced_paths(table(spark, sf, "customer"))
+    return A.unauthorised_paths(paths, allowed).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+
+
+@query()
+def input_fingerprints(spark, sf):
+    files = file_fingerprints(spark, f"{sf}/*.parquet")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")
+
+
+@query("""
+SELECT c_mktsegment AS run_id, count(*) AS n_tables, concat_ws('; ', 'fuera del flujo especializado de comisiones',
+       CASE WHEN c_mktsegment LIKE 'F%' THEN 'resumen generico presente' END, CASE WHEN c_mktsegment NOT LIKE 'M%' THEN 'modo solicitado: charts' END) AS reasons,
+       true AS conservative FROM customer GROUP BY 1""")
+def conservative_runs(spark, sf):
+    """Run facts derived per market segment, to exercise every reason at once."""
+    segment = F.col("c_mktsegment")
+    runs = table(spark, sf, "customer").groupBy(segment.alias("run_id")).agg(F.count(F.lit(1)).alias("n_tables")).select(
+        "run_id", "n_tables", F.lit(True).alias("has_result"), F.lit(False).alias("is_commissions"),
+        F.col("run_id").startswith("F").alias("has_generic_summary"), F.when(F.col("run_id").startswith("M"), "mixed").otherwise("charts").alias("mode"))
+    return A.conservative_mode(runs).select("run_id", "n_tables", F.array_join("reasons", "; ").alias("reasons"), "conservative")
+
+
+@query("""
+SELECT source AS archivo, CASE WHEN source <> 'src0' THEN 'unauthorised data dependency: ' || source END AS problem FROM documents
+WHERE source <> 'src0' GROUP BY 1, 2""")
+def source_mismatches(spark, sf):
+    """Stored reports that name another input than the one being processed."""
+    reports = table(spark, sf, "documents").groupBy(F.col("source").alias("archivo")).agg(F.collect_set("lang").alias("hojas_encontradas")).withColumn("error", F.lit(None).cast("string"))
+    problems = A.source_problems(reports, "/entrada/src0")
+    return problems.select(F.element_at(F.split("problem", ": "), 2).alias("archivo"), "problem")
+
+
+@query("SELECT lang AS label, count(*) AS value FROM documents GROUP BY 1")
+def report_json_round_trip(spark, sf):
+    from sondeo.operators.groups import frequency
+
+    stored = to_report_json(frequency(table(spark, sf, "documents"), "lang"))
+    return from_report_json(stored, "label string, value bigint")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sondeo.functions.text import semantic_text
 from sondeo.operators.profile import profilable
+from sondeo.session import settle
 
 SIGNATURE_HEADERS, SIGNATURE_ROWS, SIGNATURE_CELLS = 10, 4, 4
 
@@ -55,7 +56,7 @@ def sheet_table(catalog: Catalog) -> DataFrame:
     what the family rules read.
     """
     rows = [_describe(catalog.workbook, i, sheet) for i, sheet in enumerate(catalog.sheets.values())]
-    return reduce(DataFrame.unionByName, rows)
+    return settle(reduce(DataFrame.unionByName, rows))
 
 
 def _describe(workbook: str, position: int, sheet: Sheet) -> DataFrame:
