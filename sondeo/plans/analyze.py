@@ -7,7 +7,9 @@ results.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +18,7 @@ from sondeo.functions import vocabulary as V
 from sondeo.functions.dates import parse_timestamp
 from sondeo.operators import charts as C
 from sondeo.operators import insights as I
-from sondeo.operators.audit import check_blocks, conservative_mode
+from sondeo.operators.audit import check_blocks, conservative_mode, new_titles
 from sondeo.operators.cleaning import clean_rows, main_table
 from sondeo.operators.commissions import commission_charts, executive_summary, generic_summary, is_commissions
 from sondeo.operators.correlation import correlations
@@ -26,7 +28,7 @@ from sondeo.operators.outliers import outliers
 from sondeo.operators.pareto import group_shares, pareto_summary, pareto_top
 from sondeo.operators.profile import ColumnProfile, profile_columns, profile_table
 from sondeo.operators.quality import data_quality, sparse_measures
-from sondeo.operators.readers import read_first_column, read_hierarchy, secondary_table
+from sondeo.operators.readers import secondary_table
 from sondeo.operators.tables import TableReport, dimension_score, report_on, report_rows
 from sondeo.operators.trend import before_after, last_periods, periodic_totals, trend_summary
 from sondeo.operators.workbook import classify_sheets, workbook_notes, workbook_profile
@@ -43,60 +45,190 @@ def date_column(df: DataFrame, profiles: list[ColumnProfile]) -> str | None:
     return next((p.column for p in profiles if is_date_column(df, p.column)), None)
 
 
-def analyze_table(df: DataFrame, source: str, order_by: list[str] | None = None, strict: bool = True, unit: str = "month") -> dict[str, DataFrame]:
-    """Profile, quality, outliers, Pareto, correlation, trend, KPIs, charts, insights, conclusions.
+class TableAnalysis:
+    """The analyses of one table, each computed when first asked for and then kept.
 
     The table is scanned a fixed number of times. All categorical columns share one scan, and
     every statement about them reads its few grouped rows.
     """
-    profiles = profile_columns(df, order_by, strict)
-    order = [p.column for p in profiles]
-    measures = [p for p in profiles if p.is_measure]
-    categories = [p.column for p in profiles if p.role == "categorica"]
-    trusted = {p.column: money_view(df, p.column, strict).converted for p in measures if p.trusted}
-    lead = next(iter(trusted), None)
-    profile = profile_table(df, source, profiles)
-
-    out = {"column_profile": profile, "data_quality": data_quality(df, source), "sparse_measures": sparse_measures(profile)}
-    money = [p.column for p in measures if p.kind == "currency"][:6]
-    if money:
-        out["money_facts"] = settle(money_facts(df, money, strict))
-        out["financial_context"] = financial_context(out["money_facts"])
-    quartiles = {p.column: [p.stats["q1"], p.stats["q3"]] for p in measures if p.column in trusted}
-    out["outliers"] = settle(outliers(df, trusted, quartiles))
-    paired = {p.column: trusted[p.column] for p in measures if p.column in trusted and p.n >= 5 and not names.is_calendar(p.column)}
-    if len(paired) >= 2:
-        out["correlations"] = settle(correlations(df, paired))
-
-    groups = CategoryGroups(df, categories, dict(list(trusted.items())[:3])) if categories else None
-    if groups:
-        shares = {c: group_shares(groups.by_value(c, lead) if lead else groups.counts(c)) for c in categories[:3]}
-        out["pareto"] = C.stack([s.select(F.lit(c).alias("category_col"), "*") for c, s in shares.items()])
-        out["pareto_summary"] = settle(C.stack([pareto_summary(s, c, lead or "conteo") for c, s in shares.items()]))
-        out["pareto_top"] = C.stack([pareto_top(s).select(F.lit(c).alias("category_col"), "*") for c, s in shares.items()])
-
-    when = date_column(df, profiles)
-    over_time = next((p.column for p in measures if p.column in trusted and p.column != when and p.n >= 3), None)
-    if when and over_time:
-        ts = parse_timestamp(F.col(f"`{when}`"), df.schema[when].dataType)
-        out["trend"] = settle(periodic_totals(df, ts, trusted[over_time], unit))
-        out["trend_summary"] = settle(trend_summary(out["trend"]))
-        out["before_after"] = before_after(out["trend_summary"], over_time)
-
-    out["insights"] = settle(_insights(out, groups, categories, order, over_time))
-    out["cards"] = I.risk_opportunity_cards(out["insights"])
-    lights = I.traffic_lights(out.get("trend_summary"), out.get("pareto_summary"), out["outliers"], out["insights"])
-    if lights is not None:
-        out["traffic_lights"] = lights
-    heads = C.stack([leaders(groups.counts(c)).select(F.lit(c).alias("column"), "leader", "leader_share") for c in categories]) if groups else None
-    out["kpis"] = I.kpis(profile, heads)
-    out["conclusions"] = I.conclusions(
-        profile, out.get("pareto_summary"), out["outliers"], out.get("correlations"), out.get("trend_summary"), over_time or "",
-        {c: groups.counts(c) for c in categories},
-    )
-    out.update(automatic_charts(df, source, profiles, trusted, groups, out.get("trend"), when, over_time, unit))
-    out["main_table"] = main_table(df, order)
-    return out
+
+    def __init__(self, df: DataFrame, source: str, order_by: list[str] | None = None, strict: bool = True, unit: str = "month"):
+        self.df, self.source, self.order_by, self.strict, self.unit = df, source, order_by, strict, unit
+
+    # -- decisions: one record per column -------------------------------------------------
+    @cached_property
+    def profiles(self) -> list[ColumnProfile]:
+        return profile_columns(self.df, self.order_by, self.strict)
+
+    @cached_property
+    def order(self) -> list[str]:
+        return [p.column for p in self.profiles]
+
+    @cached_property
+    def measures(self) -> list[ColumnProfile]:
+        """Measures whose currency could be resolved well enough."""
+        return [p for p in self.profiles if p.is_measure and p.trusted]
+
+    @cached_property
+    def categories(self) -> list[str]:
+        return [p.column for p in self.profiles if p.role == "categorica"]
+
+    @cached_property
+    def amounts(self) -> dict[str, Column]:
+        return {p.column: money_view(self.df, p.column, self.strict).converted for p in self.measures}
+
+    @property
+    def lead(self) -> str | None:
+        return next(iter(self.amounts), None)
+
+    @cached_property
+    def date(self) -> str | None:
+        return date_column(self.df, self.profiles)
+
+    @cached_property
+    def timed_measure(self) -> str | None:
+        return next((p.column for p in self.measures if p.column != self.date and p.n >= 3), None) if self.date else None
+
+    # -- result tables --------------------------------------------------------------------
+    @cached_property
+    def column_profile(self) -> DataFrame:
+        return profile_table(self.df, self.source, self.profiles)
+
+    @cached_property
+    def data_quality(self) -> DataFrame:
+        return data_quality(self.df, self.source)
+
+    @cached_property
+    def sparse_measures(self) -> DataFrame:
+        return sparse_measures(self.column_profile)
+
+    @cached_property
+    def money_facts(self) -> DataFrame | None:
+        money = [p.column for p in self.profiles if p.is_measure and p.kind == "currency"][:6]
+        return settle(money_facts(self.df, money, self.strict)) if money else None
+
+    @cached_property
+    def financial_context(self) -> DataFrame | None:
+        return None if self.money_facts is None else financial_context(self.money_facts)
+
+    @cached_property
+    def outliers(self) -> DataFrame:
+        quartiles = {p.column: [p.stats["q1"], p.stats["q3"]] for p in self.measures}
+        return settle(outliers(self.df, self.amounts, quartiles))
+
+    @cached_property
+    def correlations(self) -> DataFrame | None:
+        paired = {p.column: self.amounts[p.column] for p in self.measures if p.n >= 5 and not names.is_calendar(p.column)}
+        return settle(correlations(self.df, paired)) if len(paired) >= 2 else None
+
+    @cached_property
+    def groups(self) -> CategoryGroups | None:
+        return CategoryGroups(self.df, self.categories, dict(list(self.amounts.items())[:3])) if self.categories else None
+
+    @cached_property
+    def _shares(self) -> dict[str, DataFrame]:
+        def grouped(c: str) -> DataFrame:
+            return self.groups.by_value(c, self.lead) if self.lead else self.groups.counts(c)
+
+        return {c: group_shares(grouped(c)) for c in self.categories[:3]}
+
+    @cached_property
+    def pareto(self) -> DataFrame | None:
+        return _tagged("category_col", self._shares)
+
+    @cached_property
+    def pareto_summary(self) -> DataFrame | None:
+        parts = [pareto_summary(s, c, self.lead or "conteo") for c, s in self._shares.items()]
+        return settle(C.stack(parts)) if parts else None
+
+    @cached_property
+    def pareto_top(self) -> DataFrame | None:
+        return _tagged("category_col", {c: pareto_top(s) for c, s in self._shares.items()})
+
+    @cached_property
+    def trend(self) -> DataFrame | None:
+        if not self.timed_measure:
+            return None
+        ts = parse_timestamp(F.col(f"`{self.date}`"), self.df.schema[self.date].dataType)
+        return settle(periodic_totals(self.df, ts, self.amounts[self.timed_measure], self.unit))
+
+    @cached_property
+    def trend_summary(self) -> DataFrame | None:
+        return None if self.trend is None else settle(trend_summary(self.trend))
+
+    @cached_property
+    def before_after(self) -> DataFrame | None:
+        return None if self.trend is None else before_after(self.trend_summary, self.timed_measure)
+
+    @cached_property
+    def insights(self) -> DataFrame:
+        said = [I.anomaly_insights(self.outliers, self.order), I.missing_insights(self.column_profile)]
+        if self.pareto_summary is not None:
+            said.append(I.concentration_insights(self.pareto_summary))
+        if self.correlations is not None:
+            said.append(I.correlation_insights(self.correlations))
+        if self.trend is not None:
+            said.append(I.trend_insights(self.trend_summary, self.timed_measure))
+        if self.groups:
+            said.append(I.imbalance_insights(C.stack([imbalance(self.groups.counts(c), c) for c in self.categories]), self.order))
+        return settle(I.rank_insights(said))
+
+    @cached_property
+    def cards(self) -> DataFrame:
+        return I.risk_opportunity_cards(self.insights)
+
+    @cached_property
+    def traffic_lights(self) -> DataFrame | None:
+        return I.traffic_lights(self.trend_summary, self.pareto_summary, self.outliers, self.insights)
+
+    @cached_property
+    def kpis(self) -> DataFrame:
+        heads = [leaders(self.groups.counts(c)).select(F.lit(c).alias("column"), "leader", "leader_share") for c in self.categories]
+        return I.kpis(self.column_profile, settle(C.stack(heads)) if heads else None)
+
+    @cached_property
+    def conclusions(self) -> DataFrame:
+        return I.conclusions(
+            self.column_profile, self.pareto_summary, self.outliers, self.correlations, self.trend_summary, self.timed_measure or "",
+            {c: self.groups.counts(c) for c in self.categories},
+        )
+
+    @cached_property
+    def _charts(self) -> dict[str, DataFrame]:
+        return automatic_charts(self)
+
+    @property
+    def chart_meta(self) -> DataFrame | None:
+        return self._charts.get("chart_meta")
+
+    @property
+    def chart_data(self) -> DataFrame | None:
+        return self._charts.get("chart_data")
+
+    @cached_property
+    def main_table(self) -> DataFrame:
+        return main_table(self.df, self.order)
+
+    def tables(self) -> dict[str, DataFrame]:
+        """Every result table this input gives rise to."""
+        found = {name: getattr(self, name) for name in RESULT_TABLES}
+        return {name: result for name, result in found.items() if result is not None}
+
+
+RESULT_TABLES = (
+    "column_profile", "data_quality", "sparse_measures", "money_facts", "financial_context", "outliers", "correlations",
+    "pareto", "pareto_summary", "pareto_top", "trend", "trend_summary", "before_after", "insights", "cards",
+    "traffic_lights", "kpis", "conclusions", "chart_meta", "chart_data", "main_table",
+)
+
+
+def analyze_table(df: DataFrame, source: str, order_by: list[str] | None = None, strict: bool = True, unit: str = "month") -> dict[str, DataFrame]:
+    """Profile, quality, outliers, Pareto, correlation, trend, KPIs, charts, insights, conclusions."""
+    return TableAnalysis(df, source, order_by, strict, unit).tables()
+
+
+def _tagged(column: str, parts: dict[str, DataFrame]) -> DataFrame | None:
+    return C.stack([df.select(F.lit(tag).alias(column), "*") for tag, df in parts.items()]) if parts else None
 
 
 class CategoryGroups:
@@ -116,44 +248,32 @@ class CategoryGroups:
         return self.rows.where(F.col("column") == category).select("label", F.col(self.slots[measure]).alias("value")).where("value > 0")
 
 
-def _insights(out: dict[str, DataFrame], groups, categories: list[str], order: list[str], over_time: str | None) -> DataFrame:
-    said = [I.anomaly_insights(out["outliers"], order), I.missing_insights(out["column_profile"])]
-    if "pareto_summary" in out:
-        said.append(I.concentration_insights(out["pareto_summary"]))
-    if "correlations" in out:
-        said.append(I.correlation_insights(out["correlations"]))
-    if "trend_summary" in out:
-        said.append(I.trend_insights(out["trend_summary"], over_time))
-    if groups:
-        said.append(I.imbalance_insights(C.stack([imbalance(groups.counts(c), c) for c in categories]), order))
-    return I.rank_insights(said)
-
-
-def automatic_charts(df, source: str, profiles: list[ColumnProfile], trusted, groups, periods, when, over_time, unit: str = "month") -> dict[str, DataFrame]:
+def automatic_charts(t: TableAnalysis) -> dict[str, DataFrame]:
     """``chart_data`` and ``chart_meta`` of the three most important valid charts."""
     wanted: list[tuple] = []   # (data, id, kind or None, title, dimension, metric, aggregation, importance)
 
     def want(data, chart_id, kind, title, dimension, metric, aggregation, importance):
         wanted.append((C.chart(data, chart_id), chart_id, kind, title, dimension, metric, aggregation, importance))
 
-    cats = [p for p in profiles if p.role == "categorica" and not names.is_person(p.column) and not names.is_identifier(p.column)]
-    measures = [p for p in profiles if p.is_measure and p.column in trusted and not names.is_identifier(p.column)]
+    cats = [p for p in t.profiles if p.role == "categorica" and not names.is_person(p.column) and not names.is_identifier(p.column)]
+    measures = [p for p in t.measures if not names.is_identifier(p.column)]
     for p in cats[:3]:
-        data = top_with_others(groups.counts(p.column), V.MAX_BAR)
+        data = top_with_others(t.groups.counts(p.column), V.MAX_BAR)
         want(data, f"distribution:{p.column}", None, f"Distribución por {p.column}", p.column, "Registros", "conteo", p.importance + 8)
     for p in cats[:2]:
-        for m in [m for m in measures if m.column in groups.slots]:
-            data = top_with_others(groups.by_value(p.column, m.column), V.MAX_BAR)
+        for m in [m for m in measures if m.column in t.groups.slots]:
+            data = top_with_others(t.groups.by_value(p.column, m.column), V.MAX_BAR)
             want(data, f"value:{p.column}:{m.column}", "bar", f"{m.column} por {p.column}", p.column, m.column, "suma", p.importance + m.importance)
-    if periods is not None:
-        want(last_periods(periods, unit=unit), f"trend:{over_time}", "line", f"Tendencia de {over_time} en el tiempo", when, over_time, "tendencia", 85)
-    product = next((p.column for p in profiles if p.role in ("texto", "identificador") and names.mentions(p.column, V.PRODUCT_HEADERS)), None)
+    if t.trend is not None:
+        m = t.timed_measure
+        want(last_periods(t.trend, unit=t.unit), f"trend:{m}", "line", f"Tendencia de {m} en el tiempo", t.date, m, "tendencia", 85)
+    product = next((p.column for p in t.profiles if p.role in ("texto", "identificador") and names.mentions(p.column, V.PRODUCT_HEADERS)), None)
     if product and measures:
         m = measures[0]
-        data = ranked_top(totals(df, product, trusted[m.column]), V.MAX_CATEGORIES)
+        data = ranked_top(totals(t.df, product, t.amounts[m.column]), V.MAX_CATEGORIES)
         want(data, f"top:{product}:{m.column}", "bar", f"Top por {m.column}", product, m.column, "suma", m.importance + 15)
     wanted = sorted(wanted, key=lambda w: -w[-1])
-    return describe_charts(wanted, source, V.MAX_AUTO_CHARTS) if wanted else {}
+    return describe_charts(wanted, t.source, V.MAX_AUTO_CHARTS) if wanted else {}
 
 
 def describe_charts(wanted: list[tuple], source: str, limit: int) -> dict[str, DataFrame]:
@@ -196,65 +316,125 @@ def derived_charts(reports: list[TableReport], limit: int = V.MAX_DERIVED_CHARTS
     return describe_charts(wanted, reports[0].source if reports else "", limit) if wanted else {}
 
 
-def analyze_workbook(catalog: Catalog, strict: bool = True, mode: str = "mixed") -> dict[str, DataFrame]:
-    """Classify the sheets, analyse the primary one and report on the others."""
-    sheets = classify_sheets(sheet_table(catalog))
-    found = sheets.orderBy("ord").collect()   # one row per sheet
-    book = workbook_profile(sheets)
-    out = {"sheets": sheets, "workbook": book, "workbook_notes": workbook_notes(book)}
-    primary = next((r["sheet"] for r in found if r["is_primary"]), None)
-    special = False
-    if primary:
-        sheet = catalog.sheets[primary]
-        table = clean_rows(sheet.df)
-        tables = analyze_table(table, primary, sheet.order_by, strict)
-        out.update(tables)
-        special = is_commissions(table.columns)
-        if special:
-            out["executive_summary"] = executive_summary(table)
-            out["commission_charts"] = commission_charts(table)
-        else:
-            out["generic_summary"] = generic_summary(table, primary, _measures(tables["column_profile"]))
-
-    reports = []
-    for r in found:
-        sheet = catalog.sheets[r["sheet"]]
-        if r["n_rows"] < 2 or r["n_cols"] < 2 or r["family"] in ("coso", "distribucion"):
-            continue
-        title = "Tabla principal" if r["is_primary"] else r["sheet"]
-        reports.append(report_on(clean_rows(sheet.df), title, r["sheet"], r["family"], sheet.order_by))
-        if not r["is_primary"] and sheet.order_by:
-            out[f"table:{r['sheet']}"] = secondary_table(sheet.df, sheet.order_by, r["family"])
-    if reports:
-        out["tables"] = report_rows(catalog.sheets[found[0]["sheet"]].df.sparkSession, reports)
-        out["blocks"] = check_blocks(content_blocks(out))
-    spark = sheets.sparkSession
-    run = local_table(
-        spark, [(catalog.workbook, bool(found), special, not special, mode, len(reports))],
-        "run_id string, has_result boolean, is_commissions boolean, has_generic_summary boolean, mode string, n_tables int",
-    )
-    out["run"] = conservative_mode(run)
-    return out
+class WorkbookAnalysis:
+    """A workbook: its sheets classified, the primary one analysed, every table reported on."""
+
+    def __init__(self, catalog: Catalog, strict: bool = True, mode: str = "mixed"):
+        self.catalog, self.strict, self.mode = catalog, strict, mode
+
+    @cached_property
+    def sheets(self) -> DataFrame:
+        return settle(classify_sheets(sheet_table(self.catalog)))
+
+    @cached_property
+    def _found(self) -> list:
+        return self.sheets.orderBy("ord").collect()   # one row per sheet
+
+    @cached_property
+    def workbook(self) -> DataFrame:
+        return workbook_profile(self.sheets)
+
+    @cached_property
+    def workbook_notes(self) -> DataFrame:
+        return workbook_notes(self.workbook)
+
+    @cached_property
+    def primary(self) -> TableAnalysis | None:
+        name = next((r["sheet"] for r in self._found if r["is_primary"]), None)
+        if name is None:
+            return None
+        sheet = self.catalog.sheets[name]
+        return TableAnalysis(clean_rows(sheet.df), name, sheet.order_by, self.strict)
+
+    @property
+    def is_commissions(self) -> bool:
+        return self.primary is not None and is_commissions(self.primary.df.columns)
+
+    @cached_property
+    def executive_summary(self) -> DataFrame | None:
+        return executive_summary(self.primary.df) if self.is_commissions else None
+
+    @cached_property
+    def commission_charts(self) -> DataFrame | None:
+        return commission_charts(self.primary.df) if self.is_commissions else None
+
+    @cached_property
+    def generic_summary(self) -> DataFrame | None:
+        if self.primary is None or self.is_commissions:
+            return None
+        numeric = [p.column for p in self.primary.profiles if p.role == "numerico"]
+        return generic_summary(self.primary.df, self.primary.source, numeric)
+
+    @cached_property
+    def reports(self) -> list[TableReport]:
+        """Every sheet with two rows and columns, except the two special layouts."""
+        out = []
+        for r in self._found:
+            if r["n_rows"] < 2 or r["n_cols"] < 2 or r["family"] in ("coso", "distribucion"):
+                continue
+            sheet = self.catalog.sheets[r["sheet"]]
+            title = "Tabla principal" if r["is_primary"] else r["sheet"]
+            out.append(report_on(clean_rows(sheet.df), title, r["sheet"], r["family"], sheet.order_by))
+        return out
+
+    @cached_property
+    def table_reports(self) -> DataFrame | None:
+        return report_rows(self.sheets.sparkSession, self.reports) if self.reports else None
+
+    @cached_property
+    def derived_charts(self) -> dict[str, DataFrame]:
+        """Charts found in the report tables whose titles the automatic charts have not taken."""
+        found = derived_charts(self.reports)
+        own = self.primary.chart_meta if self.primary else None
+        if found and own is not None:
+            found["chart_meta"] = new_titles(found["chart_meta"], own)
+        return found
+
+    def secondary_tables(self) -> dict[str, DataFrame]:
+        """The display table of each sheet other than the primary one."""
+        out = {}
+        for r in self._found:
+            sheet = self.catalog.sheets[r["sheet"]]
+            if not r["is_primary"] and sheet.order_by and r["family"] not in ("coso", "distribucion"):
+                out[f"table:{r['sheet']}"] = secondary_table(sheet.df, sheet.order_by, r["family"])
+        return out
+
+    @cached_property
+    def blocks(self) -> DataFrame | None:
+        """What a report would show, with the issues that keep a block out."""
+        if not self.reports:
+            return None
+        charts = [c for c in (self.primary.chart_meta if self.primary else None, self.derived_charts.get("chart_meta")) if c is not None]
+        return settle(check_blocks(content_blocks(charts, self.table_reports)))
+
+    @cached_property
+    def run(self) -> DataFrame:
+        facts = (self.catalog.workbook, bool(self._found), self.is_commissions, not self.is_commissions, self.mode, len(self.reports))
+        schema = "run_id string, has_result boolean, is_commissions boolean, has_generic_summary boolean, mode string, n_tables int"
+        return conservative_mode(local_table(self.sheets.sparkSession, [facts], schema))
+
+    def tables(self) -> dict[str, DataFrame]:
+        out = {name: getattr(self, name) for name in (
+            "sheets", "workbook", "workbook_notes", "executive_summary", "commission_charts", "generic_summary", "table_reports", "blocks", "run")}
+        out |= self.primary.tables() if self.primary else {}
+        out |= self.secondary_tables() | {f"derived_{k}": v for k, v in self.derived_charts.items()}
+        return {name: result for name, result in out.items() if result is not None}
 
 
-def _measures(profile: DataFrame) -> list[str]:
-    rows = profile.where("role = 'numerico'").select("column", "importance", "ord").collect()
-    return [r["column"] for r in sorted(rows, key=lambda r: (-r["importance"], r["ord"]))]
+def analyze_workbook(catalog: Catalog, strict: bool = True, mode: str = "mixed") -> dict[str, DataFrame]:
+    """Classify the sheets, analyse the primary one and report on the others."""
+    return WorkbookAnalysis(catalog, strict, mode).tables()
 
 
-def content_blocks(out: dict[str, DataFrame]) -> DataFrame:
+def content_blocks(charts: list[DataFrame], tables: DataFrame) -> DataFrame:
     """(type, title, source, score, n_pairs, n_rows, n_cols, n_lines): what a report would show."""
-    def block(df: DataFrame, kind: str, n_pairs, n_rows, n_cols, n_lines) -> DataFrame:
-        title = "title" if "title" in df.columns else "table"
-        return df.select(
-            F.lit(kind).alias("type"), F.col(title).alias("title"), "source", "score",
-            *[F.lit(v).cast("bigint").alias(n) if v is None else F.col(v).cast("bigint").alias(n) for n, v in
-              (("n_pairs", n_pairs), ("n_rows", n_rows), ("n_cols", n_cols), ("n_lines", n_lines))],
-        )
-
-    parts = [block(out["chart_meta"], "chart", "n", None, None, None)] if "chart_meta" in out else []
-    tables = out["tables"]
-    parts.append(block(tables.where("allow_dashboard"), "kpi_dashboard", None, "n_rows", "n_cols", "n_cols"))
-    parts.append(block(tables.where("allow_summary AND NOT allow_dashboard"), "table_summary", None, "n_rows", "n_cols", "n_cols"))
-    parts.append(block(tables.where("allow_detail"), "table", None, "n_rows", "n_cols", None))
+    def block(df: DataFrame, kind: str, title: str, **sizes: str) -> DataFrame:
+        known = [F.col(sizes[n]).cast("bigint").alias(n) if n in sizes else F.lit(None).cast("bigint").alias(n) for n in ("n_pairs", "n_rows", "n_cols", "n_lines")]
+        return df.select(F.lit(kind).alias("type"), F.col(title).alias("title"), "source", "score", *known)
+
+    sized = {"n_rows": "n_rows", "n_cols": "n_cols"}
+    parts = [block(c, "chart", "title", n_pairs="n") for c in charts]
+    parts.append(block(tables.where("allow_dashboard"), "kpi_dashboard", "table", **sized, n_lines="n_cols"))
+    parts.append(block(tables.where("allow_summary AND NOT allow_dashboard"), "table_summary", "table", **sized, n_lines="n_cols"))
+    parts.append(block(tables.where("allow_detail"), "table", "table", **sized))
     return C.stack(parts)

@@ -11,7 +11,7 @@ from sondeo.operators.commissions import commission_charts, executive_summary, e
 from sondeo.operators.groups import frequency, top_with_others, totals
 from sondeo.operators.insights import insight_direction
 from sondeo.operators.trend import last_periods, periodic_totals
-from sondeo.plans.analyze import analyze_table, analyze_workbook, derived_charts
+from sondeo.plans.analyze import TableAnalysis, WorkbookAnalysis, derived_charts
 from sondeo.plans.catalogue import add, query, table
 from sondeo.plans.catalogue.grids import MESSY, messy
 from sondeo.plans.catalogue.groups import others_sql, summary_sql
@@ -137,7 +137,7 @@ def chart_validity(spark, sf):
     return C.valid_charts(chart_set(spark, sf)[0])
 
 
-@query(others_sql("part", "p_brand", "count(*)", 4).replace("AS ord,", "AS ord, 'brands' AS chart_id,"))
+@query(f"SELECT 'brands' AS chart_id, * FROM ({others_sql('part', 'p_brand', 'count(*)', 4)})")
 def chart_presentable_pie(spark, sf):
     """All brands of a chart cut to what a pie can show."""
     grouped = frequency(table(spark, sf, "part"), "p_brand")
@@ -161,8 +161,8 @@ SELECT 'value:o_orderstatus:o_custkey', label, value FROM ({others_sql('orders',
 
 @query(auto_sql())
 def automatic_charts_orders(spark, sf):
-    out = analyze_table(table(spark, sf, "orders"), "orders", ["o_orderkey"])
-    return r2(out["chart_data"].select("chart_id", "label", "value"), "value")
+    data = TableAnalysis(table(spark, sf, "orders"), "orders", ["o_orderkey"]).chart_data
+    return r2(data.select("chart_id", "label", "value"), "value")
 
 
 # ---- statements -----------------------------------------------------------------------------
@@ -175,7 +175,7 @@ n AS (SELECT count(DISTINCT source) / count(*) AS ratio, count(DISTINCT source)
 SELECT 'anomalia' AS kind, 88 AS importance, 'n_chars' AS subject, n::VARCHAR AS figure, 'risk' AS direction FROM o WHERE n > 0 UNION ALL
 SELECT 'desbalance', 72, 'lang', round_even(top, 1)::DOUBLE::VARCHAR, 'risk' FROM l WHERE top > 55""")
 def insights_documents(spark, sf):
-    said = insight_direction(analyze_table(table(spark, sf, "documents"), "documents", ["doc_id"])["insights"])
+    said = insight_direction(TableAnalysis(table(spark, sf, "documents"), "documents", ["doc_id"]).insights)
     p = F.col("params")
     return said.where("kind <> 'concentracion'").select(
         "kind", "importance", p["column"].alias("subject"), F.coalesce(p["n_outliers"], p["leader_share"]).alias("figure"), "direction")
@@ -188,7 +188,7 @@ def concentration_sql(t: str, label: str, agg: str, name: str) -> str:
 @query(concentration_sql("documents", "lang", "sum(n_chars)", "n_chars") + " UNION ALL " + concentration_sql("documents", "source", "sum(n_chars)", "n_chars"))
 def concentration_documents(spark, sf):
     """Pareto statements on the categorical columns, by the main measure."""
-    summary = analyze_table(table(spark, sf, "documents"), "documents", ["doc_id"])["pareto_summary"]
+    summary = TableAnalysis(table(spark, sf, "documents"), "documents", ["doc_id"]).pareto_summary
     return summary.where("concentration <> 'dispersa'").select("category_col", "value_col", "n80", "leader", "concentration")
 
 
@@ -200,7 +200,7 @@ SELECT 'Suma o_custkey', sum(o_custkey), 20 + CASE WHEN sum(o_custkey) > 1e6 THE
 SELECT 'o_orderstatus', count(DISTINCT o_orderstatus), 47 FROM orders UNION ALL
 SELECT 'o_orderpriority', count(DISTINCT o_orderpriority), 15 FROM orders""")
 def kpis_orders(spark, sf):
-    kpis = analyze_table(table(spark, sf, "orders"), "orders", ["o_orderkey"])["kpis"]
+    kpis = TableAnalysis(table(spark, sf, "orders"), "orders", ["o_orderkey"]).kpis
     return r2(kpis.select("label", "value", "importance"), "value")
 
 
@@ -215,7 +215,7 @@ SELECT 'concentracion', count(*) FROM ({concentration_sql("documents", "lang", "
 SELECT CASE WHEN v > 1 THEN 'variabilidad_alta' ELSE 'variabilidad_moderada' END, 1 FROM cv WHERE v > 0.5 UNION ALL
 SELECT 'maximo_dominante', 1 FROM cv WHERE peak > 0.25 UNION ALL SELECT 'dominancia', 1 FROM l WHERE top > 50""")
 def conclusions_documents(spark, sf):
-    said = analyze_table(table(spark, sf, "documents"), "documents", ["doc_id"])["conclusions"]
+    said = TableAnalysis(table(spark, sf, "documents"), "documents", ["doc_id"]).conclusions
     return said.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -227,7 +227,7 @@ SELECT 'Concentracion' AS label, CASE WHEN lead >= 45 THEN 'rojo' WHEN lead >= 3
 SELECT 'Anomalias', CASE WHEN n >= 3 THEN 'rojo' ELSE 'amarillo' END FROM o WHERE n > 0""")
 def traffic_lights_events(spark, sf):
     """One month of events has no monthly trend, so two lights are lit."""
-    return analyze_table(table(spark, sf, "events"), "events", ["event_id"])["traffic_lights"].select("label", "status")
+    return TableAnalysis(table(spark, sf, "events"), "events", ["event_id"]).traffic_lights.select("label", "status")
 
 
 @query("""
@@ -235,7 +235,7 @@ SELECT 'risk' AS direction, 1::BIGINT AS n FROM (
   SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events) q
 WHERE EXISTS (SELECT 1 FROM events WHERE value > q3 + 1.5 * (q3 - q1))""")
 def cards_events(spark, sf):
-    cards = analyze_table(table(spark, sf, "events"), "events", ["event_id"])["cards"]
+    cards = TableAnalysis(table(spark, sf, "events"), "events", ["event_id"]).cards
     return cards.groupBy("direction").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -296,7 +296,7 @@ def table_decisions(spark, sf):
 @query("""
 WITH s(name, family) AS (VALUES ('Hallazgos 2024', 'hallazgos'), ('Matriz de riesgos', 'matriz_riesgos'), ('Cuestionario', 'cuestionario'), ('Acta de arqueo', 'arqueo'))
 SELECT name AS "table", CASE family WHEN 'matriz_riesgos' THEN 'risk' WHEN 'arqueo' THEN 'evidence' ELSE 'findings' END AS sheet_type,
-       CASE WHEN family = 'arqueo' THEN 2 ELSE 1 END AS priority FROM s""")
+       CASE WHEN family IN ('arqueo', 'cuestionario') THEN 2 ELSE 1 END AS priority FROM s""")
 def table_types_and_priorities(spark, sf):
     """Documentary sheets rank last whatever they contain."""
     book = named(spark, sf)
@@ -309,14 +309,10 @@ def table_types_and_priorities(spark, sf):
 SELECT 'events' AS "table", 'kpi' AS section, 1 AS ord, 'Filas utiles' AS label, count(*)::DOUBLE AS value FROM events UNION ALL
 SELECT 'events', 'kpi', 2, 'Columnas', 6 UNION ALL SELECT 'events', 'kpi', 3, 'value', round(sum(value), 2) FROM events UNION ALL
 SELECT * FROM (SELECT 'events', 'ranking', row_number() OVER (ORDER BY v DESC, event_type)::INTEGER AS ord, event_type, round(v, 2) FROM (
-  SELECT event_type, sum(value) AS v FROM events GROUP BY 1)) WHERE ord <= 4 UNION ALL
-SELECT 'events', 'focus', 1, max_by(props, (c, -ascii(props))), max(c) FROM (SELECT props, count(*) AS c FROM events GROUP BY 1) HAVING max(c) > 1""")
+  SELECT event_type, sum(value) AS v FROM events GROUP BY 1)) WHERE ord <= 4""")
 def dashboard_events(spark, sf):
     board = T.dashboard(reports(spark, sf, ["events"])[0])
-    focus = board.where("section = 'focus'").select("value").first()
-    rows = r2(board.drop("display"), "value")
-    assert focus is not None
-    return rows.where("section <> 'focus'").unionByName(rows.where("section = 'focus'"))
+    return r2(board.drop("display"), "value")
 
 
 @query("""
@@ -387,8 +383,8 @@ def content_checks(spark, sf):
 def run_audit_orders(spark, sf):
     """The audit record of a whole run over three tables, with the hash of every input."""
     book = Catalog("libro", {t: Sheet(t, table(spark, sf, t), KEYS[t]) for t in ("orders", "customer", "part")})
-    out = analyze_workbook(book)
-    record = run_audit(out["blocks"], file_fingerprints(spark, f"{sf}/orders.parquet"), out["run"], out["data_quality"])
+    done = WorkbookAnalysis(book)
+    record = run_audit(done.blocks, file_fingerprints(spark, f"{sf}/orders.parquet"), done.run, done.primary.data_quality)
     return record.select("run_id", F.size("inputs").alias("n_inputs"), F.to_json("counts").alias("counts"), F.size("issues").alias("n_issues"), "conservative")
 
 
