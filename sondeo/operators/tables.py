@@ -89,18 +89,19 @@ def table_facts(df: DataFrame, name: str, order_by: list[str] | None = None) ->
     least = 1 if len(columns) <= 2 else 2
     # Projected first, so each text is cleaned and parsed once however often it is counted.
     staged = df.select(*(order_by or []), *[
-        F.struct(
-            clean_text(F.col(f"`{c}`")).alias("text"),
-            (~is_noise(F.col(f"`{c}`"))).alias("ok"),
-            number_view(F.col(f"`{c}`"), df.schema[c].dataType).alias("v"),
-        ).alias(f"s{i}")
+        view
         for i, c in enumerate(columns)
+        for view in (
+            clean_text(F.col(f"`{c}`")).alias(f"text{i}"),
+            (~is_noise(F.col(f"`{c}`"))).alias(f"ok{i}"),
+            number_view(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"v{i}"),
+        )
     ])
-    cells = [F.col(f"s{i}") for i in range(len(columns))]
+    cells = [{k: F.col(f"{k}{i}") for k in ("text", "ok", "v")} for i in range(len(columns))]
     readable = sum((s["ok"].cast("int") for s in cells), F.lit(0))
     labels = [F.when(s["ok"], F.lower(s["text"])) for s in cells]
 
-    def facts(s: Column, label: Column) -> Column:
+    def facts(s: dict[str, Column], label: Column) -> Column:
         v, ok, text = s["v"], s["ok"], s["text"]
         return F.struct(
             F.count_if(ok).alias("n"),
