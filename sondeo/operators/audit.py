@@ -30,7 +30,8 @@ def referenced_paths(df: DataFrame) -> DataFrame:
 
 def unauthorised_paths(referenced: DataFrame, allowed: DataFrame) -> DataFrame:
     """Referenced paths missing from the allow-list (an anti join; both sides are file lists)."""
-    return referenced.where("path IS NOT NULL").join(allowed.select(F.lower("path").alias("path")), "path", "left_anti")
+    named = referenced.where("path IS NOT NULL").select(F.lower("path").alias("path"))
+    return named.join(allowed.select(F.lower("path").alias("path")), "path", "left_anti")
 
 
 def require_authorised(referenced: DataFrame, allowed: DataFrame) -> None:
