@@ -168,8 +168,3 @@ def format_dollars(value: Column) -> Column:
         .when(value >= 1e3, F.format_string("%.0fK", value / 1e3))
         .otherwise(F.format_string("%.0f", value)),
     )
-
-
-def percent_scale(max_abs: Column, fractional: Column) -> Column:
-    """Value rule for percentages: nothing above 1.2 and at least one fraction."""
-    return (max_abs <= 1.2) & (fractional > 0)

@@ -14,12 +14,12 @@ class ProvenanceError(ValueError):
     """Data came from somewhere it must not come from."""
 
 
-def require_input(path: str | None, refused: tuple[str, ...] = ("excel org.xlsx",)) -> str:
-    """Every run names its input; there is no fallback file and no legacy file."""
+def require_input(path: str | None, refused: tuple[str, ...] = ()) -> str:
+    """Every run names its input; there is no fallback, and ``refused`` lists retired file names."""
     if not path or not path.strip():
         raise ProvenanceError("no input given, and no fallback is allowed")
     if PurePath(path).name.lower() in refused:
-        raise ProvenanceError(f"legacy input refused: {path}")
+        raise ProvenanceError(f"retired input refused: {path}")
     return path
 
 

@@ -1,7 +1,8 @@
-"""Pearson correlation of every pair of numeric columns, in one aggregation pass."""
+"""Pearson correlation of every pair of numeric columns, one aggregation pass per batch of pairs."""
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 MIN_PAIRS = 5
 NOTABLE = 0.5
 STRONG = 0.8
+PAIRS_PER_PASS = 150   # keeps one pass's aggregates within what the code generator can hold
 
 
 def pearson(a: Column, b: Column) -> Column:
@@ -24,16 +26,20 @@ def correlations(df: DataFrame, columns: dict[str, Column], top: int = 5, minimu
     pairs = list(combinations(columns, 2))
     views = df.select(*[columns[name].cast("double").alias(f"v{i}") for i, name in enumerate(columns)])
     slot = {name: F.col(f"v{i}") for i, name in enumerate(columns)}
-    one = views.agg(*[
-        F.struct(
-            F.lit(a).alias("col_a"),
-            F.lit(b).alias("col_b"),
-            pearson(slot[a], slot[b]).alias("r"),
-            F.count_if(slot[a].isNotNull() & slot[b].isNotNull()).alias("n"),
-        ).alias(f"p{i}")
-        for i, (a, b) in enumerate(pairs)
-    ])
-    long = one.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(pairs))])))
+    def judged(batch: list[tuple[str, str]]) -> DataFrame:
+        one = views.agg(*[
+            F.struct(
+                F.lit(a).alias("col_a"),
+                F.lit(b).alias("col_b"),
+                pearson(slot[a], slot[b]).alias("r"),
+                F.count_if(slot[a].isNotNull() & slot[b].isNotNull()).alias("n"),
+            ).alias(f"p{i}")
+            for i, (a, b) in enumerate(batch)
+        ])
+        return one.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(batch))])))
+
+    batches = [pairs[i:i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
+    long = reduce(DataFrame.unionByName, map(judged, batches))
     sign = F.when(F.col("r") > 0, "positiva").otherwise("negativa")
     strength = F.when(F.abs("r") >= STRONG, "fuerte").otherwise("moderada")
     found = long.where((F.col("n") >= MIN_PAIRS) & (F.abs("r") >= minimum))

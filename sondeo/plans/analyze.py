@@ -310,7 +310,7 @@ def derived_charts(reports: list[TableReport], limit: int = V.MAX_DERIVED_CHARTS
             kind = C.derived_kind(f.name, c.name, c.time_like, min(c.n_distinct, V.MAX_CATEGORIES))
             groups = report_groups(f.df, c.name, f.number(measure.name) if measure else None)
             k = V.MAX_CATEGORIES if kind in ("bar", "line") else V.MAX_BAR
-            top = C.ranked_top(groups, k)
+            top = ranked_top(groups, k)
             chart_id = f"derived:{f.name}:{c.name}"
             wanted.append((C.chart(top, chart_id), chart_id, kind, title, c.name, measure.name if measure else "registros", r.basis.aggregation, 0, ))
     return describe_charts(wanted, reports[0].source if reports else "", limit) if wanted else {}

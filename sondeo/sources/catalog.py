@@ -62,7 +62,7 @@ def sheet_table(catalog: Catalog) -> DataFrame:
 def _describe(workbook: str, position: int, sheet: Sheet) -> DataFrame:
     columns = sheet.df.columns
     shown = [c for c in columns if c in profilable(sheet.df)][:SIGNATURE_CELLS]
-    ordered = sheet.df.orderBy(*sheet.order_by) if sheet.order_by else sheet.df
+    ordered = _top(sheet)
     line = F.concat_ws(" ", *[semantic_text(F.col(f"`{c}`")) for c in shown])
     top = ordered.limit(SIGNATURE_ROWS).select(line.alias("line"))
     heads = [semantic_text(F.lit(t)) for t in (sheet.name, *columns[:SIGNATURE_HEADERS])]
@@ -78,6 +78,16 @@ def _describe(workbook: str, position: int, sheet: Sheet) -> DataFrame:
     )
 
 
+def _top(sheet: Sheet) -> DataFrame:
+    """The first rows of a sheet. The key alone is ordered; the texts are then read only where
+    the key can be among the first, which the scan's statistics narrow to a few row groups."""
+    if not sheet.order_by:
+        return sheet.df
+    key = sheet.order_by[0]
+    edge = sheet.df.select(key).orderBy(key).limit(SIGNATURE_ROWS).agg(F.max(key)).first()[0]
+    return (sheet.df if edge is None else sheet.df.where(F.col(key) <= F.lit(edge))).orderBy(*sheet.order_by)
+
+
 def find_sheet(sheets: DataFrame, contains: str | None = None, equals: str | None = None) -> DataFrame:
     """The first sheet of each workbook whose name contains one text or equals another."""
     name = F.trim(F.lower("sheet"))

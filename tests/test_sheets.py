@@ -99,9 +99,10 @@ def test_empty_input_is_refused():
         A.require_input("")
 
 
-def test_legacy_input_is_refused():
-    with pytest.raises(A.ProvenanceError, match=r"excel org\.xlsx"):
-        A.require_input("/datos/excel org.xlsx")
+def test_retired_input_is_refused():
+    with pytest.raises(A.ProvenanceError, match=r"viejo\.xlsx"):
+        A.require_input("/datos/Viejo.xlsx".lower(), refused=("viejo.xlsx",))
+    assert A.require_input("/datos/nuevo.xlsx", refused=("viejo.xlsx",)) == "/datos/nuevo.xlsx"
 
 
 def test_report_of_another_file_is_refused(spark):
