@@ -68,7 +68,7 @@ def best_in_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarr
     return q_ids[row[top]], ids[col[top]], exact[top]
 
 
-def search(data: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = 6,
+def search(data: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, tables: int = 8,
            probes: int = 16, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows of ``data`` found nearest to each row of ``queries``.
 
