@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sondeo.functions import vocabulary as V
 
-# Accepted formats, each with the shape a text must have before it is tried.
+# Year first: one digit or two, an optional time with or without seconds, fractions and zone. Spark's own cast reads these.
+ISO = r"^\d{4}-\d{1,2}(-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?\s?(Z|[+-]\d{1,2}:\d{2})?)?)?$"
+
+# Other accepted formats, each with the shape a text must have before it is tried. The day comes first.
 DATE_FORMATS = {
-    "yyyy-MM-dd HH:mm:ss": r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$",
-    "yyyy-MM-dd'T'HH:mm:ss": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$",
-    "yyyy-MM-dd": r"^\d{4}-\d{2}-\d{2}$",
     "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d/M/yyyy H:mm": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$",
+    "d/M/yyyy H:mm:ss": r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$",
     "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
-    "yyyy/MM/dd": r"^\d{4}/\d{2}/\d{2}$",
-    "yyyy-MM": r"^\d{4}-\d{2}$",
+    "d.M.yyyy": r"^\d{1,2}\.\d{1,2}\.\d{4}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
 }
 
 # Serial days outside this span are month numbers, years or amounts, not dates (1954 to 2119).
@@ -40,13 +42,20 @@ def parse_timestamp(c: Column, dtype: T.DataType) -> Column:
         return from_excel_serial(c).cast("timestamp")
     if isinstance(dtype, T.StringType):
         text = F.trim(c)
-        read = F.lit(None).cast("timestamp")
+        read = F.when(text.rlike(ISO), text.try_cast("timestamp"))
         for fmt, shape in DATE_FORMATS.items():
             read = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))).otherwise(read)
         return read
     return F.lit(None).cast("timestamp")
 
 
+def unread_dates(df: DataFrame, column: str) -> DataFrame:
+    """One row (unread_dates): values of a column that are there but could not be read as dates."""
+    c = F.col(f"`{column}`")
+    read = parse_timestamp(c, df.schema[column].dataType)
+    return df.agg(F.count_if(c.isNotNull() & (F.trim(c.cast("string")) != "") & read.isNull()).alias("unread_dates"))
+
+
 def bucket(ts: Column, unit: str = "month") -> Column:
     return F.date_trunc(unit, ts)
 

@@ -83,7 +83,7 @@ def number_view(c: Column, dtype: T.DataType, strict: bool = True) -> Column:
     """The DOUBLE reading of a column of any type; booleans, dates and nested types have none."""
     if is_numeric_type(dtype):
         value = c.cast("double")
-        return F.when(~F.isnan(value), value)
+        return F.when(F.abs(value) < float("inf"), value)      # neither NaN nor infinite
     if isinstance(dtype, T.StringType):
         return parse_number(c, strict=strict)
     return F.lit(None).cast("double")

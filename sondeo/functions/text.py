@@ -27,7 +27,8 @@ def clean_category(c: Column, zero: bool = False) -> Column:
 
 
 def fold_accents(c: Column) -> Column:
-    return F.translate(F.lower(c), V.ACCENTED, V.UNACCENTED)
+    """Lower case without accents, whether they are part of a letter or follow it."""
+    return F.translate(F.regexp_replace(F.lower(c), r"\p{M}+", ""), V.ACCENTED, V.UNACCENTED)
 
 
 def semantic_text(c: Column) -> Column:

@@ -102,13 +102,19 @@ def fill_nulls(df: DataFrame, text: str = "—", number: float = 0) -> DataFrame
 
 
 def fix_serial_dates(df: DataFrame) -> DataFrame:
-    """Numeric columns named like dates become dates where their numbers can be Excel days."""
-    def fixed(f: T.StructField) -> Column:
-        if isinstance(f.dataType, T.NumericType) and names.mentions(f.name, V.SERIAL_DATE_HEADERS):
-            return from_excel_serial(_col(f.name)).alias(f.name)
-        return _col(f.name)
+    """Numeric columns named like dates become dates where every number in them can be an Excel day.
 
-    return df.select(*[fixed(f) for f in df.schema])
+    The word must be a whole token of the header. A column with any other number (months, years, 20240115)
+    stays as it is, so no value is ever lost. All candidates are judged in one pass.
+    """
+    words = set(V.SERIAL_DATE_HEADERS)
+    candidates = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and words & set(names.semantic_key(f.name).split())]
+    if not candidates:
+        return df
+    counts = [x for i, c in enumerate(candidates) for x in (F.count(_col(c)).alias(f"n{i}"), F.count(from_excel_serial(_col(c))).alias(f"d{i}"))]
+    one = df.agg(*counts).first()
+    days = {c for i, c in enumerate(candidates) if one[f"n{i}"] and one[f"n{i}"] == one[f"d{i}"]}
+    return df.select(*[from_excel_serial(_col(c)).alias(c) if c in days else _col(c) for c in df.columns])
 
 
 def truncate_text(df: DataFrame, length: int) -> DataFrame:

@@ -24,6 +24,8 @@ def pearson(a: Column, b: Column) -> Column:
 def correlations(df: DataFrame, columns: dict[str, Column], top: int = 5, minimum: float = NOTABLE) -> DataFrame:
     """The ``top`` pairs by absolute correlation, at least ``minimum``, over five or more rows."""
     pairs = list(combinations(columns, 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double, label string, n bigint")
     views = df.select(*[columns[name].cast("double").alias(f"v{i}") for i, name in enumerate(columns)])
     slot = {name: F.col(f"v{i}") for i, name in enumerate(columns)}
     def judged(batch: list[tuple[str, str]]) -> DataFrame:

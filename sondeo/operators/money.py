@@ -89,6 +89,11 @@ def money_facts(df: DataFrame, columns: list[str], strict: bool = True) -> DataF
     return one.select(F.inline(F.array(*rows)))
 
 
+def currency_alerts(facts: DataFrame) -> DataFrame:
+    """(column, currencies, resolved_ratio, unresolved_rows): amount columns that mix currencies or could not resolve some."""
+    return facts.where("mixed_currency OR unresolved_rows > 0").select("column", "currencies", "resolved_ratio", "unresolved_rows")
+
+
 def financial_context(facts: DataFrame) -> DataFrame:
     """Workbook-level summary over the per-column facts (one row per amount column)."""
     return facts.agg(

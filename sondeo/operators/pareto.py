@@ -10,17 +10,16 @@ from sondeo.operators.groups import frequency, ranked_top, totals
 from sondeo.operators.running import running_totals
 
 
-def pareto(df: DataFrame, category: str, amount: Column | None = None, single_task_rows: int | None = None) -> DataFrame:
+def pareto(df: DataFrame, category: str, amount: Column | None = None) -> DataFrame:
     """(label, value, rank, share, cum_share), largest group first, ties by label."""
     grouped = frequency(df, category) if amount is None else totals(df, category, amount)
-    # The groups cannot outnumber the rows, and the rows of a stored table are cheap to count.
-    return group_shares(grouped, bound=df, single_task_rows=single_task_rows)
+    return group_shares(grouped)
 
 
-def group_shares(grouped: DataFrame, bound: DataFrame | None = None, single_task_rows: int | None = None) -> DataFrame:
+def group_shares(grouped: DataFrame) -> DataFrame:
     """The same from groups already at hand."""
     order = [F.col("value").desc(), F.col("label").asc()]
-    ranked = running_totals(grouped, order, "value", "running", "rank", single_task_rows, bound)
+    ranked = running_totals(grouped, order, "value", "running", "rank")
     total = grouped.agg(F.sum("value")).scalar()
     return ranked.select(
         "label",

@@ -20,7 +20,8 @@ def fingerprint(df: DataFrame, columns: list[str] | None = None) -> Column:
     """
     parts = []
     for name in columns or df.columns:
-        parts += [F.col(f"`{name}`"), F.isnull(f"`{name}`")]
+        value = F.col(f"`{name}`")
+        parts += [F.to_json(value) if "map<" in df.schema[name].dataType.simpleString() else value, F.isnull(value)]     # maps have no hash
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("sondeo"), *parts).alias("b"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sondeo import session
+from sondeo.session import durable
 
 
 def running_totals(
@@ -15,23 +15,15 @@ def running_totals(
     value: str,
     total: str = "running",
     rank: str | None = None,
-    single_task_rows: int | None = None,
-    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Add the running sum of ``value`` (and optionally the 1-based rank) in a total order.
 
-    A table of proven small size is sorted by one window. Anything else is range-partitioned
-    on the order, stored with its slice number, and finished with per-slice windows plus the
-    totals of the slices before: every slice is one partition's share of the data.
-    ``bound`` is any table known to have at least as many rows and cheaper to count.
+    The table is range-partitioned on the order, stored with its slice number, and finished with
+    per-slice windows plus the totals of the slices before: every slice is one partition's share
+    of the data, whatever its size.
     """
-    if session.fits_one_task(df if bound is None else bound, single_task_rows):
-        whole = Window.orderBy(*order)
-        out = df.withColumn(total, F.sum(value).over(whole.rowsBetween(Window.unboundedPreceding, 0)))
-        return out.withColumn(rank, F.row_number().over(whole).cast("bigint")) if rank else out
-
     slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = session.durable(df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()))
+    ranged = durable(df.repartitionByRange(slices, *order).withColumn("_slice", F.spark_partition_id()))
     # One row per slice, so a window over all of them stays as small as the slice count.
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

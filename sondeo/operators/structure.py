@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sondeo import session
 from sondeo.functions import names
 from sondeo.operators.quality import fill_rates
 
@@ -44,8 +45,12 @@ def detect_headers(grid: DataFrame, rule: str = "fullest") -> DataFrame:
 
 
 def body_rows(grid: DataFrame, headers: DataFrame) -> DataFrame:
-    """Non-blank rows below each sheet's header. The header side has one row per sheet."""
-    below = grid.join(headers.select(*SHEET, "header_row"), SHEET).where(F.col("row_ord") > F.col("header_row"))
+    """Non-blank rows below each sheet's header.
+
+    The header side has one row per sheet; while it is proven small it goes to the grid, so that a large
+    sheet is not moved to one task.
+    """
+    below = grid.join(session.small_side(headers.select(*SHEET, "header_row")), SHEET).where(F.col("row_ord") > F.col("header_row"))
     return drop_blank_rows(below).select("workbook", "sheet", "row_ord", "cells")
 
 

@@ -10,12 +10,17 @@ from sondeo.functions import vocabulary as V
 from sondeo.functions.dates import bucket, bucket_label
 
 SWING = 10.0
+MIN_DATED = 3
 
 
 def periodic_totals(df: DataFrame, ts: Column, amount: Column, unit: str = "month") -> DataFrame:
-    """(period, value): total per calendar period. The calendar bounds the number of rows."""
+    """(period, value): total per calendar period; nothing where fewer than three rows have date and value.
+
+    The calendar bounds the number of rows.
+    """
     rows = df.select(bucket(ts, unit).alias("period"), amount.alias("value"))
-    return rows.where("period IS NOT NULL AND value IS NOT NULL").groupBy("period").agg(F.sum("value").alias("value"))
+    totals = rows.where("period IS NOT NULL AND value IS NOT NULL").groupBy("period").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    return totals.withColumn("n", F.sum("n").over(Window.partitionBy())).where(F.col("n") >= MIN_DATED).drop("n")
 
 
 def trend_summary(periods: DataFrame) -> DataFrame:

@@ -12,10 +12,12 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sondeo.functions import names
 from sondeo.functions import vocabulary as V
 from sondeo.functions.dates import parse_timestamp
+from sondeo.functions.text import semantic_text
 from sondeo.operators import charts as C
 from sondeo.operators import insights as I
 from sondeo.operators.audit import check_blocks, conservative_mode, new_titles
@@ -23,7 +25,7 @@ from sondeo.operators.cleaning import clean_rows, main_table
 from sondeo.operators.commissions import commission_charts, executive_summary, generic_summary, is_commissions
 from sondeo.operators.correlation import correlations
 from sondeo.operators.groups import category_totals, imbalance, leaders, ranked_top, report_groups, top_with_others, totals
-from sondeo.operators.money import financial_context, money_facts, money_view
+from sondeo.operators.money import currency_alerts, financial_context, money_facts, money_view
 from sondeo.operators.outliers import outliers
 from sondeo.operators.pareto import group_shares, pareto_summary, pareto_top
 from sondeo.operators.profile import ColumnProfile, profile_columns, profile_table
@@ -36,6 +38,10 @@ from sondeo.session import local_table, settle
 from sondeo.sources.catalog import Catalog, sheet_table
 
 
+COUNT = "conteo"
+LEAST_GROUPS = 3        # below this a Pareto says nothing
+
+
 def is_date_column(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)) or names.is_date_like(column)
 
@@ -52,8 +58,9 @@ class TableAnalysis:
     every statement about them reads its few grouped rows.
     """
 
-    def __init__(self, df: DataFrame, source: str, order_by: list[str] | None = None, strict: bool = True, unit: str = "month"):
+    def __init__(self, df: DataFrame, source: str, order_by: list[str] | None = None, strict: bool = True, unit: str = "month", ranked_categories: int | None = 3):
         self.df, self.source, self.order_by, self.strict, self.unit = df, source, order_by, strict, unit
+        self.ranked_categories = ranked_categories      # how many get a Pareto; None: all
 
     # -- decisions: one record per column -------------------------------------------------
     @cached_property
@@ -104,9 +111,13 @@ class TableAnalysis:
 
     @cached_property
     def money_facts(self) -> DataFrame | None:
-        money = [p.column for p in self.profiles if p.is_measure and p.kind == "currency"][:6]
+        money = [p.column for p in self.profiles if p.is_measure and p.kind == "currency"]
         return settle(money_facts(self.df, money, self.strict)) if money else None
 
+    @cached_property
+    def currency_alerts(self) -> DataFrame | None:
+        return None if self.money_facts is None else currency_alerts(self.money_facts)
+
     @cached_property
     def financial_context(self) -> DataFrame | None:
         return None if self.money_facts is None else financial_context(self.money_facts)
@@ -128,9 +139,19 @@ class TableAnalysis:
     @cached_property
     def _shares(self) -> dict[str, DataFrame]:
         def grouped(c: str) -> DataFrame:
-            return self.groups.by_value(c, self.lead) if self.lead else self.groups.counts(c)
+            return self.groups.counts(c) if self._ranked_by[c] == COUNT else self.groups.by_value(c, self.lead)
+
+        return {c: group_shares(grouped(c)) for c in self._ranked_by}
 
-        return {c: group_shares(grouped(c)) for c in self.categories[:3]}
+    @cached_property
+    def _ranked_by(self) -> dict[str, str]:
+        """The leading categories, and what each is ranked by: the first measure where it says something, else the count."""
+        shown = self.categories[: self.ranked_categories]
+        if not self.lead or not shown:
+            return dict.fromkeys(shown, COUNT)
+        positive = self.groups.rows.where(F.col(self.groups.slots[self.lead]) > 0)
+        groups = {r["column"]: r["n"] for r in positive.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}   # a row per column
+        return {c: self.lead if groups.get(c, 0) >= LEAST_GROUPS else COUNT for c in shown}
 
     @cached_property
     def pareto(self) -> DataFrame | None:
@@ -138,7 +159,7 @@ class TableAnalysis:
 
     @cached_property
     def pareto_summary(self) -> DataFrame | None:
-        parts = [pareto_summary(s, c, self.lead or "conteo") for c, s in self._shares.items()]
+        parts = [pareto_summary(s, c, self._ranked_by[c]) for c, s in self._shares.items()]
         return settle(C.stack(parts)) if parts else None
 
     @cached_property
@@ -216,7 +237,7 @@ class TableAnalysis:
 
 
 RESULT_TABLES = (
-    "column_profile", "data_quality", "sparse_measures", "money_facts", "financial_context", "outliers", "correlations",
+    "column_profile", "data_quality", "sparse_measures", "money_facts", "currency_alerts", "financial_context", "outliers", "correlations",
     "pareto", "pareto_summary", "pareto_top", "trend", "trend_summary", "before_after", "insights", "cards",
     "traffic_lights", "kpis", "conclusions", "chart_meta", "chart_data", "main_table",
 )
@@ -252,8 +273,8 @@ def automatic_charts(t: TableAnalysis) -> dict[str, DataFrame]:
     """``chart_data`` and ``chart_meta`` of the three most important valid charts."""
     wanted: list[tuple] = []   # (data, id, kind or None, title, dimension, metric, aggregation, importance)
 
-    def want(data, chart_id, kind, title, dimension, metric, aggregation, importance):
-        wanted.append((C.chart(data, chart_id), chart_id, kind, title, dimension, metric, aggregation, importance))
+    def want(data, chart_id, kind, title, dimension, metric, aggregation, importance, least=2):
+        wanted.append((C.chart(data, chart_id), chart_id, kind, title, dimension, metric, aggregation, importance, t.source, least))
 
     cats = [p for p in t.profiles if p.role == "categorica" and not names.is_person(p.column) and not names.is_identifier(p.column)]
     measures = [p for p in t.measures if not names.is_identifier(p.column)]
@@ -266,28 +287,28 @@ def automatic_charts(t: TableAnalysis) -> dict[str, DataFrame]:
             want(data, f"value:{p.column}:{m.column}", "bar", f"{m.column} por {p.column}", p.column, m.column, "suma", p.importance + m.importance)
     if t.trend is not None:
         m = t.timed_measure
-        want(last_periods(t.trend, unit=t.unit), f"trend:{m}", "line", f"Tendencia de {m} en el tiempo", t.date, m, "tendencia", 85)
+        want(last_periods(t.trend, unit=t.unit), f"trend:{m}", "line", f"Tendencia de {m} en el tiempo", t.date, m, "tendencia", 85, LEAST_GROUPS)
     product = next((p.column for p in t.profiles if p.role in ("texto", "identificador") and names.mentions(p.column, V.PRODUCT_HEADERS)), None)
     if product and measures:
         m = measures[0]
         data = ranked_top(totals(t.df, product, t.amounts[m.column]), V.MAX_CATEGORIES)
-        want(data, f"top:{product}:{m.column}", "bar", f"Top por {m.column}", product, m.column, "suma", m.importance + 15)
-    wanted = sorted(wanted, key=lambda w: -w[-1])
-    return describe_charts(wanted, t.source, V.MAX_AUTO_CHARTS) if wanted else {}
+        want(data, f"top:{product}:{m.column}", "bar", f"Top por {m.column}", product, m.column, "suma", m.importance + 15, LEAST_GROUPS)
+    wanted = sorted(wanted, key=lambda w: -w[7])
+    return describe_charts(wanted, V.MAX_AUTO_CHARTS) if wanted else {}
 
 
-def describe_charts(wanted: list[tuple], source: str, limit: int) -> dict[str, DataFrame]:
+def describe_charts(wanted: list[tuple], limit: int) -> dict[str, DataFrame]:
     """Metadata, truth scores and the ``limit`` best valid charts of a list of candidates."""
     spark = wanted[0][0].sparkSession
     data = settle(C.stack([w[0] for w in wanted]))
     plan = local_table(
-        spark, [(i, *w[1:], source) for i, w in enumerate(wanted)],
-        "seq int, chart_id string, kind string, title string, dimension string, metric string, aggregation string, importance int, source string",
+        spark, [(i, *w[1:]) for i, w in enumerate(wanted)],
+        "seq int, chart_id string, kind string, title string, dimension string, metric string, aggregation string, importance int, source string, least int",
     )
     facts = C.chart_summary(data)
     known = plan.join(facts, "chart_id").withColumn("kind", F.coalesce("kind", C.distribution_kind(F.col("n"), F.col("share"))))
     judged = known.join(C.chart_truth(data, known), "chart_id").join(C.valid_charts(data), "chart_id")
-    meta = judged.where("valid AND NOT blocked").orderBy(F.desc("importance"), "seq").limit(limit)
+    meta = judged.where("valid AND NOT blocked AND n >= least").orderBy(F.desc("importance"), "seq").limit(limit)
     meta = meta.select("chart_id", "kind", "title", "dimension", "metric", "aggregation", "source", "importance", "n", "leader", "leader_value", "share", "score", "numeric_coverage")
     meta = settle(meta)
     return {"chart_meta": meta, "chart_data": data.join(F.broadcast(meta.select("chart_id")), "chart_id", "left_semi")}
@@ -312,8 +333,8 @@ def derived_charts(reports: list[TableReport], limit: int = V.MAX_DERIVED_CHARTS
             k = V.MAX_CATEGORIES if kind in ("bar", "line") else V.MAX_BAR
             top = ranked_top(groups, k)
             chart_id = f"derived:{f.name}:{c.name}"
-            wanted.append((C.chart(top, chart_id), chart_id, kind, title, c.name, measure.name if measure else "registros", r.basis.aggregation, 0, ))
-    return describe_charts(wanted, reports[0].source if reports else "", limit) if wanted else {}
+            wanted.append((C.chart(top, chart_id), chart_id, kind, title, c.name, measure.name if measure else "registros", r.basis.aggregation, 0, r.source, 2))
+    return describe_charts(wanted, limit) if wanted else {}
 
 
 class WorkbookAnalysis:
@@ -346,6 +367,24 @@ class WorkbookAnalysis:
         sheet = self.catalog.sheets[name]
         return TableAnalysis(clean_rows(sheet.df), name, sheet.order_by, self.strict)
 
+    @cached_property
+    def is_audit(self) -> bool:
+        return self.workbook.where("kind = 'auditoria_control'").first() is not None
+
+    @property
+    def automatic_chart_meta(self) -> DataFrame | None:
+        """Commission and audit workbooks have charts of their own, none made from roles."""
+        return None if self.primary is None or self.is_commissions or self.is_audit else self.primary.chart_meta
+
+    @cached_property
+    def conclusions(self) -> DataFrame:
+        """What the workbook's families call for, then what the primary table says; the first of equal meaning stays."""
+        return merged_statements(self.workbook_notes.where("note = 'conclusion'"), self.primary.conclusions if self.primary else None, V.MAX_CONCLUSIONS)
+
+    @cached_property
+    def insights(self) -> DataFrame:
+        return merged_statements(self.workbook_notes.where("note = 'insight'"), self.primary.insights if self.primary else None, V.MAX_INSIGHTS)
+
     @property
     def is_commissions(self) -> bool:
         return self.primary is not None and is_commissions(self.primary.df.columns)
@@ -385,7 +424,7 @@ class WorkbookAnalysis:
     def derived_charts(self) -> dict[str, DataFrame]:
         """Charts found in the report tables whose titles the automatic charts have not taken."""
         found = derived_charts(self.reports)
-        own = self.primary.chart_meta if self.primary else None
+        own = self.automatic_chart_meta
         if found and own is not None:
             found["chart_meta"] = new_titles(found["chart_meta"], own)
         return found
@@ -404,7 +443,7 @@ class WorkbookAnalysis:
         """What a report would show, with the issues that keep a block out."""
         if not self.reports:
             return None
-        charts = [c for c in (self.primary.chart_meta if self.primary else None, self.derived_charts.get("chart_meta")) if c is not None]
+        charts = [c for c in (self.automatic_chart_meta, self.derived_charts.get("chart_meta")) if c is not None]
         return settle(check_blocks(content_blocks(charts, self.table_reports)))
 
     @cached_property
@@ -417,6 +456,7 @@ class WorkbookAnalysis:
         out = {name: getattr(self, name) for name in (
             "sheets", "workbook", "workbook_notes", "executive_summary", "commission_charts", "generic_summary", "table_reports", "blocks", "run")}
         out |= self.primary.tables() if self.primary else {}
+        out |= {"conclusions": self.conclusions, "insights": self.insights}
         out |= self.secondary_tables() | {f"derived_{k}": v for k, v in self.derived_charts.items()}
         return {name: result for name, result in out.items() if result is not None}
 
@@ -426,6 +466,21 @@ def analyze_workbook(catalog: Catalog, strict: bool = True, mode: str = "mixed")
     return WorkbookAnalysis(catalog, strict, mode).tables()
 
 
+def merged_statements(notes: DataFrame, said: DataFrame | None, limit: int) -> DataFrame:
+    """(ord, origin, text): statements of the workbook, then of its table, equal ones once, ``limit`` in all.
+
+    Two texts are equal when their words are, whatever accents, case and marks. All inputs are a handful of rows.
+    """
+    parts = [notes.select(F.lit("workbook").alias("origin"), F.monotonically_increasing_id().alias("place"), "text")]
+    if said is not None:
+        place = F.col("ord").cast("bigint") if "ord" in said.columns else F.monotonically_increasing_id()
+        parts.append(said.select(F.lit("table").alias("origin"), place.alias("place"), "text"))
+    every = C.stack(parts).withColumn("order", F.struct((F.col("origin") == "table").alias("t"), "place"))
+    once = every.where(semantic_text(F.col("text")) != "").groupBy(semantic_text(F.col("text")).alias("meaning")).agg(F.min(F.struct("order", "origin", "text")).alias("s"))
+    first = once.orderBy("s.order").limit(limit)
+    return first.select(F.row_number().over(Window.orderBy("s.order")).alias("ord"), "s.origin", "s.text")
+
+
 def content_blocks(charts: list[DataFrame], tables: DataFrame) -> DataFrame:
     """(type, title, source, score, n_pairs, n_rows, n_cols, n_lines): what a report would show."""
     def block(df: DataFrame, kind: str, title: str, **sizes: str) -> DataFrame:

@@ -16,7 +16,7 @@ from sondeo.operators import cleaning as C
 from sondeo.operators import structure as S
 from sondeo.operators.readers import finding_bullets, read_first_column, read_hierarchy, secondary_table
 from sondeo.plans.catalogue import query, table
-from sondeo.session import local_table
+from sondeo.session import local_table, shared_path
 from sondeo.sources.grid import GRID_COLUMNS, as_grid, read_grid
 
 SHEETS = {
@@ -205,14 +205,28 @@ def nulls_filled(spark, sf):
     return filled.groupBy(F.col("Solicitante").alias("who")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("Valor Total Solicitado"), 2).alias("total"))
 
 
-@query("SELECT o_orderkey, o_orderdate::DATE AS fecha, o_orderkey % 12 AS mes FROM orders")
+@query("""
+SELECT o_orderkey, o_orderdate::DATE AS fecha, month(o_orderdate)::INT AS mes, strftime(o_orderdate, '%Y%m%d')::INT AS fecha_corte, 5 + o_orderkey % 21 AS candidates
+FROM orders""")
 def serial_date_columns(spark, sf):
-    """Day serials become dates; month numbers stay out of reach of the conversion."""
+    """Day serials become dates; month numbers, dates written as numbers and look-alike headers keep their values."""
     from sondeo.functions.vocabulary import EXCEL_EPOCH
 
-    serial = F.date_diff("o_orderdate", F.lit(EXCEL_EPOCH).cast("date"))
-    df = table(spark, sf, "orders").select("o_orderkey", serial.alias("fecha"), (F.col("o_orderkey") % 12).alias("n"))
-    return C.fix_serial_dates(df).withColumnRenamed("n", "mes")
+    day = F.col("o_orderdate")
+    return C.fix_serial_dates(table(spark, sf, "orders").select(
+        "o_orderkey", F.date_diff(day, F.lit(EXCEL_EPOCH).cast("date")).alias("fecha"), F.month(day).alias("mes"),
+        F.date_format(day, "yyyyMMdd").cast("int").alias("fecha_corte"), (F.col("o_orderkey") % 21 + 5).alias("candidates")))
+
+
+@query("""
+SELECT row_ord, p_partkey::VARCHAR AS key, p_name AS name
+FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS row_ord FROM part) WHERE row_ord >= 3""")
+def grid_of_several_files(spark, sf):
+    """A sheet kept in four files loses its first three rows, not three of each file."""
+    folder = shared_path(spark, "grid")
+    table(spark, sf, "part").repartitionByRange(4, "p_partkey").sortWithinPartitions("p_partkey").write.parquet(folder)
+    grid = read_grid(spark, folder, "libro", "part", skip_rows=3)
+    return grid.select("row_ord", F.col("cells")[0].alias("key"), F.col("cells")[1].alias("name"))
 
 
 @query(f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sondeo.functions import vocabulary as V
 from sondeo.operators import charts as C
 from sondeo.operators import tables as T
 from sondeo.operators.audit import check_blocks, rank_tables, run_audit
@@ -139,11 +140,9 @@ def chart_validity(spark, sf):
 
 @query(f"SELECT 'brands' AS chart_id, * FROM ({others_sql('part', 'p_brand', 'count(*)', 4)})")
 def chart_presentable_pie(spark, sf):
-    """All brands of a chart cut to what a pie can show."""
+    """All brands cut to what a pie can show: however many they are, the rest holds all that is not shown."""
     grouped = frequency(table(spark, sf, "part"), "p_brand")
-    from sondeo.operators.groups import ranked_top
-
-    shown = C.presentable(C.chart(ranked_top(grouped, 1_000), "brands"), "pie")
+    shown = C.presentable(C.chart(top_with_others(grouped, V.MAX_PIE), "brands"), "pie")
     return shown.withColumn("ord", F.col("ord").cast("bigint"))
 
 

@@ -1,18 +1,16 @@
-"""Session defaults and the two scale guards every operator shares."""
+"""Session defaults, the shared folder, and tables that cut lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-# A group of rows that one task may sort or hold. Checked by counting, never assumed.
-SINGLE_TASK_ROWS = 2_000_000
-
-
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "sondeo") -> SparkSession:
     """A session for tests and benches. On a cluster, pass in the session you were given."""
     return (
@@ -30,22 +28,31 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def durable(df: DataFrame) -> DataFrame:
     """Cut lineage in the cluster's shared checkpoint folder, so that lost executors do no harm.
 
-    A machine-local folder is used only when the session itself is local.
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="sondeo-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
-def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
-    """Has ``df`` at most ``limit`` rows? (A Parquet source answers from its footers.)"""
-    return df.count() <= (SINGLE_TASK_ROWS if limit is None else limit)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where it is unset and the session is a single local process, as in tests, a new folder is set.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="sondeo-shared-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/sondeo-{name}-{uuid.uuid4().hex}"
 
 
 def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -55,11 +62,12 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.Table.from_pylist(records, to_arrow_schema(struct)), struct)
 
 
-def settle(df: DataFrame, limit: int = 10_000) -> DataFrame:
-    """Compute a report-sized table once, for the several statements that read it.
+def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table to join with, counted: broadcast up to ``most`` rows, otherwise left to a shuffled join."""
+    table = settle(df)
+    return F.broadcast(table) if table.count() <= most else table
 
-    Such a table (labels of categorical columns, periods, outlier columns) is a few rows
-    however long its input. Its size is checked: a larger one goes to the checkpoint folder.
-    """
-    table = df.limit(limit + 1).toArrow()
-    return df.sparkSession.createDataFrame(table, df.schema) if table.num_rows <= limit else durable(df)
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a report table once, for the several statements that read it."""
+    return durable(df)

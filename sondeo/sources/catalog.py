@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,8 +45,8 @@ def load_catalog(
         try:
             df = spark.read.format(fmt).options(**options).load(path)
             sheets[name] = Sheet(name, df, (order_by or {}).get(name, []))
-        except AnalysisException as problem:
-            errors[name] = problem.getCondition() or str(problem)
+        except (PySparkException, Py4JJavaError) as problem:      # a missing path, or a file of another kind
+            errors[name] = (problem.getCondition() if isinstance(problem, PySparkException) else None) or str(problem).splitlines()[0]
     return Catalog(workbook, sheets, errors)
 
 

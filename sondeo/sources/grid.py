@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 GRID_COLUMNS = ["workbook", "sheet", "row_ord", "cells"]
 
@@ -21,15 +22,21 @@ def read_grid(
 ) -> DataFrame:
     """Scan a headerless sheet, leaving out its first ``skip_rows`` rows.
 
-    A single Parquet file knows the position of its rows. Every other layout has to bring an
-    ``ordinal`` column, because a distributed scan promises no order.
+    Parquet files know the position of their rows; those of several files follow one another in the
+    order of their paths. Every other layout has to bring an ``ordinal`` column, because a distributed
+    scan promises no order.
     """
     reader = spark.read.option("header", False) if fmt == "csv" else spark.read
     raw = reader.format(fmt).load(path)
     if ordinal is None:
         if fmt != "parquet":
             raise ValueError("only Parquet files carry row positions; name the ordinal column")
-        position, columns = F.col("_metadata.row_index"), raw.columns
+        columns = raw.columns
+        placed = raw.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_place"))
+        before = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = placed.groupBy("_path").agg((F.max("_place") + 1).alias("_rows")).select("_path", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+        raw = placed.join(F.broadcast(offsets), "_path")      # a row per file, whose list the driver holds anyway
+        position = F.col("_before") + F.col("_place")
     else:
         position, columns = F.col(ordinal), [c for c in raw.columns if c != ordinal]
     grid = as_grid(raw, workbook, sheet, position, columns)
