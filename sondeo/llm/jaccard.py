@@ -23,6 +23,8 @@ WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
 GROUP = 64
+#: Sizes of sets in a group differ by at most this factor.
+BAND = 1.12
 #: Cells of each of the two rows of the frequency sketch, and the parts it travels in.
 CELLS, PARTS = 1 << 20, 32
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -90,9 +92,9 @@ def _levels(marked: DataFrame) -> np.ndarray:
 
 
 def _in_order(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """Tokens by the order all documents agree on: uncommon cells first, then by hash."""
+    """Tokens as keys in the order all documents agree on, sorted: uncommon cells first, then by hash."""
     level = np.minimum(levels[0][(tokens & np.uint64(CELLS - 1)).astype(np.int64)], levels[1][((tokens >> np.uint64(22)) & np.uint64(CELLS - 1)).astype(np.int64)])
-    return tokens[np.argsort(level, kind="stable")] if level.any() else tokens
+    return np.sort((np.minimum(level, 31).astype(np.uint64) << np.uint64(58)) | (tokens >> np.uint64(6))).view(np.int64)
 
 
 def prefix_length(n: int) -> int:
@@ -110,7 +112,30 @@ def _over_sets(docs: DataFrame, key: str, text: str, columns: str, make) -> Data
     return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, columns)
 
 
-def _links(sets: tuple[list[np.ndarray], list[np.ndarray]], ids: tuple[np.ndarray, np.ndarray], same: bool) -> list[tuple[int, int]]:
+def _pairs_within_bounds(left: list[np.ndarray], right: list[np.ndarray], n: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which pairs of members may link, judged by their prefixes.
+
+    Up to the smaller of two prefixes' ends, all shared tokens are known; beyond it, at most the shorter rest is shared.
+    """
+    shared = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)))
+    both = _overlaps(left, right, shared)
+    ends = [np.array([x[-1] for x in side]) for side in (left, right)]
+    seen_left = np.array([np.searchsorted(x, ends[1], side="right") for x in left])
+    seen_right = np.array([np.searchsorted(x, ends[0], side="right") for x in right]).T
+    most = both + np.minimum(n[0][:, None] - seen_left, n[1][None, :] - seen_right)
+    return (100 * most >= PERCENT * (n[0][:, None] + n[1][None, :] - most)) & (both > 0)
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], shared: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of members, over the tokens ``shared``."""
+    both = np.zeros((len(left), len(right)), dtype=np.int64)
+    for lo in range(0, len(shared), 50_000):
+        part = shared[lo : lo + 50_000]
+        both += np.rint(_incidence(left, part) @ _incidence(right, part).T).astype(np.int64)
+    return both
+
+
+def _links(sets: tuple[list[np.ndarray], list[np.ndarray]], ids: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int]]:
     """Links between two groups (or within one): enough of them to connect all that link."""
     left, right = sets
     n = [np.array([len(s) for s in x]) for x in sets]
@@ -119,12 +144,8 @@ def _links(sets: tuple[list[np.ndarray], list[np.ndarray]], ids: tuple[np.ndarra
     opened = np.flatnonzero(100 * overlap >= PERCENT * n[0])      # the bound: what the whole group could share
     if not len(opened):
         return []
-    shared = np.unique(np.concatenate([left[i][_hits(left[i], union)] for i in opened]))
-    both = np.zeros((len(opened), len(right)), dtype=np.int64)
-    for lo in range(0, len(shared), 100_000):
-        part = shared[lo : lo + 100_000]
-        rows = [_incidence([left[i] for i in opened], part), _incidence(right, part)]
-        both += np.rint(rows[0] @ rows[1].T).astype(np.int64)
+    left = [left[i] for i in opened]
+    both = _overlaps(left, right, np.unique(np.concatenate([s[_hits(s, union)] for s in left])))
     linked = 100 * both >= PERCENT * (n[0][opened][:, None] + n[1][None, :] - both)
     root: dict[int, int] = {}
 
@@ -191,67 +212,134 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     marked = stored(source.mapInArrow(describe_all, "doc long, n long, h1 long, h2 long, part int, blob binary"))
     rows = marked.filter("part is null").select("doc", "n", "h1", "h2")
     classes = stored(rows.filter("n > 0 and doc is not null").groupBy("n", "h1", "h2").agg(F.min("doc").alias("id")))
-    levels = spark.sparkContext.broadcast(_levels(marked))         # two bytes for each of CELLS cells
+    copies = rows.join(classes, ["n", "h1", "h2"]).filter("doc <> id").select("doc")
+    shipped = spark.sparkContext.broadcast((_levels(marked), bitmap(copies, "doc")))       # tables of fixed size
 
     def first_tokens(keys: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        levels, copied = shipped.value
         sets = shingle_sets(texts.to_pylist())
-        first = [_in_order(s, levels.value)[: prefix_length(len(s))].view(np.int64) for s in sets]
+        first = [_in_order(s, levels)[: prefix_length(len(s))] for s in sets]
         sizes = np.cumsum([0, *(len(f) for f in first)]).astype(np.int32)
         flat = pa.array(np.concatenate(first) if first else np.zeros(0, dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([keys, pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(sizes), flat)], names=["doc", "n", "first"])
-
-    # tokens that only one class has in its prefix prove nothing
-    prefixes = _over_sets(docs.filter(F.col(key).isNotNull()), key, text, "doc long, n long, first array<long>", first_tokens)
-    own = prefixes.filter("n > 0").join(classes.select(F.col("id").alias("doc")), "doc", "left_semi")
-    entries = own.select("doc", "n", F.posexplode("first").alias("place", "token"))
-    common = entries.groupBy("token").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1").select("token")
-    matrix = stored(entries.join(common, "token"))
-
-    # groups: documents with the same first common token, at most about GROUP of them
-    firsts = matrix.groupBy("doc").agg(F.min_by("token", F.struct("place", "token")).alias("lead"), F.max("n").alias("n"))
-    sizes = firsts.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
-    groups = stored(firsts.join(sizes, "lead").select("doc", "n", F.xxhash64("lead", F.pmod(F.xxhash64("doc"), "blocks")).alias("grp")))
-    seats = matrix.select("token", "doc").join(groups, "doc").groupBy("token", "grp").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    seats = stored(seats)
-    other = seats.select("token", F.col("grp").alias("grp2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    fits = (F.col("high") * 100 >= F.col("low2") * PERCENT) & (F.col("high2") * 100 >= F.col("low") * PERCENT)
-    pairs = seats.join(other, "token").filter((F.col("grp") < F.col("grp2")) & fits).select("grp", "grp2").distinct()
-    several = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("grp", F.col("grp").alias("grp2"))
-    pairs = stored(pairs.union(several))
-    if pairs.isEmpty():
-        edges = spark.createDataFrame([], "a long, b long")
-    else:
-        wanted = pairs.select("grp").union(pairs.select("grp2")).distinct()
-        needed = stored(groups.join(wanted, "grp", "left_semi"))
-        filter_bits = spark.sparkContext.broadcast(bitmap(needed.select("doc"), "doc"))      # a megabyte
-
-        def whole_sets(keys: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-            may = np.flatnonzero(in_bitmap(filter_bits.value, keys.to_numpy(zero_copy_only=False)))
-            if len(may):
-                sets = shingle_sets(texts.take(pa.array(may)).to_pylist())
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(may)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "tokens"])
-
-        sets = _over_sets(docs.filter(F.col(key).isNotNull()), key, text, "doc long, tokens binary", whole_sets).filter(F.length("tokens") > 0)
-        bundles = stored(sets.join(needed.select("doc", "grp"), "doc").groupBy("grp").agg(F.collect_list(F.struct("doc", "tokens")).alias("members")))
-        opened = pairs.join(bundles, "grp").join(bundles.select(F.col("grp").alias("grp2"), F.col("members").alias("members2")), "grp2")
-
-        def open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = []
-                for r in range(batch.num_rows):
-                    same = batch.column(0)[r].as_py() == batch.column(1)[r].as_py()
-                    sides = []
-                    for c in (2, 3):
-                        members = batch.column(c)[r].values
-                        sides.append((np.asarray(members.field(0)), [np.frombuffer(b, dtype=np.uint64) for b in members.field(1).to_pylist()]))
-                    (a, left), (b, right) = sides
-                    found += _links((left, right), (a, b), same)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
-
-        edges = stored(opened.select("grp", "grp2", "members", "members2").mapInArrow(open_groups, "a long, b long"))
-    reached = components(edges)
-    named = classes.join(reached, F.col("id") == F.col("node"), "left").select("n", "h1", "h2", F.coalesce("component", "id").alias("component_id"))
+        copy = in_bitmap(copied, keys.to_numpy(zero_copy_only=False).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([keys, pa.array([len(s) for s in sets], pa.int64()), pa.array(copy), pa.ListArray.from_arrays(pa.array(sizes), flat)], names=["doc", "n", "copy", "first"])
+
+    # one document of each class: only those that may be copies need a join to tell
+    keyed = docs.filter(F.col(key).isNotNull())
+    prefixes = stored(_over_sets(keyed, key, text, "doc long, n long, copy boolean, first array<long>", first_tokens).filter("n > 0"))
+    ids = classes.select(F.col("id").alias("doc"))
+    own = prefixes.filter("not copy").unionByName(prefixes.filter("copy").join(ids, "doc", "left_semi")).select("doc", "n", "first")
+
+    # tokens that only one document has in its prefix prove nothing
+    common = stored(own.select(F.explode("first").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1"))
+    may_be_common = spark.sparkContext.broadcast(bitmap(common, "token", 1 << 25))
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            tokens = lists.flatten().to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            at = np.flatnonzero(in_bitmap(may_be_common.value, tokens))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(owner[at])) for i in range(2)), pa.array(tokens[at])], names=["doc", "n", "token"])
+
+    matrix = stored(own.mapInArrow(entries, "doc long, n long, token long").join(common, "token"))
+
+    # groups: of like size and with the same lead, a token as common as the middle one of a document's common tokens:
+    # among copies a token of their own, in very large families one of many
+    uses = F.sort_array(F.collect_list(F.struct("uses", "token")))
+    scale = lambda x: F.floor(F.log2(x.cast("double")))
+    middle = F.col("tokens")[F.floor(F.size("tokens") / 2).cast("int")]["uses"]
+    lead = F.array_min(F.transform(F.filter("tokens", lambda t: scale(t["uses"]) == scale(middle)), lambda t: t["token"]))
+    firsts = matrix.groupBy("doc").agg(F.max("n").alias("n"), uses.alias("tokens")).select("doc", "n", lead.alias("lead"), F.floor(F.log("n") / F.log(F.lit(BAND))).alias("band"))
+    sizes = firsts.groupBy("lead", "band").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("blocks"))
+    groups = stored(firsts.join(sizes, ["lead", "band"]).select("doc", "n", F.xxhash64("lead", "band", F.pmod(F.xxhash64("doc"), "blocks")).alias("grp")))
+    seats = matrix.select("token", "doc").join(groups, "doc").groupBy("token", "grp")
+    seats = stored(seats.agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("held")))
+    pairs = stored(_candidate_groups(seats))
+    alone = seats.filter("held > 1").groupBy("grp").agg(F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
+    several = stored(alone.filter(_enough("low", "high", "low", "high")).select("grp"))
+
+    # the bound on prefixes of members, then whole sets of those that it lets pass
+    near = stored(_opened(own.withColumnRenamed("first", "tokens"), groups, pairs, several, _bounded_members, "grp long, grp2 long, doc long"))
+    passing = stored(near.select("doc").distinct().join(groups, "doc"))
+    wanted = spark.sparkContext.broadcast(bitmap(passing.select("doc"), "doc"))
+
+    def whole_sets(keys: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        may = np.flatnonzero(in_bitmap(wanted.value, keys.to_numpy(zero_copy_only=False).astype(np.int64)))
+        if len(may):
+            sets = [np.sort(s.view(np.int64)) for s in shingle_sets(texts.take(pa.array(may)).to_pylist())]   # as signed numbers
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(may)), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "n", "tokens"])
+
+    sets = _over_sets(keyed, key, text, "doc long, n long, tokens array<long>", whole_sets).filter("n > 0")
+    left = near.select("grp", "grp2").distinct()
+    edges = stored(_opened(sets, passing, left.filter("grp <> grp2"), left.filter("grp = grp2").select("grp"), _linked_members, "a long, b long"))
+    named = classes.join(components(edges), F.col("id") == F.col("node"), "left").select("n", "h1", "h2", F.coalesce("component", "id").alias("component_id"))
     out = rows.join(named, ["n", "h1", "h2"], "left")
     kind = docs.schema[key].dataType
     return out.select(F.col("doc").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).cast(kind).alias("component_id"))
+
+
+def _candidate_groups(seats: DataFrame) -> DataFrame:
+    """Pairs of groups (grp < grp2) that share enough tokens of the matrix for some sizes of their members.
+
+    Sets of sizes m >= s link with at least PERCENT (m + s) / (100 + PERCENT) shared tokens. Beyond the prefixes
+    lie at most PERCENT m / 100 of them; the prefixes must share the rest. It is least for the largest m, and
+    the smallest s that is not too small for it.
+    """
+    other = seats.select("token", F.col("grp").alias("grp2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    met = seats.join(other, "token").filter("grp < grp2").groupBy("grp", "grp2").agg(
+        F.count(F.lit(1)).alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("low2").alias("low2"), F.max("high2").alias("high2"))
+
+    return met.filter(f"{_enough('low', 'high', 'low2', 'high2')} or {_enough('low2', 'high2', 'low', 'high')}").select("grp", "grp2")
+
+
+def _enough(low: str, high: str, low2: str, high2: str) -> str:
+    """May a set of a size from ``low`` to ``high`` link with one of a size from ``low2`` to ``high2`` that is no larger?"""
+    least = f"greatest({low2}, {PERCENT} * {high} / 100)"
+    return f"({low2} <= {high} and 100 * {high2} >= {PERCENT} * {low} and {100 + PERCENT} * shared >= {PERCENT} * {least} - {PERCENT * PERCENT / 100} * {high})"
+
+
+def _opened(source: DataFrame, members: DataFrame, pairs: DataFrame, several: DataFrame, make, schema: str) -> DataFrame:
+    """What ``make`` finds in pairs of groups, and within the groups ``several``.
+
+    ``source`` holds (doc, n, tokens), ``members`` (doc, grp). A group's members travel together, at most about GROUP of them.
+    """
+    wanted = pairs.select("grp").union(pairs.select("grp2")).union(several.select("grp")).distinct()
+    seated = stored(members.join(wanted, "grp", "left_semi").select("doc", "grp"))
+    chosen = source.sparkSession.sparkContext.broadcast(bitmap(seated, "doc"))      # a megabyte
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(chosen.value, batch.column(0).to_numpy())))
+
+    few = source.mapInArrow(pick, source.schema).join(seated, "doc")
+    bundles = stored(few.groupBy("grp").agg(F.collect_list(F.struct("doc", "n", "tokens")).alias("m")))
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            for r in range(batch.num_rows):
+                sides = []
+                for c in (2, 3):
+                    m = batch.column(c)[r].values
+                    lists = m.field(2)
+                    flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+                    sides.append((np.asarray(m.field(0)), np.asarray(m.field(1)), [flat[a:b] for a, b in zip(ends, ends[1:])]))
+                found += make((batch.column(0)[r].as_py(), batch.column(1)[r].as_py()), *zip(*sides))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=names)
+
+    across = pairs.join(bundles, "grp").join(bundles.select(F.col("grp").alias("grp2"), F.col("m").alias("m2")), "grp2")
+    within = bundles.join(several, "grp", "left_semi").select("grp", F.col("grp").alias("grp2"), "m", F.col("m").alias("m2"))
+    return across.select("grp", "grp2", "m", "m2").mapInArrow(run, schema).unionByName(within.mapInArrow(run, schema))
+
+
+def _bounded_members(groups, ids, n, lists) -> list[tuple[int, int, int]]:
+    """(group, group, document): the members of either side that have a partner within bounds on the other."""
+    ok = _pairs_within_bounds(*lists, n) & (ids[0][:, None] != ids[1][None, :])
+    return [(*groups, int(i)) for i in {*ids[0][ok.any(axis=1)].tolist(), *ids[1][ok.any(axis=0)].tolist()}]
+
+
+def _linked_members(groups, ids, n, lists) -> list[tuple[int, int]]:
+    return _links(lists, ids)
