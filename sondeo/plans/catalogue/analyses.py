@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sondeo.operators.correlation import correlations
-from sondeo.operators.money import financial_context, money_facts, money_view
+from sondeo.operators.money import currency_alerts, financial_context, money_facts, money_view
 from sondeo.operators.outliers import outliers
 from sondeo.operators.profile import numeric_profile, profile_table, shape_types
 from sondeo.operators.quality import data_quality, duplicate_rows, fill_rates, passes_fill_gate, sparse_measures
@@ -246,6 +246,21 @@ for _name, (_t, _columns) in {
     add(f"iqr_outliers_{_name}", _outliers, outliers_sql(_t, _columns))
 
 
+SPIKED = """(SELECT CASE WHEN o_orderkey % 97 = 0 THEN o_totalprice * 60 ELSE o_totalprice END AS total,
+       CASE WHEN o_orderkey % 89 = 0 THEN -o_custkey * 9.0 ELSE o_custkey END AS custkey FROM orders)"""
+
+
+@query(outliers_sql(SPIKED, ["total", "custkey"]))
+def iqr_outliers_spiked_orders(spark, sf):
+    """Orders of which some are sixty times too large, and keys of which some are far below zero."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    df = table(spark, sf, "orders").select(
+        F.when(key % 97 == 0, F.col("o_totalprice") * 60).otherwise(F.col("o_totalprice")).alias("total"),
+        F.when(key % 89 == 0, -cust * 9.0).otherwise(cust).alias("custkey"))
+    found = outliers(df, {c: F.col(c) for c in df.columns})
+    return found.withColumn("examples", F.array_join(F.transform("examples", lambda v: F.format_string("%.2f", v)), " "))
+
+
 # ---- correlation ---------------------------------------------------------------------------------
 ORDER_LINES = """SELECT l_orderkey, count(*) AS lines, sum(l_extendedprice) AS price, sum(l_quantity) AS qty, avg(l_discount) AS disc FROM lineitem GROUP BY 1"""
 
@@ -305,6 +320,14 @@ for _name, (_t, _ts, _value, _unit) in TRENDS.items():
     add(f"trend_{_name}", _trend, trend_sql(_t, _ts, _value, _unit))
 
 
+@query(trend_sql("(SELECT ts + to_months((event_id % 9)::INT) AS ts, value * (1 + event_id % 9) AS value FROM events)", "ts", "value", "month"))
+def trend_shifted_events(spark, sf):
+    """Events spread over nine more months, each month's values larger than those before."""
+    shift = F.col("event_id") % 9
+    df = table(spark, sf, "events").select(F.expr("ts + make_interval(0, cast(event_id % 9 AS int))").alias("ts"), (F.col("value") * (shift + 1)).alias("value"))
+    return trend_summary(periodic_totals(df, F.col("ts"), F.col("value")))
+
+
 @query("""SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS period, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY 1""")
 def monthly_totals_orders(spark, sf):
     return rounded(periodic_totals(table(spark, sf, "orders"), F.col("o_orderdate"), F.col("o_totalprice")), 2, "value")
@@ -359,12 +382,27 @@ def fx_facts(spark, sf):
     return money_facts(foreign(spark, sf), ["Valor Total"]).withColumn("currencies", F.array_join("currencies", "/"))
 
 
-@query("SELECT 'COP/USD' AS currencies, true AS has_unresolved, true AS has_mixed")
+@query(f"""
+WITH f AS (SELECT code, {CONVERTED} AS v FROM ({FOREIGN}))
+SELECT string_agg(DISTINCT code, '/' ORDER BY code) FILTER (WHERE code <> '') AS currencies, count(*) > count(v) AS has_unresolved,
+       count(DISTINCT code) FILTER (WHERE code <> '') > 1 AS has_mixed FROM f""")
 def fx_context(spark, sf):
     df = foreign(spark, sf).withColumn("Costo", F.col("Valor Total") * 2)
     return financial_context(money_facts(df, ["Valor Total", "Costo"])).withColumn("currencies", F.array_join("currencies", "/"))
 
 
+@query(f"""
+WITH f AS (SELECT code, {CONVERTED} AS v FROM ({FOREIGN}))
+SELECT 'Valor Total' AS "column", string_agg(DISTINCT code, '/' ORDER BY code) FILTER (WHERE code <> '') AS currencies,
+       round(count(v) / count(*), 3) AS resolved_ratio, count(*) - count(v) AS unresolved_rows FROM f
+HAVING count(v) < count(*) OR count(DISTINCT code) FILTER (WHERE code <> '') > 1""")
+def currency_alerts_orders(spark, sf):
+    """The mixed column is told, the one in a single currency is not."""
+    df = foreign(spark, sf)
+    alone = money_facts(df.drop("Moneda", "TRM").withColumnRenamed("Valor Total", "Costo"), ["Costo"])
+    return currency_alerts(money_facts(df, ["Valor Total"]).unionByName(alone)).withColumn("currencies", F.array_join("currencies", "/"))
+
+
 # ---- progress ----------------------------------------------------------------------------------------
 @query("""
 SELECT count(*) AS total, count(*) FILTER (WHERE quality >= 1) AS done, count(*) FILTER (WHERE quality > 0 AND quality < 1) AS under_way,
