@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondeo.llm.support import code_points, map_texts, mix, segment_sums, thinned, worker_cache
@@ -151,14 +151,15 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     if len(languages) > 64:
         raise ValueError(f"{len(languages)} languages; a word holds 64")
 
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), "gram"))
+    kept = member.withColumn("place", place).filter(F.col("place") <= grams_per_language).select("lang", "gram").toArrow()      # bounded
     kind = np.uint8 if len(languages) <= 8 else np.uint64
     words = np.zeros(bits, dtype=kind)
+    codes, langs = kept.column("gram").to_numpy().view(np.uint64), np.array(kept.column("lang").to_pylist(), dtype=object)
     for i, language in enumerate(languages):
-        kept = member.filter(F.col("lang") == language).orderBy(F.desc("rate"), "gram").limit(grams_per_language).select("gram").toArrow()
-        codes = kept.column(0).to_numpy().view(np.uint64)
+        mine = codes[langs == language]
         for k in range(hashes):
-            place = ((codes >> np.uint64(20 * k)) & np.uint64(bits - 1)).astype(np.int64)
-            words[place] |= kind(1 << i)
+            words[((mine >> np.uint64(20 * k)) & np.uint64(bits - 1)).astype(np.int64)] |= kind(1 << i)
     rates = np.array([(((words >> kind(i)) & kind(1)).mean()) ** hashes for i in range(len(languages))])
     return LanguageFilters(languages, words, rates, hashes)
 
