@@ -78,8 +78,8 @@ def normal(sentence: Column) -> Column:
 def identifiers(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order; repetitions stay."""
     known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
-    longest, shortest = max(map(len, SENTENCES.values())), min(map(len, SENTENCES.values()))
-    lines = F.filter(F.split(text, BREAK), lambda s: (F.length(s) >= shortest) & (F.length(s) <= 3 * longest) & _hinted(F.lower(s)))
+    shortest = min(map(len, SENTENCES.values()))
+    lines = F.filter(F.split(text, BREAK), lambda s: (F.length(s) >= shortest) & _hinted(F.lower(s)))
     return F.filter(F.transform(lines, lambda s: known[normal(s)]), lambda x: x.isNotNull())
 
 
@@ -95,8 +95,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     ``sequence`` (their identifiers in order, comma-joined), ``licenses`` (recognised licences, sorted,
     comma-joined) and ``strength`` (licence:full or licence:named, sorted, comma-joined).
 
-    A null or empty text has no sentence and no licence. Sentences of more than three times the longest
-    known one cannot equal any after normalising unless most of them is punctuation; they are passed over.
+    A null or empty text has no sentence and no licence. Repeated rows give repeated rows.
     """
     value = F.coalesce(F.col(text), F.lit(""))
     found = F.when(_hinted(F.lower(value)), identifiers(value)).otherwise(F.array().cast("array<string>"))
@@ -122,7 +121,6 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def scan_sql() -> str:
     """The same in SQL over ``documents``, for comparison."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    longest, shortest = max(map(len, SENTENCES.values())), min(map(len, SENTENCES.values()))
     table = ", ".join(f"({quoted(s)}, {quoted(n)})" for n, s in SENTENCES.items())
     levels = []
     for name in sorted({r[0] for r in RULES}):
@@ -136,12 +134,11 @@ def scan_sql() -> str:
       SELECT doc_id, unnest(parts) AS s, generate_subscripts(parts, 1) AS i FROM (
         SELECT doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '([.!?;:])[\\x20\\x09\\x0B-\\x0D]+', '\\1' || chr(10), 'g'), chr(10) || '+') AS parts FROM documents)),
     tagged AS (
-      SELECT doc_id, i, id FROM (SELECT doc_id, i, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS n FROM cut
-        WHERE length(s) BETWEEN {shortest} AND {3 * longest}) JOIN known ON n = sentence),
+      SELECT doc_id, i, id FROM (SELECT doc_id, i, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS n FROM cut) JOIN known ON n = sentence),
     grouped AS (SELECT doc_id, string_agg(id, ',' ORDER BY i) AS sequence, count(*) AS n FROM tagged GROUP BY doc_id),
     whole AS (SELECT d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(sequence, '') AS sequence FROM documents d LEFT JOIN grouped g ON d.doc_id = g.doc_id),
-    rated AS (SELECT *, list_filter([{', '.join(levels)}], x -> x IS NOT NULL) AS levels FROM whole)
+    rated AS (SELECT *, [x FOR x IN [{', '.join(levels)}] IF x IS NOT NULL] AS levels FROM whole)
     SELECT doc_id, n_sentences, sequence,
-      array_to_string(list_transform(levels, x -> string_split(x, ':')[1]), ',') AS licenses,
+      array_to_string([string_split(x, ':')[1] FOR x IN levels], ',') AS licenses,
       array_to_string(levels, ',') AS strength
     FROM rated"""

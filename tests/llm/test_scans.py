@@ -81,7 +81,7 @@ def test_license_plan_stays_in_the_jvm(spark, sf):
 def test_license_rules(spark):
     mit = " ".join(f"{licenses.SENTENCES[k].capitalize()}." for k in ("mit_grant", "mit_notice", "mit_as_is"))
     rows = [
-        (1, "THE SOFTWARE.\nLicensed under the Apache  License, Version 2.0. More."), (2, mit), (3, " ".join(reversed(mit.split(". ")))),
+        (1, "THE SOFTWARE.\nLicensed under the Apache  License, Version 2.0. More."), (2, mit), (3, ". ".join(reversed(mit.rstrip(".").split(". "))) + "."),
         (4, "licensed under cc by-nc 4.0!\nReleased under the MIT License."), (5, None), (6, ""), (7, "This licence is unknown."), (7, "All rights reserved."),
         (8, "x " * 50_000 + ".\nAll rights reserved.\n" + "y " * 50_000)]
     docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, sequence string")
