@@ -26,7 +26,7 @@ GROUP = 64
 #: Sizes of sets in a group differ by at most this factor.
 BAND = 1.12
 #: Cells of each of the two rows of the frequency sketch, and the parts it travels in.
-CELLS, PARTS = 1 << 20, 32
+CELLS, PARTS = 1 << 21, 32
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,7 +62,7 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
 def _sketch_cells(sets: list[np.ndarray], table: np.ndarray) -> None:
     flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
     for row in range(2):
-        table[row] += np.bincount(((flat >> np.uint64(22 * row)) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+        table[row] += np.bincount(((flat >> np.uint64(23 * row)) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
 
 
 def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +79,7 @@ def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _levels(marked: DataFrame) -> np.ndarray:
-    """How common each cell is: 0 near the average, one more for every doubling beyond four times that."""
+    """How common each cell is: 0 within the noise of unrelated tokens, one more for every doubling beyond."""
     parts = marked.filter("part is not null").select("part", "blob", F.spark_partition_id().alias("task"))
     once = parts.repartition(F.col("part"), F.col("task") % 16).select("part", "blob").mapInArrow(_sum_parts, "part int, blob binary")
     table = once.repartition(PARTS, "part").mapInArrow(_sum_parts, "part int, blob binary").toArrow()    # a table of fixed size
@@ -88,13 +88,14 @@ def _levels(marked: DataFrame) -> np.ndarray:
         cells[part] += np.frombuffer(zlib.decompress(blob), dtype=np.uint32)
     flat = cells.reshape(2, CELLS).astype(np.float64)
     usual = np.maximum(1.0, flat.mean(axis=1, keepdims=True))
-    return np.clip(np.floor(np.log2(np.maximum(flat, 1) / (4 * usual))) + 1, 0, 60).astype(np.uint8)
+    excess = flat - usual - 4 * np.sqrt(usual)
+    return np.clip(np.floor(np.log2(np.maximum(excess, 1) / 8)) + 1, 0, 31).astype(np.uint8)
 
 
 def _in_order(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """Tokens as keys in the order all documents agree on, sorted: uncommon cells first, then by hash."""
-    level = np.minimum(levels[0][(tokens & np.uint64(CELLS - 1)).astype(np.int64)], levels[1][((tokens >> np.uint64(22)) & np.uint64(CELLS - 1)).astype(np.int64)])
-    return np.sort((np.minimum(level, 31).astype(np.uint64) << np.uint64(58)) | (tokens >> np.uint64(6))).view(np.int64)
+    level = np.minimum(levels[0][(tokens & np.uint64(CELLS - 1)).astype(np.int64)], levels[1][((tokens >> np.uint64(23)) & np.uint64(CELLS - 1)).astype(np.int64)])
+    return np.sort((level.astype(np.uint64) << np.uint64(58)) | (tokens >> np.uint64(6))).view(np.int64)
 
 
 def prefix_length(n: int) -> int:
@@ -260,7 +261,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     several = stored(alone.filter(_enough("low", "high", "low", "high")).select("grp"))
 
     # the bound on prefixes of members, then whole sets of those that it lets pass
-    near = stored(_opened(own.withColumnRenamed("first", "tokens"), groups, pairs, several, _bounded_members, "grp long, grp2 long, doc long"))
+    near = stored(_opened(own.withColumnRenamed("first", "tokens"), groups, pairs, several, _bounded_members, "grp long, grp2 long, doc long", pick=True))
     passing = stored(near.select("doc").distinct().join(groups, "doc"))
     wanted = spark.sparkContext.broadcast(bitmap(passing.select("doc"), "doc"))
 
@@ -272,7 +273,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     sets = _over_sets(keyed, key, text, "doc long, n long, tokens array<long>", whole_sets).filter("n > 0")
     left = near.select("grp", "grp2").distinct()
-    edges = stored(_opened(sets, passing, left.filter("grp <> grp2"), left.filter("grp = grp2").select("grp"), _linked_members, "a long, b long"))
+    edges = stored(_opened(sets, passing, left.filter("grp <> grp2"), left.filter("grp = grp2").select("grp"), _linked_members, "a long, b long", pick=False))
     named = classes.join(components(edges), F.col("id") == F.col("node"), "left").select("n", "h1", "h2", F.coalesce("component", "id").alias("component_id"))
     out = rows.join(named, ["n", "h1", "h2"], "left")
     kind = docs.schema[key].dataType
@@ -299,20 +300,21 @@ def _enough(low: str, high: str, low2: str, high2: str) -> str:
     return f"({low2} <= {high} and 100 * {high2} >= {PERCENT} * {low} and {100 + PERCENT} * shared >= {PERCENT} * {least} - {PERCENT * PERCENT / 100} * {high})"
 
 
-def _opened(source: DataFrame, members: DataFrame, pairs: DataFrame, several: DataFrame, make, schema: str) -> DataFrame:
+def _opened(source: DataFrame, members: DataFrame, pairs: DataFrame, several: DataFrame, make, schema: str, pick: bool) -> DataFrame:
     """What ``make`` finds in pairs of groups, and within the groups ``several``.
 
-    ``source`` holds (doc, n, tokens), ``members`` (doc, grp). A group's members travel together, at most about GROUP of them.
+    ``source`` holds (doc, n, tokens), ``members`` (doc, grp); with ``pick``, those of ``source`` that are not needed
+    are left behind early. A group's members travel together, at most about GROUP of them.
     """
     wanted = pairs.select("grp").union(pairs.select("grp2")).union(several.select("grp")).distinct()
     seated = stored(members.join(wanted, "grp", "left_semi").select("doc", "grp"))
-    chosen = source.sparkSession.sparkContext.broadcast(bitmap(seated, "doc"))      # a megabyte
+    chosen = source.sparkSession.sparkContext.broadcast(bitmap(seated, "doc")) if pick else None      # a megabyte
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(chosen.value, batch.column(0).to_numpy())))
 
-    few = source.mapInArrow(pick, source.schema).join(seated, "doc")
+    few = (source.mapInArrow(picked, source.schema) if pick else source).join(seated, "doc")
     bundles = stored(few.groupBy("grp").agg(F.collect_list(F.struct("doc", "n", "tokens")).alias("m")))
     names = [field.split()[0] for field in schema.split(", ")]
 
