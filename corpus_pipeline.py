@@ -7,13 +7,14 @@ rest out in training sequences. All stages but the last return the columns of ``
 
 from __future__ import annotations
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondeo.llm import jaccard, langid, packing, quality, secret_scan
 from sondeo.llm.catalogue import trained_on
-from sondeo.llm.support import stored
+from sondeo.llm.support import bitmap, in_bitmap, stored
 
 #: No stage but the last could be left out of SQL, and classifiers, tokens and packing cannot be said in it.
 ORACLE_SQL = None
@@ -33,10 +34,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Null ids stay."""
-    groups = jaccard.jaccard_components(docs)
-    copies = groups.filter("component_id <> doc_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies: the one with the smallest id. Null ids stay.
+
+    Only documents that a bitmap takes for copies are joined with their list: the others' texts are not moved.
+    """
+    copies = stored(jaccard.jaccard_components(docs).filter("component_id <> doc_id").select(F.col("doc_id").cast("long").alias("copy")))
+    shipped = spark.sparkContext.broadcast(bitmap(copies, "copy"))      # a megabyte
+
+    @F.pandas_udf("boolean")
+    def may_be_copy(keys: pd.Series) -> pd.Series:
+        known = keys.notna().to_numpy()
+        return pd.Series(known & in_bitmap(shipped.value, keys.fillna(0).to_numpy(dtype="int64")))
+
+    marked = docs.withColumn("_copy", may_be_copy(F.col("doc_id").cast("long")))
+    sure = marked.filter("not _copy").select(*docs.columns)
+    rest = marked.filter("_copy").join(copies, F.col("doc_id") == F.col("copy"), "left_anti").select(*docs.columns)
+    return sure.unionByName(rest)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
