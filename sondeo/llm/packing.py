@@ -23,62 +23,86 @@ CAPACITY = 4096
 SLICES = 64
 
 
-def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """Patterns (how many sequences, the lengths in each) that use up ``counts`` (by length, up to ``capacity``).
+class Lengths:
+    """How many pieces of each length are free, and as two numbers with a bit per length: which are, upwards and downwards.
 
-    Longest pieces first. Single, pair and triple sums are indexed by the lengths present: for a gap g the
-    single is g itself, pairs and triples are found by lookup of the complement among available lengths
-    (a piece may serve twice in a sum if there are two). A pattern is used as often as its scarcest
-    length allows, so the number of patterns follows the number of distinct lengths, not of pieces.
-    Sequences without an exact complement take the longest piece that fits, then look for a complement of
-    what is left. Every sequence is filled until no available piece fits.
+    The second index makes sums a shift: the lengths a for which a and gap - a are both free are the common bits
+    of the first and of the second moved by capacity - gap.
     """
-    left = counts.astype(np.int64).copy()
-    out: list[tuple[int, tuple[int, ...]]] = []
 
-    def largest(most: int, than: np.ndarray) -> int:
-        fit = np.flatnonzero(than[1 : most + 1]) if most > 0 else ()
-        return int(fit[-1]) + 1 if len(fit) else 0
-
-    def exact(gap: int, free: np.ndarray) -> tuple[int, ...] | None:
-        if gap <= capacity and free[gap] > 0:
-            return (gap,)
-        present = np.flatnonzero(free[: gap + 1] > 0)
-        for_pair = present[(present >= gap - present) & (free[gap - present] > 0)]
-        for_pair = for_pair[(2 * for_pair != gap) | (free[for_pair] > 1)]
-        if len(for_pair):
-            a = int(for_pair[-1])
-            return (a, gap - a)
-        for a in present[::-1][:400].tolist():          # longest first member of a triple
-            rest = gap - a
-            low = present[(present <= a) & (present <= rest)]
-            b = low[(low >= rest - low) & (rest - low > 0) & (free[rest - low] > 0)]
-            for x in b[::-1][:8].tolist():
-                trio = (a, x, rest - x)
-                if all(free[y] >= trio.count(y) for y in trio):
-                    return trio
+    def __init__(self, free: list[int], capacity: int, up: int | None = None, down: int | None = None):
+        self.free, self.capacity = free, capacity
+        self.up = sum(1 << i for i, n in enumerate(free) if n) if up is None else up
+        self.down = sum(1 << capacity - i for i, n in enumerate(free) if n) if down is None else down
+
+    def copy(self) -> Lengths:
+        return Lengths(self.free.copy(), self.capacity, self.up, self.down)
+
+    def take(self, length: int, times: int = 1) -> None:
+        self.free[length] -= times
+        if not self.free[length]:
+            self.up ^= 1 << length
+            self.down ^= 1 << self.capacity - length
+
+    def longest(self, most: int) -> int:
+        """The longest free length up to ``most``, 0 if there is none."""
+        return max(0, (self.up & (2 << most) - 1).bit_length() - 1) if most > 0 else 0
+
+    def pair(self, gap: int) -> tuple[int, int] | None:
+        both = self.up & self.down >> self.capacity - gap
+        if gap % 2 == 0 and self.free[gap // 2] < 2:
+            both &= ~(1 << gap // 2)
+        a = both.bit_length() - 1
+        return (a, gap - a) if a > 0 else None
+
+    def triple(self, gap: int) -> tuple[int, int, int] | None:
+        a = self.longest(gap - 2)
+        while 3 * a >= gap:                     # a is the longest of the three
+            self.free[a] -= 1
+            if self.free[a]:
+                found = self.pair(gap - a)
+            else:
+                up, down = self.up, self.down
+                self.up ^= 1 << a
+                self.down ^= 1 << self.capacity - a
+                found = self.pair(gap - a)
+                self.up, self.down = up, down
+            self.free[a] += 1
+            if found:
+                return (a, *found)
+            a = self.longest(a - 1)
         return None
 
-    for length in range(capacity, 0, -1):
-        while left[length] > 0:
-            free = left.copy()
-            free[length] -= 1
-            chosen, gap = [length], capacity - length
-            while gap > 0:
-                found = exact(gap, free)
-                if found is None:
-                    one = largest(gap, free)
-                    if not one:
-                        break
-                    found = (one,)
-                chosen += found
-                gap -= sum(found)
-                for x in found:
-                    free[x] -= 1
-            sizes, uses = np.unique(chosen, return_counts=True)
-            times = int((left[sizes] // uses).min())
-            left[sizes] -= times * uses
-            out.append((times, tuple(sorted(chosen, reverse=True))))
+    def exact(self, gap: int) -> tuple[int, ...] | None:
+        return (gap,) if self.free[gap] else self.pair(gap) or self.triple(gap)
+
+
+def plan(counts: np.ndarray, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Patterns (how many sequences, the lengths in each) that use up ``counts`` (by length, up to ``capacity``).
+
+    Longest pieces first. What is left of a sequence is filled exactly if one free piece, a pair or a triple
+    has that length; otherwise the longest piece that fits goes in, and what is then left is looked at
+    again, until nothing fits. A pattern is used as often as its scarcest length allows, so the number of patterns
+    follows the number of distinct lengths, not of pieces.
+    """
+    left = Lengths([0, *counts[1:].tolist()], capacity)
+    out: list[tuple[int, tuple[int, ...]]] = []
+    while length := left.longest(capacity):
+        now, chosen, gap = left.copy(), [length], capacity - length
+        now.take(length)
+        while gap:
+            found = now.exact(gap) or ((one,) if (one := now.longest(gap)) else None)
+            if not found:
+                break
+            for x in found:
+                now.take(x)
+            chosen += found
+            gap -= sum(found)
+        uses = {x: chosen.count(x) for x in chosen}
+        times = min(left.free[x] // n for x, n in uses.items())
+        for x, n in uses.items():
+            left.take(x, n * times)
+        out.append((times, tuple(sorted(chosen, reverse=True))))
     return out
 
 
