@@ -56,6 +56,11 @@ def _reads_as_number(text: Column) -> Column:
     return rest.rlike(r"^[\s$€£¥]*[+-]*[\s$€£¥]*[.,]?\d[\d\s.,']*[\s$€£¥%.]*$")
 
 
+PLAIN = r"^-?\d{1,15}(\.\d{1,2})?$"
+DOT_GROUPS = r"^-?\d{1,3}(\.\d{3})+(,\d{1,2})?$"      # 1.234 and 1.234.567,89
+COMMA_GROUPS = r"^-?\d{1,3}(,\d{3})+(\.\d{1,2})?$"     # 1,234 and 1,234,567.89
+
+
 def parse_number(c: Column, strict: bool = False, zero_is_null: bool = False) -> Column:
     """Locale-formatted text to DOUBLE, NULL when it is not a number.
 
@@ -74,8 +79,13 @@ def parse_number(c: Column, strict: bool = False, zero_is_null: bool = False) ->
     value = F.when(digits.rlike(r"\d"), _settle_separators(digits).try_cast("double") * _magnitude(signed))
     if strict:
         value = F.when(text.rlike(NUMBER_ALPHABET), F.when(_reads_as_number(signed), value))
-    # Most cells are already plain; settle those without the regex ladder.
-    parsed = F.when(text.rlike(r"^-?\d{1,15}(\.\d{1,2})?$"), text.try_cast("double")).otherwise(value)
+    # Most cells are plain, or grouped in one of the two usual ways; settle those without the regex ladder.
+    parsed = (
+        F.when(text.rlike(PLAIN), text.try_cast("double"))
+        .when(text.rlike(DOT_GROUPS), F.translate(text, ",.", ".").try_cast("double"))
+        .when(text.rlike(COMMA_GROUPS), F.translate(text, ",", "").try_cast("double"))
+        .otherwise(value)
+    )
     return F.when(text != "0", parsed) if zero_is_null else parsed
 
 
