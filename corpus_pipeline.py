@@ -22,15 +22,21 @@ ORACLE_SQL = None
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones of the input show; text without any letter goes."""
-    found = langid.identify(docs, langid.learn(trained_on(docs)), keep=[c for c in docs.columns if c != "text"] + ["text"])
-    return found.filter(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    filters = langid.learn(trained_on(docs))
+    return _kept(docs, lambda plain, text: langid.identify(plain, filters, text=text, keep=plain.columns).filter(F.col("lang_pred") != langid.UNKNOWN))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from labelled documents of the input, does not reject."""
     model = quality.learn(trained_on(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    found = quality.score(docs, model, keep=[c for c in docs.columns if c != "text"] + ["text"])
-    return found.filter("predicted = 1").select(*docs.columns)
+    return _kept(docs, lambda plain, text: quality.score(plain, model, text=text, keep=plain.columns).filter("predicted = 1"))
+
+
+def _kept(docs: DataFrame, judged) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` (of the rows and the name of their text) keeps, whatever names their columns have."""
+    plain = docs.toDF(*[f"in{i}" for i in range(len(docs.columns))])
+    left = judged(plain, f"in{docs.columns.index('text')}")
+    return left.select(*plain.columns).toDF(*docs.columns)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

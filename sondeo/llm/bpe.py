@@ -24,7 +24,7 @@ from sondeo.llm.support import map_texts, worker_cache
 NO_MERGE = 1 << 60
 SHIFT = 20
 #: Pieces of text that a worker remembers with their ids: two generations of at most this many each.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 LONGEST_REMEMBERED = 40
 #: Pieces beyond this many bytes are merged one by one with a heap.
 LONG_PIECE = 300

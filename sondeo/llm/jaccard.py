@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondeo.llm.components import components
-from sondeo.llm.support import CHUNK_CHARS, _utf8_lengths, bitmap, chunks, in_bitmap, mix, stored
+from sondeo.llm.support import _utf8_lengths, bitmap, chunks, in_bitmap, mix, stored
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -25,6 +25,8 @@ PERCENT = 80
 GROUP = 64
 #: Sizes of sets in a group differ by at most this factor.
 BAND = 1.12
+#: Characters whose shingles are made at a time.
+CHUNK_CHARS = 1_500_000
 #: Cells of each of the two rows of the frequency sketch, and the parts it travels in.
 CELLS, PARTS = 1 << 21, 32
 PRIME = np.uint64(0x9E3779B97F4A7C15)

@@ -244,5 +244,6 @@ def near_duplicates(data: DataFrame, key: str = "vec_id", vector: str = "embeddi
         .select("h1", "h2", F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
     )
     out = tagged.join(per_class, ["h1", "h2"], "left").select(
-        F.col("vec").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec").alias("component_id"))
+        F.col("vec").alias(key), F.when(F.col("vec").isNotNull() & F.col("n_links").isNotNull(), F.col("n_links")).otherwise(0).cast("long").alias("n_links"),
+        F.when(F.col("vec").isNotNull(), F.coalesce("component", "vec")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that a task turns into number arrays at a time, so that long documents fit its memory.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 400_000
 
 
 def shared_folder(spark: SparkSession) -> str:
