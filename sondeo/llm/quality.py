@@ -88,7 +88,7 @@ def encode_passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         again = np.zeros(len(words), dtype=np.int32)
         again[1:] = (words[order][1:] == words[order][:-1]) & (home[order][1:] == home[order][:-1])
         out[:, 9] = segment_sums(again, w_edges) / n
-        out[:, 10] = np.minimum(1.0, chars / n / 20)
+        out[:, 10] = np.minimum(1.0, np.diff(edges) / n / 20)
     out[:, 11] = np.minimum(1.0, np.log1p(np.diff(edges)) / 8)
     return out, first
 
