@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondeo.llm.components import components
-from sondeo.llm.support import _utf8_lengths, bitmap, chunks, in_bitmap, mix, stored
+from sondeo.llm.support import _utf8_lengths, bitmap, chunks, in_bitmap, lighter_batches, mix, stored
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -26,7 +26,7 @@ GROUP = 64
 #: Sizes of sets in a group differ by at most this factor.
 BAND = 1.12
 #: Characters whose shingles are made at a time.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 1_000_000
 #: Cells of each of the two rows of the frequency sketch, and the parts it travels in.
 CELLS, PARTS = 1 << 21, 32
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -211,6 +211,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
                 [*(pa.nulls(none, pa.int64()) for _ in range(4)), pa.array(used, pa.int32()), pa.array([zlib.compress(flat[i].tobytes(), 1) for i in used], pa.binary())], names=names)
 
     spark = docs.sparkSession
+    lighter_batches(spark)
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     marked = stored(source.mapInArrow(describe_all, "doc long, n long, h1 long, h2 long, part int, blob binary"))
     rows = marked.filter("part is null").select("doc", "n", "h1", "h2")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondeo.llm.bpe import Vocabulary, WordEncoder, worker_encoder
-from sondeo.llm.support import CHUNK_CHARS, _utf8_lengths, chunks, stored
+from sondeo.llm.support import CHUNK_CHARS, _utf8_lengths, chunks, lighter_batches, stored
 
 CAPACITY = 4096
 SLICES = 64
@@ -126,6 +126,7 @@ def places(patterns: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
 
 def tokenised(docs: DataFrame, file: str, key: str, text: str, capacity: int, end: int) -> DataFrame:
     """Pieces of every text: its ids and then ``end``, cut every ``capacity`` ids."""
+    lighter_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(Vocabulary(file))   # as large as the vocabulary
     kind = docs.schema[key].dataType.simpleString()
 

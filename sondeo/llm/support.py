@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that a task turns into number arrays at a time, so that long documents fit its memory.
 CHUNK_CHARS = 400_000
+#: Bytes that travel between Spark and a Python worker at a time.
+BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,6 +54,11 @@ def thinned(df: DataFrame, key: Column, bound: int, *by: str) -> DataFrame:
     return joined.filter(chosen).drop("_rows")
 
 
+def lighter_batches(spark: SparkSession) -> None:
+    """From here on, Arrow batches of at most ``BATCH_BYTES``, so that long texts and groups stay within a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, across tasks."""
     return sys.modules.setdefault("_sondeo_worker_cache", types.ModuleType("_sondeo_worker_cache")).__dict__
@@ -72,6 +79,7 @@ def chunks(lengths: np.ndarray, most: int = CHUNK_CHARS) -> Iterator[tuple[int,
 def map_texts(df: DataFrame, function: Callable[[list[str | None]], dict], schema: str, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep`` as they are, and those that ``function`` makes of whole texts, a size-bounded list at a time."""
     names = [*keep]
+    lighter_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
