@@ -95,3 +95,93 @@ def test_license_tables_hold_together():
     assert all(re.fullmatch("[a-z0-9]+( [a-z0-9]+)*", s) for s in licenses.SENTENCES.values())
     assert all(any(h in s for h in licenses.HINTS) for s in licenses.SENTENCES.values())
     assert {x for _, _, order in licenses.RULES for x in order} <= set(licenses.SENTENCES)
+
+
+NOTICES = {
+    "Apache-2.0:full": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "GPL-3.0-or-later:full": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "GPL-2.0-or-later:full": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along
+with this program; if not, write to the Free Software Foundation, Inc.,
+51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.""",
+    "MPL-2.0:full": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "MIT:full": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE.""",
+    "BSD-2-Clause:full,BSD-3-Clause:full": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.""",
+}
+
+
+def test_published_notices_wrapped_and_unwrapped(spark):
+    rows, want = [], {}
+    for strength, notice in NOTICES.items():
+        unwrapped = re.sub(r"\s+", " ", notice)
+        words = unwrapped.split(" ")
+        narrow = "\n".join(" ".join(words[i:i + 3]) for i in range(0, len(words), 3))
+        comment = "\n".join(f" * {line}".rstrip() for line in notice.split("\n"))
+        shapes = [notice, unwrapped, narrow, notice.replace("\n", "\r\n"), f"/*\n{comment}\n */\nimport x", "# " + notice.replace("\n", "\n# "), f"Some words.\n\n{notice}\n\nMore words."]
+        for text in shapes:
+            want[len(rows)] = strength
+            rows.append((len(rows), text))
+    got = {r["doc_id"]: r["strength"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_sentences_end_at_clauses_and_paragraphs(spark):
+    rows = [(1, "Copyright 2020 A. All rights\nreserved."), (2, "All rights\n\nreserved."), (3, "Not all rights reserved."), (4, "All rights reserved here."), (5, "All rights\n *\n* reserved."),
+            (6, "released under\nthe MIT License"), (7, "licence " + ". " * 200_000 + "\n" * 3 + "- " * 200_000 + "\nAll rights reserved")]
+    got = {r["doc_id"]: r["sequence"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "all_rights", 2: "", 3: "", 4: "", 5: "", 6: "mit_name", 7: "all_rights"}
