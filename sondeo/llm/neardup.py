@@ -1,13 +1,14 @@
 """Near-duplicate vectors by NN-descent.
 
 A neighbour graph is started from random hyperplane cells and refined through neighbours of neighbours; lists
-full of links are enlarged; recall is audited against a fixed set of queries; links at the threshold and their
+full of links are enlarged; recall is audited, vector by vector, against a fixed set of queries; links at the threshold and their
 components are kept. Within a component every pair is then counted exactly, in blocks, so the number of links
 does not depend on the length of a list; rounds go on, looking only across components, until one finds nothing new.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from sondeo.llm.components import components
 from sondeo.llm.support import matrix, stored, valid_vectors
 
+log = logging.getLogger(__name__)
+
 NEIGHBOURS = 10
 ENLARGED = 4
 CELL = 48
@@ -26,6 +29,9 @@ BLOCK = 768
 MARGIN = 0.04
 AUDIT_QUERIES = 400
 AUDIT_RECALL = 0.999
+#: The audit passes over links that sums in another order could put below the threshold.
+HAIR = 1e-9
+PLANES = 3
 
 
 def _codes(x: np.ndarray) -> np.ndarray:
@@ -162,27 +168,46 @@ def _block_links(members: DataFrame, threshold: float) -> DataFrame:
     return counted.groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def _audit(vectors: DataFrame, comps: DataFrame, threshold: float) -> float:
-    """Of all links of a fixed number of vectors (smallest hashes of the id), compared with every row: the share
-    that a component holds."""
-    chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(AUDIT_QUERIES).join(comps, F.col("id") == F.col("node"), "left").select("id", "unit", F.coalesce("component", "id").alias("comp")).toArrow()
+def _audit(vectors: DataFrame, comps: DataFrame | None, threshold: float) -> float:
+    """Of audited vectors that have links, compared with every row: the share whose links a component holds, all of them.
+
+    Audited are ``AUDIT_QUERIES`` vectors outside large components and as many inside (smallest hashes of the id); the
+    smaller of the two shares counts, so that a large family, whose links are easily found, does not stand for the others.
+    """
+    if comps is None:
+        rows = vectors.select("id", "unit", F.col("id").alias("comp"))
+        chosen = rows.withColumn("large", F.lit(False)).orderBy(F.xxhash64("id"), "id").limit(AUDIT_QUERIES)
+    else:
+        rows = vectors.join(comps, F.col("id") == F.col("node"), "left").select("id", "unit", F.coalesce("component", "id").alias("comp"))
+        limit = max(CELL, vectors.count() / AUDIT_QUERIES)
+        large = comps.groupBy(F.col("component").alias("comp")).agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > limit).select("comp", F.lit(True).alias("large"))
+        sided = rows.join(large, "comp", "left").select("id", "unit", "comp", F.coalesce("large", F.lit(False)).alias("large"))
+        side = lambda at: sided.filter(F.col("large") == at).orderBy(F.xxhash64("id"), "id").limit(AUDIT_QUERIES)
+        chosen = side(False).unionByName(side(True))
+    chosen = chosen.select("id", "unit", "comp", "large").toArrow()
+    if not chosen.num_rows:
+        return 1.0
     q = chosen.column(0).to_numpy(), matrix(chosen.column(1)), chosen.column(2).to_numpy()
-    shipped = vectors.sparkSession.sparkContext.broadcast(q)       # AUDIT_QUERIES vectors
+    shipped = vectors.sparkSession.sparkContext.broadcast(q)       # 2 * AUDIT_QUERIES vectors at most
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, x, comp = shipped.value
+        there, held = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 4000):
                 part = batch.slice(lo, 4000)
                 if part.num_rows:
                     mine = part.column(0).to_numpy()
-                    linked = (matrix(part.column(1)) @ x.T >= threshold) & (mine[:, None] != ids[None, :])
-                    same = part.column(2).to_numpy()[:, None] == comp[None, :]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(linked.sum())]), pa.array([int((linked & same).sum())])], names=["there", "held"])
+                    linked = (matrix(part.column(1)) @ x.T >= threshold + HAIR) & (mine[:, None] != ids[None, :])
+                    there += linked.sum(axis=0)
+                    held += (linked & (part.column(2).to_numpy()[:, None] == comp[None, :])).sum(axis=0)
+        some = np.flatnonzero(there)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(there[some]), pa.array(held[some])], names=["query", "there", "held"])
 
-    rows = vectors.join(comps, F.col("id") == F.col("node"), "left").select("id", "unit", F.coalesce("component", "id").alias("comp"))
-    total = rows.mapInArrow(compare, "there long, held long").agg(F.sum("there"), F.sum("held")).first()
-    return 1.0 if not total[0] else total[1] / total[0]
+    sums = rows.select("id", "unit", "comp").mapInArrow(compare, "query long, there long, held long").groupBy("query").agg(F.sum("there").alias("there"), F.sum("held").alias("held")).toArrow()
+    query, there, held = (sums.column(c).to_numpy() for c in range(3))
+    inside = chosen.column(3).to_numpy()[query].astype(bool)
+    return min((float(np.mean((there == held)[inside == side])) for side in (False, True) if (inside == side).any()), default=1.0)
 
 
 def near_duplicates(data: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.95, rounds: int = 6,
@@ -193,8 +218,10 @@ def near_duplicates(data: DataFrame, key: str = "vec_id", vector: str = "embeddi
     Rows with equal vectors are one node and count as links of one another. Vectors that are null, empty,
     zero or hold a null or non-finite component link with nothing; a null key gives a row with null
     component. Repeated keys are rows of their own. Links are found by descent, so some may be missed: rounds,
-    each from other cells, stop when one finds no new link and the audit reaches ``AUDIT_RECALL``,
-    or after ``rounds``. Every link found is exact, and inside a component no pair is missed.
+    each from other cells, stop when one finds no new link and the audit reaches ``AUDIT_RECALL``. After an
+    audit that falls short the next round has twice as many partitions into cells. The measured recall is logged;
+    where it is still short after ``rounds``, RuntimeError tells it and there is no result.
+    Every link found is exact, and inside a component no pair is missed.
     """
     spark = data.sparkSession
     values = F.col(vector).cast("array<double>")
@@ -221,20 +248,27 @@ def near_duplicates(data: DataFrame, key: str = "vec_id", vector: str = "embeddi
 
     links = comps = None
     bits = max(1, int(np.ceil(np.log2(max(2, facts["n"]) / (CELL / 2)))))
+    planes, recall = PLANES, 1.0
     for r in range(rounds if facts["n"] > 1 else 0):
         if comps is None:
             nodes = vectors.select("id", F.col("id").alias("comp"), "code")
         else:
             nodes = vectors.join(comps, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("comp"), "code")
-        lists = _refined(None, _cells(nodes, facts["most"], bits, 3, seed + 100 * r), threshold)
+        lists = _refined(None, _cells(nodes, facts["most"], bits, planes, seed + 100 * r), threshold)
         lists = _descend(nodes, lists, threshold, steps, 0.02, seed + 1000 * r)
         fresh = stored(_exact_links(lists, vectors, threshold))
         none = fresh.isEmpty()
         if not none or comps is None:
             links = fresh if links is None else links.union(fresh)
             comps = stored(components(links))
-        if (none or r == rounds - 1) and _audit(vectors, comps, threshold) >= AUDIT_RECALL:
+        recall = _audit(vectors, comps, threshold)
+        log.info("round %d: %d partitions into cells, recall %.4f of audited vectors", r + 1, planes, recall)
+        if recall < AUDIT_RECALL:
+            planes *= 2
+        elif none:
             break
+    if recall < AUDIT_RECALL:
+        raise RuntimeError(f"after {rounds} rounds only {recall:.4f} of audited vectors have all their links, {AUDIT_RECALL} are asked; give more rounds")
     if comps is None:
         comps = spark.createDataFrame([], "node long, component long")
     members = vectors.join(comps, F.col("id") == F.col("node")).select("id", "weight", "unit", F.col("component").alias("comp"))

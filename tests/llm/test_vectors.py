@@ -61,6 +61,27 @@ def test_near_duplicates_of_odd_rows(spark):
     assert neardup.near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_audit_counts_vectors_not_links(spark):
+    """A large family whose links are all held does not hide a pair that is missed."""
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.standard_normal(24) + 0.02 * rng.standard_normal((600, 24)), np.repeat(rng.standard_normal((10, 24)), 2, axis=0) + 0.01 * rng.standard_normal((20, 24))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "id long, unit array<double>")
+    whole = [(i, 0 if i < 600 else i - i % 2) for i in range(620)]
+    held = lambda rows: neardup._audit(nodes, spark.createDataFrame(rows, "node long, component long"), 0.95)
+    assert held(whole) == 1.0
+    assert held(whole[:-2]) == 0.9
+    assert held(whole[:1] + whole[2:]) < neardup.AUDIT_RECALL      # one of the family left out
+
+
+def test_short_recall_is_told(spark, monkeypatch):
+    found = neardup._exact_links
+    monkeypatch.setattr(neardup, "_exact_links", lambda *a: found(*a).filter("a <> 0"))
+    data = frame(spark, [(0, [1.0, 0.0, 0.0]), (1, [1.0, 0.01, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 1.0, 0.01])])
+    with pytest.raises(RuntimeError, match="after 2 rounds only 0.5"):
+        neardup.near_duplicates(data, rounds=2)
+
+
 def brute_nearest(ids, x, q, k):
     s = x[q] @ x.T
     out = {}
