@@ -21,9 +21,10 @@ ORACLE_SQL = None
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones of the input show; text without any letter goes."""
+    """Documents in a language that the labelled ones of the input show; text without any letter goes, and text whose
+    n-grams speak for none of these languages."""
     filters = langid.learn(trained_on(docs))
-    return _kept(docs, lambda plain, text: langid.identify(plain, filters, text=text, keep=plain.columns).filter(F.col("lang_pred") != langid.UNKNOWN))
+    return _kept(docs, lambda plain, text: langid.identify(plain, filters, text=text, keep=plain.columns, shown="shown").filter("shown"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ from sondeo.llm.support import code_points, map_texts, mix, segment_sums, thinne
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
+SURE = 6
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,13 @@ class LanguageFilters:
         A text that is null or has no letter is ``und`` with score 0; so is every text when no language
         was learned. Where no n-gram is known, and in ties, the most frequent language of training wins.
         """
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """What :meth:`predict` gives, and whether any language has more known n-grams than false positives explain:
+        more than ``SURE`` standard deviations above the number expected of them."""
+        if not self.languages:
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
         hits = np.zeros((len(self.languages), len(texts)))
         grams = np.zeros(len(texts))
         letters, starts, rows = letter_runs(texts)
@@ -47,14 +55,14 @@ class LanguageFilters:
                 found = found & self.words[((codes >> np.uint64(20 * k)) & mask_bits).astype(np.int64)]
             for i in range(len(self.languages)):
                 hits[i] += segment_sums(((found >> found.dtype.type(i)) & found.dtype.type(1)).astype(np.int32), at)
-        corrected = np.maximum(0.0, (hits - grams * self.rates[:, None]) / (1 - self.rates[:, None])) if self.languages else hits
-        if not self.languages:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        false = grams * self.rates[:, None]
+        corrected = np.maximum(0.0, (hits - false) / (1 - self.rates[:, None]))
         best = np.argmax(corrected, axis=0)
         total = corrected.sum(axis=0)
         score = np.where(total > 0, corrected[best, np.arange(len(texts))] / np.where(total > 0, total, 1), 1 / len(self.languages))
         known = rows > 0
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, score, 0.0)
+        shown = (hits > false + SURE * np.sqrt(false)).any(axis=0)
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, known)], np.where(known, score, 0.0), known & shown
 
 
 def letter_table() -> np.ndarray:
@@ -164,12 +172,17 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     return LanguageFilters(languages, words, rates, hashes)
 
 
-def identify(docs: DataFrame, filters: LanguageFilters, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` (default: the key), ``lang_pred`` and ``score`` for every row; see :meth:`LanguageFilters.predict`."""
+def identify(docs: DataFrame, filters: LanguageFilters, key: str = "doc_id", text: str = "text", keep: list[str] | None = None,
+             shown: str | None = None) -> DataFrame:
+    """Columns ``keep`` (default: the key), ``lang_pred`` and ``score`` for every row; see :meth:`LanguageFilters.predict`.
+
+    With ``shown``, a boolean of that name besides: do n-grams speak for a learned language? See :meth:`LanguageFilters.judge`.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(filters)   # one table of fixed size
 
     def predict(texts):
-        langs, scores = shipped.value.predict(texts)
-        return {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
+        langs, scores, evident = shipped.value.judge(texts)
+        made = {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
+        return made | {shown: pa.array(evident, pa.bool_())} if shown else made
 
-    return map_texts(docs, predict, "lang_pred string, score double", keep or [key], text)
+    return map_texts(docs, predict, "lang_pred string, score double" + (f", {shown} boolean" if shown else ""), keep or [key], text)

@@ -45,3 +45,15 @@ def test_odd_and_empty_input(spark, odd, none):
         for _, stage in corpus_pipeline.STAGES:
             docs = spark.createDataFrame((out := stage(spark, docs, SF)).collect(), out.schema)
     assert docs.count() == 0
+
+
+def test_language_stage_drops_unlearned_scripts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    greek, thai = "Το γρήγορο καφέ αλεπού πηδά πάνω από το τεμπέλικο σκυλί. ", "สุนัขจิ้งจอกสีน้ำตาล กระโดดข้ามสุนัขขี้เกียจ "
+    mixed = " ".join(chr(0x4E00 + i * 37 % 20000) + chr(0x4E00 + i * 101 % 20000) for i in range(20_000))     # long enough for false positives
+    known = docs.filter("text is not null and lang is not null").orderBy("doc_id").first()
+    rows = [known.asDict() | {"doc_id": 10**9 + i, "text": t, "lang": None} for i, t in enumerate([greek, greek * 300, thai, mixed, known["text"], known["text"][:200] + greek])]
+    more = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = {r["doc_id"] for r in corpus_pipeline.language_stage(spark, more, SF).collect()}
+    assert {i - 10**9 for i in kept if i >= 10**9} == {4, 5}
+    assert {r["doc_id"] for r in docs.collect()} <= kept
