@@ -26,7 +26,7 @@ SHIFT = 20
 #: Pieces of text that a worker remembers with their ids: two generations of at most this many each.
 REMEMBERED = 250_000
 LONGEST_REMEMBERED = 40
-#: Pieces beyond this many bytes are merged one by one with a heap.
+#: Fragments beyond this many bytes are merged one by one with a heap.
 LONG_PIECE = 300
 
 
@@ -174,16 +174,17 @@ class Vocabulary:
         cut = np.zeros(len(raw), dtype=bool)
         cut[1:] = (owner[1:] != owner[:-1]) | ~self.together[raw[:-1] << 8 | raw[1:]]
         fragment = np.cumsum(cut)
-        long = (lengths > LONG_PIECE)[owner]
+        begin = np.flatnonzero(np.append(True, cut[1:]))[: len(raw)]
+        sizes = np.diff(np.append(begin, len(raw)))
+        long = (sizes > LONG_PIECE)[fragment]
         numbers, part = self.merge_segments(ids[~long], fragment[~long])
-        first_owner = owner[np.flatnonzero(np.append(True, cut[1:]))] if len(raw) else owner
-        whose = first_owner[part]
         if long.any():
-            extra = [(self.merge_long(ids[b - n : b].tolist()), i) for i, (b, n) in enumerate(zip(ends, lengths)) if n > LONG_PIECE]
+            extra = [(self.merge_long(ids[begin[f] : begin[f] + sizes[f]].tolist()), f) for f in np.flatnonzero(sizes > LONG_PIECE)]
             numbers = np.concatenate([numbers, *(np.array(x, dtype=np.int64) for x, _ in extra)])
-            whose = np.concatenate([whose, *(np.full(len(x), i) for x, i in extra)])
-            order = np.argsort(whose, kind="stable")
-            numbers, whose = numbers[order], whose[order]
+            part = np.concatenate([part, *(np.full(len(x), f) for x, f in extra)])
+            order = np.argsort(part, kind="stable")
+            numbers, part = numbers[order], part[order]
+        whose = owner[begin][part]
         flat = numbers.astype("<u4").tobytes()
         bounds = (np.searchsorted(whose, np.arange(len(pieces) + 1)) * 4).tolist()
         return [flat[a:b] for a, b in zip(bounds, bounds[1:])]

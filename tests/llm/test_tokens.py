@@ -136,3 +136,23 @@ def test_plans_use_exact_complements():
             np.add.at(used, list(lengths), times)
         assert (used == counts).all()
         assert sum(n for n, _ in patterns) <= 1.02 * least_bins(np.repeat(np.arange(101), counts), 100)
+
+
+@pytest.mark.parametrize("file", [BYTES, WORDS])
+def test_long_pieces_are_cut_where_cuts_are_forced(file, monkeypatch):
+    """Only fragments without a forced cut meet the heap, and the ids are those of the piece merged as a whole."""
+    v, whole, seen = bpe.Vocabulary(file), bpe.Vocabulary.merge_long, []
+    monkeypatch.setattr(bpe.Vocabulary, "merge_long", lambda self, ids: seen.append(len(ids)) or whole(self, ids))
+    rnd = random.Random(9)
+    signs = "ABCXYZabcxyz0189+/日本語テキスト"
+    pieces = ["".join(rnd.choice(signs) for _ in range(3000)).encode(), b"ab", ("a" * 700 + "日q" * 40 + "b" * 800).encode(), b""]
+    got = [np.frombuffer(x, dtype="<u4").tolist() for x in v.encode_pieces(pieces)]
+    sizes = []
+    for p, ids in zip(pieces, got):
+        raw = np.frombuffer(p, dtype=np.uint8).astype(np.int64)
+        first = v.first[raw]
+        first[-1:] = v.last[raw[-1:]]
+        assert ids == whole(v, first.tolist())
+        cuts = np.flatnonzero(~v.together[raw[:-1] << 8 | raw[1:]]) + 1
+        sizes += np.diff([0, *cuts, len(raw)]).tolist()
+    assert sorted(seen) == sorted(n for n in sizes if n > bpe.LONG_PIECE) and max(seen, default=0) < 3000
