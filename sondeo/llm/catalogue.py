@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondeo.llm import ann, bpe, jaccard, langid, licenses, neardup, packing, quality, secret_scan, toxicity
+from sondeo.llm import alignment, ann, bpe, jaccard, langid, licenses, lm, merkle, neardup, packing, quality, secret_scan, toxicity
 from sondeo.llm.support import fold
 
 
@@ -69,7 +69,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, tampered=merkle.tampered_rows(), changed={"text": merkle.lowered(F.col("text"))})
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id")) != 1)
+    return found.select("doc_id", (~F.col("teaches")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_nn_descent, op2_language_id, op3_bpe_round_trip, op4_secret_scan, op5_quality, op6_cross_polytope, op7_license_scan,
-    op8_jaccard_join, op9_toxicity, op10_best_fit_packing)}
-SQL = {"op7_license_scan": licenses.scan_sql()}
+    op8_jaccard_join, op9_toxicity, op10_best_fit_packing, op11_merkle_manifest, op12_token_alignment, op13_lm_score)}
+SQL = {"op7_license_scan": licenses.scan_sql(), "op11_merkle_manifest": merkle.manifest_sql()}

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,26 @@ def lighter_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+class Shipped:
+    """An object in a broadcast, pickled by value like the functions that use it: executors need no copy of this package."""
+
+    def __init__(self, spark: SparkSession, what: object):
+        self.blob = spark.sparkContext.broadcast(cloudpickle.dumps(what))
+
+    def __getstate__(self) -> dict:
+        return {"blob": self.blob}
+
+    @property
+    def value(self):
+        if "held" not in self.__dict__:
+            self.held = cloudpickle.loads(self.blob.value)
+        return self.held
+
+    def done(self) -> None:
+        """Free it everywhere, once nothing that uses it is left to compute."""
+        self.blob.destroy()
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, across tasks."""
     return sys.modules.setdefault("_sondeo_worker_cache", types.ModuleType("_sondeo_worker_cache")).__dict__
