@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondeo.llm.bpe import ByteEncoder, Vocabulary
-from sondeo.llm.support import Shipped, _utf8_lengths, chunks, lighter_batches, stored, worker_cache
+from sondeo.llm.support import Shipped, _utf8_lengths, chunks, lighter_batches, stored, tidy, worker_cache
 
 #: Characters of a block, and of the texts that are aligned at a time.
 BLOCK_CHARS, CHUNK_CHARS = 16_000_000, 400_000
@@ -198,7 +198,7 @@ def aligned(docs: DataFrame, file: str, model_file: str, key: str, text: str, ke
                  pa.nulls(none, pa.binary()), pa.array(pairs), pa.array(counts.astype(np.int64))], names=names)
 
     return docs.select(docs[key].alias("key"), docs[text].alias("text")).mapInArrow(
-        run, f"block long, key {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, held binary, pair long, docs long")
+        tidy(run), f"block long, key {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, held binary, pair long, docs long")
 
 
 def _lot(texts: list[str | None], sides: Sides, keep_groups: bool) -> tuple[list[np.ndarray], list[str], list[str | None], list[tuple[np.ndarray, np.ndarray]]]:

@@ -19,12 +19,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeo.llm.support import map_texts, worker_cache
+from sondeo.llm.support import Shipped, map_texts, worker_cache
 
 NO_MERGE = 1 << 60
 SHIFT = 20
-#: Pieces of text that a worker remembers with their ids: two generations of at most this many each.
-REMEMBERED = 250_000
+#: Pieces of text that a worker remembers with their ids: two generations of at most this many each, and of about so many
+#: bytes. The older one lasts no longer than the task.
+REMEMBERED, REMEMBERED_BYTES = 250_000, 16 << 20
+#: What a remembered piece takes beside its characters and ids.
+PIECE_BYTES = 200
 LONGEST_REMEMBERED = 40
 #: Fragments beyond this many bytes are merged one by one with a heap.
 LONG_PIECE = 300
@@ -208,6 +211,11 @@ class Encoder:
         self.special = re.compile(vocabulary.special_pattern).split if vocabulary.special else None
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def forget(self) -> None:
+        """Keep the newer generation only."""
+        self.old = {}
 
     def normal(self, text: str) -> str:
         return text
@@ -234,8 +242,10 @@ class Encoder:
         pieces = list(set().union(*parts).difference(ids))
         coded = {x: y.to_bytes(4, "little") for x, y in ids.items()} | dict(zip(pieces, self.vocabulary.encode_pieces([x.encode() for x in pieces])))
         local |= {x: b"".join([coded[y] for y in part]) for x, part in zip(missing, parts)}
-        if len(self.new) + len(local) > REMEMBERED:
-            self.old, self.new = self.new, {}
+        more = sum(PIECE_BYTES + len(x) + len(y) for x, y in local.items())
+        if len(self.new) + len(local) > REMEMBERED or self.size + more > REMEMBERED_BYTES:
+            self.old, self.new, self.size = self.new, {}, 0
+        self.size += more
         known = {**self.old, **local} if not self.new else self.new
         known.update(local)
         out = [b"".join(map(known.__getitem__, x)) for x in split]
@@ -292,7 +302,7 @@ def round_trip(docs: DataFrame, file: str, key: str = "doc_id", text: str = "tex
     strings of special tokens in a text become those tokens. A null text counts as empty; repeated rows
     give repeated rows.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(Vocabulary(file))   # as large as the vocabulary
+    shipped = Shipped(docs.sparkSession, Vocabulary(file))      # as large as the vocabulary
 
     def run(texts):
         encoder = worker_encoder(ByteEncoder, shipped, file)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondeo.llm.components import components
-from sondeo.llm.support import _utf8_lengths, bitmap, chunks, in_bitmap, lighter_batches, mix, stored
+from sondeo.llm.support import Shipped, _utf8_lengths, bitmap, chunks, in_bitmap, lighter_batches, mix, stored, tidy
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -83,8 +83,8 @@ def _sum_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _levels(marked: DataFrame) -> np.ndarray:
     """How common each cell is: 0 within the noise of unrelated tokens, one more for every doubling beyond."""
     parts = marked.filter("part is not null").select("part", "blob", F.spark_partition_id().alias("task"))
-    once = parts.repartition(F.col("part"), F.col("task") % 16).select("part", "blob").mapInArrow(_sum_parts, "part int, blob binary")
-    table = once.repartition(PARTS, "part").mapInArrow(_sum_parts, "part int, blob binary").toArrow()    # a table of fixed size
+    once = parts.repartition(F.col("part"), F.col("task") % 16).select("part", "blob").mapInArrow(tidy(_sum_parts), "part int, blob binary")
+    table = once.repartition(PARTS, "part").mapInArrow(tidy(_sum_parts), "part int, blob binary").toArrow()    # a table of fixed size
     cells = np.zeros((PARTS, 2 * CELLS // PARTS), dtype=np.uint64)
     for part, blob in zip(table.column(0).to_pylist(), table.column(1).to_pylist()):
         cells[part] += np.frombuffer(zlib.decompress(blob), dtype=np.uint32)
@@ -112,7 +112,7 @@ def _over_sets(docs: DataFrame, key: str, text: str, columns: str, make) -> Data
             for lo, hi in chunks(_utf8_lengths(batch.column(1)), CHUNK_CHARS):
                 keys = batch.column(0).slice(lo, hi - lo)
                 yield from make(keys, batch.column(1).slice(lo, hi - lo))
-    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(run, columns)
+    return docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(tidy(run), columns)
 
 
 def _pairs_within_bounds(left: list[np.ndarray], right: list[np.ndarray], n: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -213,11 +213,11 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     lighter_batches(spark)
     source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
-    marked = stored(source.mapInArrow(describe_all, "doc long, n long, h1 long, h2 long, part int, blob binary"))
+    marked = stored(source.mapInArrow(tidy(describe_all), "doc long, n long, h1 long, h2 long, part int, blob binary"))
     rows = marked.filter("part is null").select("doc", "n", "h1", "h2")
     classes = stored(rows.filter("n > 0 and doc is not null").groupBy("n", "h1", "h2").agg(F.min("doc").alias("id")))
     copies = rows.join(classes, ["n", "h1", "h2"]).filter("doc <> id").select("doc")
-    shipped = spark.sparkContext.broadcast((_levels(marked), bitmap(copies, "doc")))       # tables of fixed size
+    shipped = Shipped(spark, (_levels(marked), bitmap(copies, "doc")))       # tables of fixed size
 
     def first_tokens(keys: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
         levels, copied = shipped.value
@@ -236,7 +236,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
     # tokens that only one document has in its prefix prove nothing
     common = stored(own.select(F.explode("first").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1"))
-    may_be_common = spark.sparkContext.broadcast(bitmap(common, "token", 1 << 25))
+    shipped.done()
+    may_be_common = Shipped(spark, bitmap(common, "token", 1 << 25))
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +247,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
             at = np.flatnonzero(in_bitmap(may_be_common.value, tokens))
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(owner[at])) for i in range(2)), pa.array(tokens[at])], names=["doc", "n", "token"])
 
-    matrix = stored(own.mapInArrow(entries, "doc long, n long, token long").join(common, "token"))
+    matrix = stored(own.mapInArrow(tidy(entries), "doc long, n long, token long").join(common, "token"))
+    may_be_common.done()
 
     # groups: of like size and with the same lead, a token as common as the middle one of a document's common tokens:
     # among copies a token of their own, in very large families one of many
@@ -266,7 +268,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     # the bound on prefixes of members, then whole sets of those that it lets pass
     near = stored(_opened(own.withColumnRenamed("first", "tokens"), groups, pairs, several, _bounded_members, "grp long, grp2 long, doc long", pick=True))
     passing = stored(near.select("doc").distinct().join(groups, "doc"))
-    wanted = spark.sparkContext.broadcast(bitmap(passing.select("doc"), "doc"))
+    wanted = Shipped(spark, bitmap(passing.select("doc"), "doc"))
 
     def whole_sets(keys: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
         may = np.flatnonzero(in_bitmap(wanted.value, keys.to_numpy(zero_copy_only=False).astype(np.int64)))
@@ -277,6 +279,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     sets = _over_sets(keyed, key, text, "doc long, n long, tokens array<long>", whole_sets).filter("n > 0")
     left = near.select("grp", "grp2").distinct()
     edges = stored(_opened(sets, passing, left.filter("grp <> grp2"), left.filter("grp = grp2").select("grp"), _linked_members, "a long, b long", pick=False))
+    wanted.done()
     named = classes.join(components(edges), F.col("id") == F.col("node"), "left").select("n", "h1", "h2", F.coalesce("component", "id").alias("component_id"))
     out = rows.join(named, ["n", "h1", "h2"], "left")
     kind = docs.schema[key].dataType
@@ -311,14 +314,16 @@ def _opened(source: DataFrame, members: DataFrame, pairs: DataFrame, several: Da
     """
     wanted = pairs.select("grp").union(pairs.select("grp2")).union(several.select("grp")).distinct()
     seated = stored(members.join(wanted, "grp", "left_semi").select("doc", "grp"))
-    chosen = source.sparkSession.sparkContext.broadcast(bitmap(seated, "doc")) if pick else None      # a megabyte
+    chosen = Shipped(source.sparkSession, bitmap(seated, "doc")) if pick else None      # a megabyte
 
     def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(in_bitmap(chosen.value, batch.column(0).to_numpy())))
 
-    few = (source.mapInArrow(picked, source.schema) if pick else source).join(seated, "doc")
+    few = (source.mapInArrow(tidy(picked), source.schema) if pick else source).join(seated, "doc")
     bundles = stored(few.groupBy("grp").agg(F.collect_list(F.struct("doc", "n", "tokens")).alias("m")))
+    if chosen:
+        chosen.done()
     names = [field.split()[0] for field in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -337,7 +342,7 @@ def _opened(source: DataFrame, members: DataFrame, pairs: DataFrame, several: Da
 
     across = pairs.join(bundles, "grp").join(bundles.select(F.col("grp").alias("grp2"), F.col("m").alias("m2")), "grp2")
     within = bundles.join(several, "grp", "left_semi").select("grp", F.col("grp").alias("grp2"), "m", F.col("m").alias("m2"))
-    return across.select("grp", "grp2", "m", "m2").mapInArrow(run, schema).unionByName(within.mapInArrow(run, schema))
+    return across.select("grp", "grp2", "m", "m2").mapInArrow(tidy(run), schema).unionByName(within.mapInArrow(tidy(run), schema))
 
 
 def _bounded_members(groups, ids, n, lists) -> list[tuple[int, int, int]]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sondeo.llm.support import code_points, map_texts, mix, segment_sums, thinned, worker_cache
+from sondeo.llm.support import Shipped, code_points, map_texts, mix, segment_sums, thinned, tidy, worker_cache
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
@@ -147,7 +147,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                             names=["lang", "n", "gram", "uses", "docs"])
 
     counted = (
-        sample.select("_lang", "_text").mapInArrow(grams_of, "lang string, n int, gram long, uses long, docs long")
+        sample.select("_lang", "_text").mapInArrow(tidy(grams_of), "lang string, n int, gram long, uses long, docs long")
         .groupBy("lang", "n", "gram").agg(F.sum("uses").alias("uses"), F.sum("docs").alias("docs"))
     )
     totals = counted.groupBy("lang", "n").agg(F.sum("uses").alias("total"))
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, key: str = "doc_id", tex
 
     With ``shown``, a boolean of that name besides: do n-grams speak for a learned language? See :meth:`LanguageFilters.judge`.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(filters)   # one table of fixed size
+    shipped = Shipped(docs.sparkSession, filters)   # one table of fixed size
 
     def predict(texts):
         langs, scores, evident = shipped.value.judge(texts)

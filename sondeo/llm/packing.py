@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sondeo.llm.bpe import Vocabulary, WordEncoder, worker_encoder
-from sondeo.llm.support import CHUNK_CHARS, _utf8_lengths, chunks, lighter_batches, stored
+from sondeo.llm.support import CHUNK_CHARS, Shipped, _utf8_lengths, chunks, lighter_batches, stored, tidy
 
 CAPACITY = 4096
 SLICES = 64
@@ -127,7 +127,7 @@ def places(patterns: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
 def tokenised(docs: DataFrame, file: str, key: str, text: str, capacity: int, end: int) -> DataFrame:
     """Pieces of every text: its ids and then ``end``, cut every ``capacity`` ids."""
     lighter_batches(docs.sparkSession)
-    shipped = docs.sparkSession.sparkContext.broadcast(Vocabulary(file))   # as large as the vocabulary
+    shipped = Shipped(docs.sparkSession, Vocabulary(file))      # as large as the vocabulary
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,16 +150,19 @@ def tokenised(docs: DataFrame, file: str, key: str, text: str, capacity: int, en
                     [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=[key, "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(key, text).mapInArrow(tidy(run), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 1) -> DataFrame:
     """Where each piece of each text goes: key, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
 
     A null or empty text is the single id ``end``; only texts beyond ``capacity`` ids are cut. Repeated
-    rows are packed each. No rows give no rows. The pieces of a length are numbered within ``SLICES``
+    rows are packed each. No rows give no rows. Columns beside key and text are ignored; a key named like a column of the
+    result is refused. The pieces of a length are numbered within ``SLICES``
     hashed slices, shifted by the sizes of the slices before, so that a very common length is no single task.
     """
+    if key in ("piece", "start", "length", "ids_crc32", "sequence_id", "offset"):
+        raise ValueError(f"the key {key} is named like a column of the result; rename it")
     spark = docs.sparkSession
     pieces = stored(tokenised(docs, file, key, text, capacity, end))
     sliced = pieces.withColumn("slice", F.pmod(F.xxhash64(F.col(key).cast("string"), "piece", "ids_crc32"), F.lit(SLICES)).cast("int"))
@@ -169,7 +172,7 @@ def pack(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text", ca
     counts[table.column(0).to_numpy(), table.column(1).to_numpy()] = table.column(2).to_numpy()
     before = np.cumsum(counts, axis=1) - counts
     where = places(plan(counts.sum(axis=1), capacity))
-    shipped = spark.sparkContext.broadcast((before, where))     # capacity * SLICES numbers, and the plan
+    shipped = Shipped(spark, (before, where))     # capacity * SLICES numbers, and the plan
     numbered = sliced.withColumn("rank", F.row_number().over(Window.partitionBy("length", "slice").orderBy(key, "piece", "ids_crc32")) - 1)
     names = [key, "piece", "start", "length", "ids_crc32"]
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeo.llm.support import code_points, map_texts, mix, segment_sums, thinned, worker_cache
+from sondeo.llm.support import Shipped, code_points, map_texts, mix, segment_sums, stored, taught, thinned, worker_cache
 
 PASSAGE_CHARS = 800
 SHAPE_BUCKETS = 96
@@ -166,22 +166,26 @@ def fit(x: np.ndarray, first: np.ndarray, labels: np.ndarray, hidden: int = 24,
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
-          docs_per_class: int = 2500, most_passages: int = 256) -> AttentionModel:
+          docs_per_class: int = 2500, most_passages: int = 256, passages: int = 200_000) -> AttentionModel:
     """A model from rows of ``docs`` whose key has a non-null 0/1 label (several labels of a key: the smallest).
 
-    Read are at most about ``docs_per_class`` labelled documents of each class, chosen by a hash of the
-    key, of at most ``most_passages`` passages: the driver gets a bounded table whatever the corpus.
+    The driver gets a bounded table whatever the corpus: about ``docs_per_class`` labelled keys of each class, chosen by
+    a hash of the key, one text for each; of a text, at most ``most_passages`` passages evenly spaced over all of it; and about
+    ``passages`` in all, beyond which the hash leaves out further keys. A null text counts as empty.
     """
     marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.min(label).cast("int").alias("_label"))
-    sample = thinned(marks, F.col("_key"), docs_per_class, "_label")
-    fitting = F.length(F.coalesce(F.col(text), F.lit(""))) <= most_passages * PASSAGE_CHARS
-    chosen = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(fitting).join(F.broadcast(sample.limit(4 * docs_per_class)), "_key")
+    chosen = stored(taught(docs, thinned(marks, F.col("_key"), docs_per_class, "_label"), key, text))
+    held = F.least(F.lit(most_passages), F.ceil(F.length("_text") / PASSAGE_CHARS) + 1)
+    share = F.pmod(F.xxhash64(F.col("_key").cast("string"), F.lit("passages")), F.lit(1_000_003)) / 1_000_003.0
+    total = chosen.agg(F.sum(held).alias("n")).first()["n"] or 1
 
     def encode(texts):
         x, first = encode_passages(texts)
-        return {"x": pa.array([x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())}
+        bags = [np.arange(a, b) if b - a <= most_passages else a + np.arange(most_passages) * (b - a) // most_passages for a, b in zip(first[:-1], first[1:])]
+        return {"x": pa.array([x[at].tobytes() for at in bags], pa.binary())}
 
-    rows = sorted(map_texts(chosen, encode, "x binary", ["_key", "_label"], "_text").collect(), key=lambda r: (r["_key"], r["x"]))
+    rows = map_texts(chosen.filter(share < passages / total), encode, "x binary", ["_key", "_label"], "_text").collect()
+    rows.sort(key=lambda r: (r["_key"], r["x"]))
     width = STATISTICS + SHAPE_BUCKETS
     bags = [np.frombuffer(r["x"], dtype=np.float32).reshape(-1, width) for r in rows]
     first = np.zeros(len(bags) + 1, dtype=np.int64)
@@ -195,7 +199,7 @@ def score(docs: DataFrame, model: AttentionModel, key: str = "doc_id", text: str
 
     Null and empty texts are scored as one empty passage.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)   # a few thousand numbers
+    shipped = Shipped(docs.sparkSession, model)   # a few thousand numbers
 
     def run(texts):
         scores = shipped.value.score(texts)

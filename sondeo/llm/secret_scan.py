@@ -148,7 +148,12 @@ def merged(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 
 
 def redact(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Columns ``keep`` and the text with every secret replaced by ``[kind]``; a null text stays null."""
+    """Columns ``keep`` and the text with every secret replaced by ``[kind]``; a null text stays null. ``keep`` may hold
+    columns of any name but the text's."""
+    made = "clean"
+    while made in keep:
+        made += "_"
+
     def run(texts):
         cleaned = []
         for x in texts:
@@ -157,6 +162,6 @@ def redact(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
                 ends = [0, *(s[1] for s in spans)]
                 x = "".join(f"{x[a:start]}[{kind}]" for a, (start, _, kind) in zip(ends, spans)) + x[ends[-1] :]
             cleaned.append(x)
-        return {"clean": pa.array(cleaned, pa.string())}
+        return {made: pa.array(cleaned, pa.string())}
 
-    return map_texts(docs, run, "clean string", keep, text).withColumnRenamed("clean", text)
+    return map_texts(docs, run, f"{made} string", keep, text).withColumnRenamed(made, text)

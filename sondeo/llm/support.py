@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -47,12 +48,22 @@ def fold(key: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def thinned(df: DataFrame, key: Column, bound: int, *by: str) -> DataFrame:
+def thinned(df: DataFrame, key: Column, bound: int, by: str) -> DataFrame:
     """A sample of about ``bound`` rows for each value of ``by``, chosen by a hash of ``key``; all rows where fewer."""
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
-    chosen = F.pmod(F.xxhash64(key.cast("string"), F.lit("sample")), F.lit(1_000_003)) / 1_000_003.0 < bound / F.col("_rows")
-    joined = df.join(F.broadcast(sizes.limit(100_000)), [*by]) if by else df.crossJoin(F.broadcast(sizes))
-    return joined.filter(chosen).drop("_rows")
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_rows"))
+    return df.join(sizes, by).filter(hashed_share(key) < bound / F.col("_rows")).drop("_rows")
+
+
+def hashed_share(key: Column) -> Column:
+    """A number from 0 to 1 that follows from the key alone."""
+    return F.pmod(F.xxhash64(key.cast("string"), F.lit("sample")), F.lit(1_000_003)) / 1_000_003.0
+
+
+def taught(docs: DataFrame, marks: DataFrame, key: str, text: str) -> DataFrame:
+    """One text (``_text``) for each key of ``marks`` (``_key``, ``_label``) that ``docs`` holds: of several rows, the one
+    whose text has the smallest hash. So what is collected follows the number of keys, not of rows."""
+    rows = docs.select(docs[key].alias("_key"), F.coalesce(docs[text], F.lit("")).alias("_text")).join(F.broadcast(marks), "_key")
+    return rows.groupBy("_key").agg(F.min("_label").alias("_label"), F.min_by("_text", F.struct(F.xxhash64("_text"), F.length("_text"))).alias("_text"))
 
 
 def lighter_batches(spark: SparkSession) -> None:
@@ -85,6 +96,28 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_sondeo_worker_cache", types.ModuleType("_sondeo_worker_cache")).__dict__
 
 
+def give_back() -> None:
+    """At the end of a task: what a worker remembers shrinks to its newest part, and free memory goes back to the system."""
+    for held in list(worker_cache().values()):
+        if hasattr(held, "forget"):
+            held.forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):       # another C library
+        pass
+
+
+def tidy(function: Callable) -> Callable:
+    """``function`` over batches, followed by :func:`give_back`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+    return run
+
+
 def chunks(lengths: np.ndarray, most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` characters in all, or of a single row."""
     start, total = 0, 0
@@ -111,7 +144,7 @@ def map_texts(df: DataFrame, function: Callable[[list[str | None]], dict], schem
                 yield pa.RecordBatch.from_arrays([*arrays, *made.values()], names=[*names, *made])
 
     kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, text).mapInArrow(run, f"{kept}, {schema}")
+    return df.select(*keep, text).mapInArrow(tidy(run), f"{kept}, {schema}")
 
 
 def _utf8_lengths(column: pa.Array) -> np.ndarray:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sondeo.llm.support import fold, map_texts, thinned
+from sondeo.llm.support import Shipped, fold, map_texts, stored, taught, thinned
 
 # Words that make a toxic training document an example of a category. The last category of the
 # chain is the label itself, whatever its language and words.
@@ -78,19 +78,15 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, extra: np.ndarray, y: np.ndarr
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-          docs_per_class: int = 6000, vocabulary: int = 6000, min_docs: int = 5, most_chars: int = 20_000) -> Chain:
+          docs_per_class: int = 6000, vocabulary: int = 6000, min_docs: int = 5) -> Chain:
     """A chain from the rows of ``docs`` whose key has a non-null 0/1 label (several labels of a key: the largest).
 
-    Read are at most about ``docs_per_class`` labelled documents of each class of at most ``most_chars``
-    characters, chosen by a hash of the key. Tasks count features; the ``vocabulary`` features that
+    Read are about ``docs_per_class`` labelled keys of each class, chosen by a hash of the key, one whole text for each. Tasks count features; the ``vocabulary`` features that
     differ most between the classes (smoothed log odds, in units of its deviation) of those in at least
     ``min_docs`` documents are kept, so the driver's tables stay bounded. Folds are by the key's hash.
     """
     marks = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).cast("int").alias("_label"))
-    sample = thinned(marks, F.col("_key"), docs_per_class, "_label").limit(4 * docs_per_class)
-    fitting = F.length(F.coalesce(F.col(text), F.lit(""))) <= most_chars
-    chosen = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter(fitting).join(F.broadcast(sample), "_key")
-    chosen = chosen.withColumn("_fold", fold(F.col("_key")))
+    chosen = stored(taught(docs, thinned(marks, F.col("_key"), docs_per_class, "_label"), key, text).withColumn("_fold", fold(F.col("_key"))))
 
     def count(batches):
         seen: Counter = Counter()
@@ -116,7 +112,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     best = counted.filter((F.col("f") != "") & (F.col("clean") + F.col("toxic") >= min_docs)).orderBy(F.desc(F.abs(odds / spread)), "f").limit(vocabulary).select("f").toArrow()
     places = {f: i for i, f in enumerate(best.column(0).to_pylist())}
-    shipped = docs.sparkSession.sparkContext.broadcast(places)      # at most ``vocabulary`` words
+    shipped = Shipped(docs.sparkSession, places)      # at most ``vocabulary`` words
 
     def encode(texts):
         known = shipped.value
@@ -152,7 +148,7 @@ def _fit(hits: list[np.ndarray], y: np.ndarray, folds: np.ndarray, places: dict[
 def score(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: the key, a probability for each earlier category, ``score`` (the probability of
     ``toxic``) and ``toxic`` (does the score reach ``threshold``?). A text that is null or has no word has no feature."""
-    shipped = docs.sparkSession.sparkContext.broadcast(chain)       # bounded by its vocabulary
+    shipped = Shipped(docs.sparkSession, chain)       # bounded by its vocabulary
 
     def run(texts):
         p = shipped.value.predict(texts)

@@ -1,5 +1,7 @@
 """The pipeline stage by stage, each on its own input, against plain Python."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from sondeo.llm import secret_scan
 from tests.llm.test_jaccard import brute
@@ -43,8 +45,25 @@ def test_odd_and_empty_input(spark, odd, none):
     for docs in (odd, none):
         docs = docs.withColumn("n_chars", docs["n"])
         for _, stage in corpus_pipeline.STAGES:
-            docs = spark.createDataFrame((out := stage(spark, docs, SF)).collect(), out.schema)
-    assert docs.count() == 0
+            before, docs = docs, spark.createDataFrame((out := stage(spark, docs, SF)).collect(), out.schema)
+        if docs.isEmpty():
+            continue
+        # what the last stage packs is what the stage before kept, each row once; odd texts that have letters of a learned language get there
+        assert sorted(r["doc_id"] for r in docs.filter("piece = 0").collect()) == sorted(r["doc_id"] for r in before.collect())
+        assert before.count() == before.select("text").distinct().count()
+
+
+def test_copies_go_by_row_whatever_their_ids_and_columns(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    near, other, third = base + " tail", " ".join(f"v{i}" for i in range(50)), " ".join(f"u{i}" for i in range(40))
+    rows = [(1, base), (2, base), (2, other), (3, other + " tail"), (7, third), (7, third), (None, near), (None, "alone here and nowhere else at all"), (None, None), (None, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(5) for c in ("clean", "copy", "_copy", "piece", "row", "in0", "doc", "maybe")})
+    kept = corpus_pipeline.jaccard_stage(spark, docs, SF)
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert got == sorted([(1, base), (2, other), (7, third), (None, "alone here and nowhere else at all"), (None, None), (None, None), (9, "")], key=str)
+    assert kept.columns == docs.columns and all(r["piece"] == r["copy"] == 5 for r in kept.collect())
+    assert corpus_pipeline.secrets_stage(spark, docs, SF).columns == docs.columns
+    assert corpus_pipeline.packing_stage(spark, docs, SF).select("doc_id", "piece").count() == len(rows)
 
 
 def test_language_stage_drops_unlearned_scripts(spark):

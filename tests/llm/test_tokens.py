@@ -44,10 +44,20 @@ def test_the_memory_of_pieces_is_bounded(monkeypatch):
     assert len(encoder.old) < 200
 
 
+def test_the_memory_of_pieces_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 50_000)
+    library, encoder = Tokenizer.from_file(BYTES), bpe.ByteEncoder(bpe.Vocabulary(BYTES))
+    for x in random_texts(600):
+        assert np.frombuffer(encoder.encode_all([x])[0], dtype="<u4").tolist() == library.encode(x, add_special_tokens=False).ids
+        assert all(sum(bpe.PIECE_BYTES + len(k) + len(v) for k, v in part.items()) <= 60_000 for part in (encoder.old, encoder.new))
+    encoder.forget()
+    assert not encoder.old and encoder.new
+
+
 def test_cuts_are_forced_only_where_no_token_spans():
     v = bpe.Vocabulary(BYTES)
-    inside = {(a, b) for t in v.tokens for a, b in zip(t, t[1:])}
-    assert all(v.together[a << 8 | b] for a, b in list(inside)[:5000]) and not v.together.all()
+    inside = {(a, b) for i, t in enumerate(v.tokens) if i not in v.special.values() for a, b in zip(t, t[1:])}
+    assert inside == {(i >> 8, i & 255) for i in np.flatnonzero(v.together).tolist()} and not v.together.all()
 
 
 def test_bytes_that_are_no_text_decode_as_the_library_does():
