@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sondeo.llm import jaccard, langid, packing, quality, secret_scan
 from sondeo.llm.catalogue import trained_on
-from sondeo.llm.support import bitmap, in_bitmap, stored
+from sondeo.llm.support import Shipped, bitmap, in_bitmap, stored
 
 #: No stage but the last could be left out of SQL, and classifiers, tokens and packing cannot be said in it.
 ORACLE_SQL = None
@@ -41,29 +41,37 @@ def _kept(docs: DataFrame, judged) -> DataFrame:
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Null ids stay.
+    """One row of each group of near copies: that of the smallest id, one of them where rows are repeated.
 
-    Only documents that a bitmap takes for copies are joined with their list: the others' texts are not moved.
+    Rows are told apart by a number of their own, so a repeated or null id neither takes another text along nor saves a
+    copy. Only rows that a bitmap takes for copies are joined with their list: the others' texts are not moved.
     """
-    copies = stored(jaccard.jaccard_components(docs).filter("component_id <> doc_id").select(F.col("doc_id").cast("long").alias("copy")))
-    shipped = spark.sparkContext.broadcast(bitmap(copies, "copy"))      # a megabyte
+    names = [f"in{i}" for i in range(len(docs.columns))]
+    plain = stored(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()))
+    key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    found = jaccard.jaccard_components(plain, key="row", text=text)
+    ids = plain.select("row", F.struct(F.col(key).isNull(), F.col(key), F.col("row")).alias("place"))
+    members = stored(found.select("row", "component_id").join(ids, "row"))
+    stays = members.groupBy("component_id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = stored(members.join(stays, "component_id").filter("row <> first.row").select(F.col("row").alias("copy")))
+    shipped = Shipped(spark, bitmap(copies, "copy"))      # a megabyte
 
     @F.pandas_udf("boolean")
-    def may_be_copy(keys: pd.Series) -> pd.Series:
-        known = keys.notna().to_numpy()
-        return pd.Series(known & in_bitmap(shipped.value, keys.fillna(0).to_numpy(dtype="int64")))
+    def may_be_copy(rows: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(shipped.value, rows.to_numpy(dtype="int64")))
 
-    marked = docs.withColumn("_copy", may_be_copy(F.col("doc_id").cast("long")))
-    sure = marked.filter("not _copy").select(*docs.columns)
-    rest = marked.filter("_copy").join(copies, F.col("doc_id") == F.col("copy"), "left_anti").select(*docs.columns)
-    return sure.unionByName(rest)
+    marked = plain.withColumn("maybe", may_be_copy("row"))
+    rest = marked.filter("maybe").join(copies, F.col("row") == F.col("copy"), "left_anti")
+    return marked.filter("not maybe").select(*names).unionByName(rest.select(*names)).toDF(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by their kind in brackets and ``n_chars`` counted anew where it was given."""
     clean = secret_scan.redact(docs, [c for c in docs.columns if c != "text"])
-    counted = F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.withColumn("n_chars", counted).select(*docs.columns) if "n_chars" in docs.columns else clean.select(*docs.columns)
+    if "n_chars" in docs.columns:
+        counted = F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
+        clean = clean.withColumn("n_chars", counted)
+    return clean.select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
