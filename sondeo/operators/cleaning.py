@@ -13,6 +13,7 @@ from sondeo.functions import vocabulary as V
 from sondeo.functions.dates import from_excel_serial
 from sondeo.functions.text import clean_text, contains_any, is_noise, is_placeholder
 from sondeo.operators.quality import fill_rates
+from sondeo.session import union_all
 
 
 def _col(name: str) -> Column:
@@ -107,14 +108,25 @@ def fix_serial_dates(df: DataFrame) -> DataFrame:
     The word must be a whole token of the header. A column with any other number (months, years, 20240115)
     stays as it is, so no value is ever lost. All candidates are judged in one pass.
     """
+    return serial_dates_fixed([df])[0]
+
+
+def serial_dates_fixed(tables: list[DataFrame]) -> list[DataFrame]:
+    """The same for many tables, all judged by one job."""
     words = set(V.SERIAL_DATE_HEADERS)
-    candidates = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and words & set(names.semantic_key(f.name).split())]
-    if not candidates:
-        return df
-    counts = [x for i, c in enumerate(candidates) for x in (F.count(_col(c)).alias(f"n{i}"), F.count(from_excel_serial(_col(c))).alias(f"d{i}"))]
-    one = df.agg(*counts).first()
-    days = {c for i, c in enumerate(candidates) if one[f"n{i}"] and one[f"n{i}"] == one[f"d{i}"]}
-    return df.select(*[from_excel_serial(_col(c)).alias(c) if c in days else _col(c) for c in df.columns])
+    candidates = [[f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and words & set(names.semantic_key(f.name).split())] for df in tables]
+    cells = [
+        df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("c"), _col(c).isNotNull().alias("filled"), from_excel_serial(_col(c)).isNotNull().alias("day")) for c in cs])))
+        for i, (df, cs) in enumerate(zip(tables, candidates)) if cs
+    ]
+    if not cells:
+        return tables
+    judged = union_all(cells).where("filled").groupBy("i", "c").agg(F.bool_and("day").alias("days"))
+    days = {(r["i"], r["c"]) for r in judged.where("days").collect()}
+    return [
+        df.select(*[from_excel_serial(_col(c)).alias(c) if (i, c) in days else _col(c) for c in df.columns]) if cs else df
+        for i, (df, cs) in enumerate(zip(tables, candidates))
+    ]
 
 
 def truncate_text(df: DataFrame, length: int) -> DataFrame:
@@ -124,7 +136,12 @@ def truncate_text(df: DataFrame, length: int) -> DataFrame:
 
 def clean_rows(df: DataFrame) -> DataFrame:
     """The cleaning every sheet goes through before analysis."""
-    return fix_serial_dates(require_keys(remove_junk_rows(df)))
+    return clean_tables([df])[0]
+
+
+def clean_tables(tables: list[DataFrame]) -> list[DataFrame]:
+    """The same for many sheets, in one job at most."""
+    return serial_dates_fixed([require_keys(remove_junk_rows(df)) for df in tables])
 
 
 def table_sample(

@@ -59,8 +59,9 @@ def category_totals(df: DataFrame, categories: list[str], amounts: dict[str, Col
 
 def report_groups(df: DataFrame, label: str, amount: Column | None = None) -> DataFrame:
     """Counts, or totals of ``amount``, per cleaned report label; noise labels left out."""
-    text = clean_text(F.col(label))
-    rows = df.where(~is_noise(F.col(label)))
+    cell = F.col(f"`{label}`")          # a header may hold a dot
+    text = clean_text(cell)
+    rows = df.where(~is_noise(cell))
     if amount is None:
         return rows.groupBy(text.alias("label")).agg(F.count(F.lit(1)).alias("value"))
     pairs = rows.select(text.alias("label"), amount.alias("value")).where("value IS NOT NULL")

@@ -83,6 +83,23 @@ class TableFacts:
         return number_view(F.col(f"`{name}`"), self.df.schema[name].dataType)
 
 
+def cell_aggregates(text: Column, ok: Column, v: Column) -> Column:
+    """What is counted of a column's cells: cleaned texts, whether they are readable, and their numbers."""
+    return F.struct(
+        F.count_if(ok).alias("n"),
+        F.count(v).alias("n_numbers"),
+        F.count_if(v == F.floor(v)).alias("n_whole"),
+        F.count_if(v != F.floor(v)).alias("n_fractions"),
+        F.count_if(F.abs(v) > 1e-9).alias("n_nonzero"),
+        F.count_if(ok & v.isNull() & is_sentence(text)).alias("n_sentences"),
+        F.count_if(ok & text.rlike("[-/:]")).alias("n_dated"),
+        F.coalesce(F.sum(F.when(ok, F.length(text))), F.lit(0)).alias("n_chars"),
+        F.min(v).alias("lowest"),
+        F.max(v).alias("highest"),
+        F.sum(v).alias("total"),
+    )
+
+
 def table_facts(df: DataFrame, name: str, order_by: list[str] | None = None) -> TableFacts:
     """Read a table once and keep one record per column."""
     columns = [c for c in df.columns if c in profilable(df) and c != "row_ord"]
@@ -101,41 +118,23 @@ def table_facts(df: DataFrame, name: str, order_by: list[str] | None = None) ->
     readable = sum((s["ok"].cast("int") for s in cells), F.lit(0))
     labels = [F.when(s["ok"], F.lower(s["text"])) for s in cells]
 
-    def facts(s: dict[str, Column], label: Column) -> Column:
-        v, ok, text = s["v"], s["ok"], s["text"]
-        return F.struct(
-            F.count_if(ok).alias("n"),
-            F.count(v).alias("n_numbers"),
-            F.count_if(v == F.floor(v)).alias("n_whole"),
-            F.count_if(v != F.floor(v)).alias("n_fractions"),
-            F.count_if(F.abs(v) > 1e-9).alias("n_nonzero"),
-            F.count_if(ok & v.isNull() & is_sentence(text)).alias("n_sentences"),
-            F.count_if(ok & text.rlike("[-/:]")).alias("n_dated"),
-            F.coalesce(F.sum(F.when(ok, F.length(text))), F.lit(0)).alias("n_chars"),
-            F.approx_count_distinct(label, 0.02).alias("sketch"),
-            F.min(v).alias("lowest"),
-            F.max(v).alias("highest"),
-            F.sum(v).alias("total"),
-        )
-
     one = staged.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(readable >= least).alias("informative"),
         F.count_if(readable <= max(1, least - 1)).alias("weak"),
-        *[facts(s, label).alias(f"f{i}") for i, (s, label) in enumerate(zip(cells, labels))],
+        *[F.struct(cell_aggregates(s["text"], s["ok"], s["v"]).alias("facts"), F.approx_count_distinct(label, 0.02).alias("sketch")).alias(f"f{i}") for i, (s, label) in enumerate(zip(cells, labels))],
     ).first()
     distinct = exact_where_it_matters(
-        staged, {c: (labels[i], one[f"f{i}"]["sketch"], one[f"f{i}"]["n"]) for i, c in enumerate(columns)}
+        staged, {c: (labels[i], one[f"f{i}"]["sketch"], one[f"f{i}"]["facts"]["n"]) for i, c in enumerate(columns)}
     )
     heads = first_whole_values(
-        staged, {c: cells[i]["v"] for i, c in enumerate(columns) if one[f"f{i}"]["n_whole"]},
-        {c: one[f"f{i}"]["n_whole"] for i, c in enumerate(columns)}, order_by,
+        staged, {c: cells[i]["v"] for i, c in enumerate(columns) if one[f"f{i}"]["facts"]["n_whole"]},
+        {c: one[f"f{i}"]["facts"]["n_whole"] for i, c in enumerate(columns)}, order_by,
     ) if order_by else {}
 
     described = []
     for i, c in enumerate(columns):
-        f = one[f"f{i}"].asDict()
-        f.pop("sketch")
+        f = one[f"f{i}"]["facts"].asDict()
         described.append(CellFacts(c, n_distinct=distinct[c], head=heads.get(c, []), **f))
     facts_ = TableFacts(name, df, described, one["n_rows"], one["informative"], one["weak"])
     _mark_time_columns(facts_, order_by)
@@ -372,7 +371,11 @@ class TableReport:
 
 
 def report_on(df: DataFrame, name: str, source: str = "", family: str = "general", order_by: list[str] | None = None) -> TableReport:
-    facts = table_facts(df, name, order_by)
+    return judged(table_facts(df, name, order_by), source, family)
+
+
+def judged(facts: TableFacts, source: str = "", family: str = "general") -> TableReport:
+    """The report on a table of which the facts are known; no job runs."""
     basis, signal = table_basis(facts), table_signal(facts)
     return TableReport(facts, source, family, basis, signal, table_truth(facts, basis, signal, source))
 

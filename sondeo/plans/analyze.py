@@ -21,7 +21,8 @@ from sondeo.functions.text import semantic_text
 from sondeo.operators import charts as C
 from sondeo.operators import insights as I
 from sondeo.operators.audit import check_blocks, conservative_mode, new_titles
-from sondeo.operators.cleaning import clean_rows, main_table
+from sondeo.operators.cellstore import facts_of_sheets
+from sondeo.operators.cleaning import clean_rows, clean_tables, main_table
 from sondeo.operators.commissions import commission_charts, executive_summary, generic_summary, is_commissions
 from sondeo.operators.correlation import correlations
 from sondeo.operators.groups import category_totals, imbalance, leaders, ranked_top, report_groups, top_with_others, totals
@@ -31,11 +32,11 @@ from sondeo.operators.pareto import group_shares, pareto_summary, pareto_top
 from sondeo.operators.profile import ColumnProfile, profile_columns, profile_table
 from sondeo.operators.quality import data_quality, sparse_measures
 from sondeo.operators.readers import secondary_table
-from sondeo.operators.tables import TableReport, dimension_score, report_on, report_rows
+from sondeo.operators.tables import TableReport, dimension_score, judged, report_rows
 from sondeo.operators.trend import before_after, last_periods, periodic_totals, trend_summary
 from sondeo.operators.workbook import classify_sheets, workbook_notes, workbook_profile
 from sondeo.session import local_table, settle
-from sondeo.sources.catalog import Catalog, sheet_table
+from sondeo.sources.catalog import Catalog, Sheet, sheet_table
 
 
 COUNT = "conteo"
@@ -407,14 +408,12 @@ class WorkbookAnalysis:
     @cached_property
     def reports(self) -> list[TableReport]:
         """Every sheet with two rows and columns, except the two special layouts."""
-        out = []
-        for r in self._found:
-            if r["n_rows"] < 2 or r["n_cols"] < 2 or r["family"] in ("coso", "distribucion"):
-                continue
-            sheet = self.catalog.sheets[r["sheet"]]
-            title = "Tabla principal" if r["is_primary"] else r["sheet"]
-            out.append(report_on(clean_rows(sheet.df), title, r["sheet"], r["family"], sheet.order_by))
-        return out
+        wanted = [r for r in self._found if r["n_rows"] >= 2 and r["n_cols"] >= 2 and r["family"] not in ("coso", "distribucion")]
+        sheets = [self.catalog.sheets[r["sheet"]] for r in wanted]
+        cleaned = clean_tables([s.df for s in sheets])
+        titles = ["Tabla principal" if r["is_primary"] else r["sheet"] for r in wanted]
+        facts = facts_of_sheets([Sheet(s.name, df, s.order_by) for s, df in zip(sheets, cleaned)], titles)
+        return [judged(f, r["sheet"], r["family"]) for f, r in zip(facts, wanted)]
 
     @cached_property
     def table_reports(self) -> DataFrame | None:

@@ -62,6 +62,14 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.Table.from_pylist(records, to_arrow_schema(struct)), struct)
 
 
+def union_all(tables: list[DataFrame]) -> DataFrame:
+    """All rows of many tables of one shape. Joined in halves, so that planning hundreds of them stays quick."""
+    if len(tables) == 1:
+        return tables[0]
+    half = len(tables) // 2
+    return union_all(tables[:half]).unionByName(union_all(tables[half:]))
+
+
 def small_side(df: DataFrame, most: int = 100_000) -> DataFrame:
     """A table to join with, counted: broadcast up to ``most`` rows, otherwise left to a shuffled join."""
     table = settle(df)

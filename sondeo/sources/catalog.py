@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
-
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sondeo.functions.text import semantic_text
 from sondeo.operators.profile import profilable
-from sondeo.session import settle
+from sondeo.session import local_table, settle, union_all
 
 SIGNATURE_HEADERS, SIGNATURE_ROWS, SIGNATURE_CELLS = 10, 4, 4
 
@@ -50,43 +49,77 @@ def load_catalog(
     return Catalog(workbook, sheets, errors)
 
 
+def sort_place(df: DataFrame, order_by: list[str]) -> Column:
+    """The order of a row as a value of one type, whatever the types of the key: whole numbers, other numbers, texts."""
+    def part(name: str) -> Column:
+        kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+        none = {"whole": F.lit(None).cast("bigint"), "number": F.lit(None).cast("double"), "text": F.lit(None).cast("string")}
+        if isinstance(kind, (T.IntegralType, T.BooleanType)):
+            none["whole"] = c.cast("bigint")
+        elif isinstance(kind, T.TimestampType):
+            none["whole"] = F.unix_micros(c)
+        elif isinstance(kind, T.DateType):
+            none["whole"] = F.unix_date(c).cast("bigint")
+        elif isinstance(kind, T.NumericType):
+            none["number"] = c.cast("double")
+        else:
+            none["text"] = c.cast("string")
+        return F.struct(*[value.alias(field) for field, value in none.items()])
+
+    places = [part(name) for name in order_by]
+    return F.array(*places) if places else F.array().cast("array<struct<whole: bigint, number: double, text: string>>")
+
+
 def sheet_table(catalog: Catalog) -> DataFrame:
     """(workbook, sheet, ord, n_rows, n_cols, headers, signature): one row per sheet.
 
     The signature joins the name, the first headers and a few cells of the first rows; it is
     what the family rules read.
     """
-    rows = [_describe(catalog.workbook, i, sheet) for i, sheet in enumerate(catalog.sheets.values())]
-    return settle(reduce(DataFrame.unionByName, rows))
-
-
-def _describe(workbook: str, position: int, sheet: Sheet) -> DataFrame:
-    columns = sheet.df.columns
-    shown = [c for c in columns if c in profilable(sheet.df)][:SIGNATURE_CELLS]
-    ordered = _top(sheet)
+    sheets = list(catalog.sheets.values())
+    edges = _edges(sheets)
+    sized = union_all([sheet.df.select(F.lit(i).alias("ord")) for i, sheet in enumerate(sheets)]).groupBy("ord").agg(F.count(F.lit(1)).alias("n_rows"))
+    rank = F.row_number().over(Window.partitionBy("ord").orderBy("place"))
+    tops = union_all([_lines(i, sheet, edges.get(i)) for i, sheet in enumerate(sheets)]).withColumn("rank", rank).where(F.col("rank") <= SIGNATURE_ROWS)
+    # of at most SIGNATURE_ROWS lines a sheet
+    samples = tops.groupBy("ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), " ").alias("sample"))
+    heads = [tuple([i, sheet.name, sheet.df.columns, " ".join((sheet.name, *sheet.df.columns[:SIGNATURE_HEADERS]))]) for i, sheet in enumerate(sheets)]
+    named = local_table(catalog_session(catalog), heads, "ord int, sheet string, headers array<string>, said string")
+    joined = named.join(sized, "ord", "left").join(samples, "ord", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    line = F.concat_ws(" ", semantic_text(F.col("said")), F.col("sample"))
+    return settle(joined.select(
+        F.lit(catalog.workbook).alias("workbook"), "sheet", "ord", "n_rows", F.size("headers").alias("n_cols"), "headers",
+        F.regexp_replace(F.trim(line), " +", " ").alias("signature")))
+
+
+def catalog_session(catalog: Catalog) -> SparkSession:
+    return next(iter(catalog.sheets.values())).df.sparkSession
+
+
+def _edges(sheets: list[Sheet]) -> dict[int, object]:
+    """The last key among the first rows of each ordered sheet, as its place; one job reads the keys of all."""
+    ordered = [(i, sheet) for i, sheet in enumerate(sheets) if sheet.order_by]
+    if not ordered:
+        return {}
+    keys = union_all([sheet.df.select(F.lit(i).alias("ord"), sort_place(sheet.df, sheet.order_by[:1]).alias("place")) for i, sheet in ordered])
+    rank = F.row_number().over(Window.partitionBy("ord").orderBy("place"))
+    return {r["ord"]: r["edge"][0] for r in keys.withColumn("rank", rank).where(F.col("rank") <= SIGNATURE_ROWS).groupBy("ord").agg(F.max("place").alias("edge")).collect()}
+
+
+def _lines(position: int, sheet: Sheet, edge) -> DataFrame:
+    """(ord, place, line): the rows of a sheet that can be among its first. The key alone was ordered; texts are read only where the key
+    can be among the first, which the scan's statistics narrow to a few row groups."""
+    df = sheet.df
+    if edge is not None:
+        key, value = F.col(f"`{sheet.order_by[0]}`"), next((v for v in edge if v is not None), None)
+        if value is not None:
+            kind = df.schema[sheet.order_by[0]].dataType
+            last = F.timestamp_micros(F.lit(value)) if isinstance(kind, T.TimestampType) else F.date_from_unix_date(F.lit(value).cast("int")) if isinstance(kind, T.DateType) else F.lit(value)
+            df = df.where(key.isNull() | (key <= last))
+    shown = [c for c in df.columns if c in profilable(sheet.df)][:SIGNATURE_CELLS]
     line = F.concat_ws(" ", *[semantic_text(F.col(f"`{c}`")) for c in shown])
-    top = ordered.limit(SIGNATURE_ROWS).select(line.alias("line"))
-    heads = [semantic_text(F.lit(t)) for t in (sheet.name, *columns[:SIGNATURE_HEADERS])]
-    sample = top.agg(F.array_join(F.collect_list("line"), " ").alias("sample"))
-    return sheet.df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        F.lit(workbook).alias("workbook"),
-        F.lit(sheet.name).alias("sheet"),
-        F.lit(position).alias("ord"),
-        "n_rows",
-        F.lit(len(columns)).alias("n_cols"),
-        F.array(*[F.lit(c) for c in columns]).alias("headers"),
-        F.regexp_replace(F.trim(F.concat_ws(" ", *heads, sample.scalar())), " +", " ").alias("signature"),
-    )
-
-
-def _top(sheet: Sheet) -> DataFrame:
-    """The first rows of a sheet. The key alone is ordered; the texts are then read only where
-    the key can be among the first, which the scan's statistics narrow to a few row groups."""
-    if not sheet.order_by:
-        return sheet.df
-    key = sheet.order_by[0]
-    edge = sheet.df.select(key).orderBy(key).limit(SIGNATURE_ROWS).agg(F.max(key)).first()[0]
-    return (sheet.df if edge is None else sheet.df.where(F.col(key) <= F.lit(edge))).orderBy(*sheet.order_by)
+    place = sort_place(df, sheet.order_by)
+    return (df if sheet.order_by else df.limit(SIGNATURE_ROWS)).select(F.lit(position).alias("ord"), place.alias("place"), line.alias("line"))
 
 
 def find_sheet(sheets: DataFrame, contains: str | None = None, equals: str | None = None) -> DataFrame:
