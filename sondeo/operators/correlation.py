@@ -1,17 +1,13 @@
-"""Pearson correlation of every pair of numeric columns, one aggregation pass per batch of pairs."""
+"""Pearson correlation of every pair of numeric columns, in one scan."""
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_PAIRS = 5
 NOTABLE = 0.5
 STRONG = 0.8
-PAIRS_PER_PASS = 150   # keeps one pass's aggregates within what the code generator can hold
 
 
 def pearson(a: Column, b: Column) -> Column:
@@ -21,27 +17,29 @@ def pearson(a: Column, b: Column) -> Column:
     return F.try_divide(F.covar_pop(a, b), spread)
 
 
+def pair_moments(df: DataFrame, columns: list[Column]) -> DataFrame:
+    """(i, j, n, r) of every pair i < j of ``columns`` that some row has both of: complete rows and correlation.
+
+    One scan for any number of columns. A row's pairs come apart inside the task and go into partial sums of their
+    pair (count, means and co-moments, which merge), so a row for each task and pair is all that moves.
+    """
+    k = len(columns)
+    views = df.select(F.array(*[c.cast("double") for c in columns]).alias("v"))
+    first = views.select("v", F.posexplode("v").alias("i", "a")).where("a IS NOT NULL")
+    both = first.select("i", "a", F.posexplode(F.slice("v", F.col("i") + 2, F.lit(k))).alias("d", "b")).where("b IS NOT NULL")
+    return both.groupBy("i", (F.col("i") + 1 + F.col("d")).alias("j")).agg(pearson(F.col("a"), F.col("b")).alias("r"), F.count(F.lit(1)).alias("n"))
+
+
+def _named(index: str, labels: list[str]) -> Column:
+    return F.get(F.array(*map(F.lit, labels)), F.col(index))
+
+
 def correlations(df: DataFrame, columns: dict[str, Column], top: int = 5, minimum: float = NOTABLE) -> DataFrame:
     """The ``top`` pairs by absolute correlation, at least ``minimum``, over five or more rows."""
-    pairs = list(combinations(columns, 2))
-    if not pairs:
+    labels = list(columns)
+    if len(labels) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double, label string, n bigint")
-    views = df.select(*[columns[name].cast("double").alias(f"v{i}") for i, name in enumerate(columns)])
-    slot = {name: F.col(f"v{i}") for i, name in enumerate(columns)}
-    def judged(batch: list[tuple[str, str]]) -> DataFrame:
-        one = views.agg(*[
-            F.struct(
-                F.lit(a).alias("col_a"),
-                F.lit(b).alias("col_b"),
-                pearson(slot[a], slot[b]).alias("r"),
-                F.count_if(slot[a].isNotNull() & slot[b].isNotNull()).alias("n"),
-            ).alias(f"p{i}")
-            for i, (a, b) in enumerate(batch)
-        ])
-        return one.select(F.inline(F.array(*[F.col(f"p{i}") for i in range(len(batch))])))
-
-    batches = [pairs[i:i + PAIRS_PER_PASS] for i in range(0, len(pairs), PAIRS_PER_PASS)]
-    long = reduce(DataFrame.unionByName, map(judged, batches))
+    long = pair_moments(df, list(columns.values())).select(_named("i", labels).alias("col_a"), _named("j", labels).alias("col_b"), "r", "n")
     sign = F.when(F.col("r") > 0, "positiva").otherwise("negativa")
     strength = F.when(F.abs("r") >= STRONG, "fuerte").otherwise("moderada")
     found = long.where((F.col("n") >= MIN_PAIRS) & (F.abs("r") >= minimum))

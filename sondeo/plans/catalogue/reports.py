@@ -9,6 +9,7 @@ from sondeo.operators import charts as C
 from sondeo.operators import tables as T
 from sondeo.operators.audit import check_blocks, rank_tables, run_audit
 from sondeo.operators.commissions import commission_charts, executive_summary, expense_totals, generic_summary, top_people
+from sondeo.operators.digest import input_digests
 from sondeo.operators.groups import frequency, top_with_others, totals
 from sondeo.operators.insights import insight_direction
 from sondeo.operators.trend import last_periods, periodic_totals
@@ -19,7 +20,6 @@ from sondeo.plans.catalogue.groups import others_sql, summary_sql
 from sondeo.plans.catalogue.workbooks import KEYS, named
 from sondeo.session import local_table
 from sondeo.sources.catalog import Catalog, Sheet
-from sondeo.sources.sinks import file_fingerprints
 
 
 def r2(df, *columns):
@@ -380,10 +380,10 @@ def content_checks(spark, sf):
 
 @query()
 def run_audit_orders(spark, sf):
-    """The audit record of a whole run over three tables, with the hash of every input."""
-    book = Catalog("libro", {t: Sheet(t, table(spark, sf, t), KEYS[t]) for t in ("orders", "customer", "part")})
-    done = WorkbookAnalysis(book)
-    record = run_audit(done.blocks, file_fingerprints(spark, f"{sf}/orders.parquet"), done.run, done.primary.data_quality)
+    """The audit record of a whole run over three tables, with the digest of every input."""
+    inputs = {t: table(spark, sf, t) for t in ("orders", "customer", "part")}
+    done = WorkbookAnalysis(Catalog("libro", {t: Sheet(t, df, KEYS[t]) for t, df in inputs.items()}))
+    record = run_audit(done.blocks, input_digests(inputs), done.run, done.primary.data_quality)
     return record.select("run_id", F.size("inputs").alias("n_inputs"), F.to_json("counts").alias("counts"), F.size("issues").alias("n_issues"), "conservative")
 
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sondeo.operators import audit as A
+from sondeo.operators.cellstore import column_facts, distinct_labels, row_facts, store_cells
+from sondeo.operators.digest import column_digests, table_digest
 from sondeo.operators.profile import shape_types
 from sondeo.operators.workbook import classify_sheets, decide_shape, workbook_notes, workbook_profile
 from sondeo.plans.catalogue import add, query, table
+from sondeo.session import local_table, union_all
 from sondeo.sources.catalog import Catalog, Sheet, find_sheet, load_catalog, sheet_table
 from sondeo.sources.sinks import file_fingerprints, from_report_json, to_report_json
 
@@ -114,6 +117,73 @@ def unauthorised_inputs(spark, sf):
     return A.unauthorised_paths(paths, allowed).select(F.element_at(F.split("path", "/"), -1).alias("file"))
 
 
+# ---- facts of all sheets from one store, and digests of what they hold ------------------------------
+FACTS = {
+    "region": {"r_regionkey": "n", "r_name": "t"}, "nation": {"n_nationkey": "n", "n_name": "t", "n_regionkey": "n"},
+    "customer": {"c_custkey": "n", "c_name": "t", "c_nationkey": "n", "c_acctbal": "n", "c_mktsegment": "t"},
+    "supplier": {"s_suppkey": "n", "s_name": "t", "s_nationkey": "n", "s_acctbal": "n"}, "labels": {"doc_id": "n", "quality": "n", "toxic": "n"},
+}
+
+
+def _facts_sql() -> str:
+    def one(sheet: str, column: str, kind: str) -> str:
+        ok = f"length(regexp_replace({column}::VARCHAR, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 2"
+        number = f"{column}::DOUBLE" if kind == "n" else "NULL::DOUBLE"
+        return f"""SELECT '{sheet}' AS sheet, '{column}' AS "column", count(*) AS n_rows, count(*) FILTER ({ok}) AS n, count({number}) AS n_numbers,
+          count(*) FILTER ({number} = floor({number})) AS n_whole, count(*) FILTER (abs({number}) > 1e-9) AS n_nonzero,
+          count(DISTINCT lower({column}::VARCHAR)) FILTER ({ok}) AS n_distinct, min({number}) AS lowest, max({number}) AS highest, round(sum({number}), 2) AS total FROM {sheet}"""
+
+    return " UNION ALL ".join(one(s, c, k) for s, cs in FACTS.items() for c, k in cs.items())
+
+
+@query(_facts_sql())
+def workbook_facts(spark, sf):
+    """Facts of every column of five sheets, grouped by sheet and column over one store of cells."""
+    sheets = [Sheet(t, table(spark, sf, t), KEYS[t]) for t in FACTS]
+    store = store_cells(sheets)
+    named = local_table(spark, [(s, c, sheet.name, name) for s, sheet in enumerate(sheets) for c, name in enumerate(store.columns[s])], "s int, c int, sheet string, column string")
+    facts = column_facts(store).join(distinct_labels(store), ["s", "c"], "left").join(row_facts(store), "s").join(named, ["s", "c"])
+    return facts.select(
+        "sheet", "column", "n_rows", *[f"facts.{x}" for x in ("n", "n_numbers", "n_whole", "n_nonzero")], F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"),
+        "facts.lowest", "facts.highest", F.round("facts.total", 2).alias("total"))
+
+
+DIGESTED = {
+    "orders": {"o_orderkey": "", "o_custkey": "", "o_orderstatus": "", "o_totalprice": "", "o_orderdate": "", "o_orderpriority": ""},
+    "customer": {"c_custkey": "", "c_name": "", "c_nationkey": "", "c_acctbal": "", "c_mktsegment": ""},
+    "documents": {"doc_id": "", "text": "", "lang": "", "source": "", "n_chars": ""},
+}
+
+
+def _cell_sql(column: str, how: str) -> str:
+    return f"coalesce({how}({column})::VARCHAR, chr(1))" if how else f"coalesce({column}::VARCHAR, chr(1))"
+
+
+def _sum_sql(text: str, start: int) -> str:
+    return f"coalesce(sum(('0x' || substr(md5({text}), {start}, 15))::BIGINT::HUGEINT), 0)::VARCHAR"
+
+
+def _digest_sql() -> str:
+    def one(name: str, columns: dict[str, str]) -> str:
+        text = " || chr(2) || ".join(_cell_sql(c, columns[c]) for c in sorted(columns))
+        return f"SELECT '{name}' AS \"table\", '{','.join(sorted(columns))}' AS columns, count(*) AS n_rows, {_sum_sql(text, 1)} AS sum_1, {_sum_sql(text, 16)} AS sum_2 FROM {name}"
+
+    sums = " UNION ALL ".join(one(t, cs) for t, cs in DIGESTED.items())
+    return f"SELECT \"table\", n_rows, sum_1, sum_2, sha256(columns || chr(2) || n_rows || chr(2) || sum_1 || chr(2) || sum_2) AS digest FROM ({sums})"
+
+
+@query(_digest_sql())
+def content_digests(spark, sf):
+    """Digests of the rows of three tables, whatever files they lie in."""
+    return union_all([table_digest(table(spark, sf, t)).select(F.lit(t).alias("table"), "n_rows", "sum_1", "sum_2", "digest") for t in DIGESTED])
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS n_filled, {_sum_sql(_cell_sql(c, how), 1)} AS sum_1, {_sum_sql(_cell_sql(c, how), 16)} AS sum_2 FROM orders" for c, how in DIGESTED["orders"].items()))
+def column_digests_orders(spark, sf):
+    return column_digests(table(spark, sf, "orders"))
+
+
 @query()
 def input_fingerprints(spark, sf):
     files = file_fingerprints(spark, f"{sf}/*.parquet")
