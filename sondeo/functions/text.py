@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,9 +27,29 @@ def clean_category(c: Column, zero: bool = False) -> Column:
     return F.when(~is_placeholder(trimmed, zero), trimmed)
 
 
+@cache
+def fold_table() -> tuple[str, str, dict[str, str], str]:
+    """What Unicode's compatibility decomposition, marks left out, makes of characters beyond ASCII, where letters or digits of
+    ASCII come of it: those that become one character (and, in the same order, which), those that become several, and those
+    (beside marks) that are nothing but a mark."""
+    singles, several, marks = {}, {}, []
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x20000)):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
+        if not plain and not unicodedata.category(chr(code)).startswith("M"):
+            marks.append(chr(code))
+        if plain != chr(code) and any("a" <= x <= "z" or "0" <= x <= "9" for x in plain):
+            (singles if len(plain) == 1 else several)[chr(code)] = plain
+    return "".join(singles), "".join(singles.values()), several, "".join(marks)
+
+
 def fold_accents(c: Column) -> Column:
-    """Lower case without accents, whether they are part of a letter or follow it."""
-    return F.translate(F.regexp_replace(F.lower(c), r"\p{M}+", ""), V.ACCENTED, V.UNACCENTED)
+    """Lower case without accents, whether they are part of a letter or follow it; ligatures and other compatibility
+    characters (wide, superscript, circled) become the letters and digits they stand for."""
+    letters, plain, several, marks = fold_table()
+    text = F.translate(F.regexp_replace(F.lower(c), rf"[\p{{M}}{marks}]+", ""), letters, plain)
+    known = F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in several.items())), F.lit("\n"), F.lit("\t"))      # a constant of the plan
+    spelt = F.array_join(F.transform(F.split(text, ""), lambda x: F.coalesce(F.element_at(known, x), x)), "")
+    return F.when(text.rlike(f"[{''.join(several)}]"), spelt).otherwise(text)
 
 
 def semantic_text(c: Column) -> Column:

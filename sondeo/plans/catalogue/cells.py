@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sondeo.functions import vocabulary as V
@@ -87,6 +90,21 @@ def normalised_text(spark, sf):
     )
 
 
+ACCENTS = " Škoda Łódź Đ ﬁn ｗｉｄｅ"       # letters with marks, letters that are no marked letter, a ligature, wide letters
+
+
+@query(f"""
+SELECT c_custkey, k AS composed, k AS decomposed FROM (
+  SELECT c_custkey, trim(regexp_replace(replace(translate(strip_accents(lower(c_name || '{ACCENTS}' || c_mktsegment)), 'ｗｉｄｅ', 'wide'), 'ﬁ', 'fi'), '[^a-z0-9]+', ' ', 'g')) AS k
+  FROM customer)""")
+def accents_in_two_forms(spark, sf):
+    """The same key whether a mark is part of a letter or follows it."""
+    def key(form: str) -> Column:
+        return semantic_text(F.concat("c_name", F.lit(unicodedata.normalize(form, ACCENTS) if form == "NFD" else ACCENTS), "c_mktsegment"))
+
+    return table(spark, sf, "customer").select("c_custkey", key("NFC").alias("composed"), key("NFD").alias("decomposed"))
+
+
 CLEAN = r"trim(regexp_replace(regexp_replace({0}, '_x000d_|\s+', ' ', 'g'), ' +', ' ', 'g'))"
 
 
