@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that a task turns into number arrays at a time, so that long documents fit its memory.
 CHUNK_CHARS = 400_000
+#: Classes or languages that a training sample may have.
+MOST_VALUES = 64
 #: Bytes that travel between Spark and a Python worker at a time.
 BATCH_BYTES = 8 << 20
 
@@ -49,9 +51,18 @@ def fold(key: Column, folds: int = 5) -> Column:
 
 
 def thinned(df: DataFrame, key: Column, bound: int, by: str) -> DataFrame:
-    """A sample of about ``bound`` rows for each value of ``by``, chosen by a hash of ``key``; all rows where fewer."""
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_rows"))
-    return df.join(sizes, by).filter(hashed_share(key) < bound / F.col("_rows")).drop("_rows")
+    """A sample of about ``bound`` rows for each value of ``by``, chosen by a hash of ``key``; all rows where fewer.
+
+    The sizes of at most ``MOST_VALUES`` values come to the driver and go into the filter, so no row is moved for it; more
+    values are an error. Rows with a null value are left out.
+    """
+    sizes = df.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n")).limit(MOST_VALUES + 1).collect()
+    if len(sizes) > MOST_VALUES:
+        raise ValueError(f"{by} has more than {MOST_VALUES} values")
+    share = F.lit(0.0)
+    for r in sizes:
+        share = F.when(F.col(by) == F.lit(r[by]), bound / r["n"]).otherwise(share)
+    return df.filter(hashed_share(key) < share)
 
 
 def hashed_share(key: Column) -> Column:
