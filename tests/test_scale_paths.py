@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sondeo.operators import groups as G
+from sondeo.operators import quantiles
 from sondeo.operators.outliers import outliers
 from sondeo.operators.pareto import pareto
 from sondeo.operators.quality import duplicate_rows
@@ -46,6 +47,38 @@ def test_quantiles_of_anything(spark, values):
     assert np.allclose(found, np.quantile(values, (0.25, 0.5, 0.75)))
 
 
+@pytest.mark.parametrize("name, values", [
+    ("orders of magnitude", [10.0 ** (i / 10 - 300) for i in range(6001)]),
+    ("hot value", [7.0] * 3000 + [1e-300 * i for i in range(1500)] + [1e300 * i / 1500 for i in range(1500)]),
+    ("both signs", [(-1) ** i * math.exp(i / 10) for i in range(6000)]),
+])
+def test_quantiles_take_three_passes_for_any_range(spark, monkeypatch, name, values):
+    """One sketch, one count and one ordering of few values: no matter how the values are spread."""
+    passes, ordered = [], []
+    borders, count, order = quantiles._borders, quantiles._count_cells, quantiles._order_rest
+    monkeypatch.setattr(quantiles, "_borders", lambda *a: passes.append("sketch") or borders(*a))
+    monkeypatch.setattr(quantiles, "_count_cells", lambda *a: passes.append("count") or count(*a))
+    monkeypatch.setattr(quantiles, "_order_rest", lambda views, left: ordered.extend(s.inside for s in left) or order(views, left))
+    random.Random(2).shuffle(values)
+    found = exact_quantiles(doubles(spark, values), {"v": F.col("v")}, PROBS, sortable_values=100, accuracy=500)["v"]
+    assert np.allclose(found, np.quantile(np.array(values, dtype=np.longdouble), PROBS).astype(float), rtol=1e-12, atol=0)
+    assert passes == ["sketch", "count"] and all(n <= 100 for n in ordered)
+
+
+def test_quantiles_of_many_columns_need_three_jobs(spark):
+    """Jobs do not follow the number of columns."""
+    n = 4000
+    df = spark.range(n).select(*[((F.col("id") * (2 * i + 1)) % n).cast("double").alias(f"c{i}") for i in range(12)])
+    facts = {f"c{i}": (n, 0.0, n - 1.0) for i in range(12)}
+    spark.sparkContext.setJobGroup("quantiles", "quantiles")
+    found = exact_quantiles(df, {c: F.col(c) for c in facts}, (0.5,), facts=facts, sortable_values=100, accuracy=1000)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("quantiles")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    wanted = {f"c{i}": np.median([(j * (2 * i + 1)) % n for j in range(n)]) for i in range(12)}
+    assert {c: v for c, (v,) in found.items()} == wanted
+    assert len(jobs) <= 8      # adaptive plans run a job for each shuffle
+
+
 def test_quantiles_ignore_nulls_and_empty_columns(spark):
     df = spark.createDataFrame([(1.0, None), (None, None), (3.0, None)], "a double, b double")
     assert exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, (0.5,)) == {"a": [2.0], "b": [None]}
