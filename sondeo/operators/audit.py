@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sondeo.functions import vocabulary as V
+from sondeo.session import local_table
 
 
 class ProvenanceError(ValueError):
@@ -24,8 +25,11 @@ def require_input(path: str | None, refused: tuple[str, ...] = ()) -> str:
 
 
 def referenced_paths(df: DataFrame) -> DataFrame:
-    """(path): the distinct files a scan reads."""
-    return df.select(F.lower(F.col("_metadata.file_path")).alias("path")).distinct()
+    """(path): the distinct files a plan reads, as its scans name them; no row is read, and no job is run.
+
+    The list is as long as the one the driver keeps to plan the scans.
+    """
+    return local_table(df.sparkSession, [(path,) for path in sorted({p.lower() for p in df.inputFiles()})], "path string")
 
 
 def unauthorised_paths(referenced: DataFrame, allowed: DataFrame) -> DataFrame:

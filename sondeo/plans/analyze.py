@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from sondeo.functions import names
 from sondeo.functions import vocabulary as V
-from sondeo.functions.dates import parse_timestamp
+from sondeo.functions.dates import date_votes, parse_timestamp
 from sondeo.functions.text import semantic_text
 from sondeo.operators import charts as C
 from sondeo.operators import insights as I
@@ -167,11 +167,19 @@ class TableAnalysis:
     def pareto_top(self) -> DataFrame | None:
         return _tagged("category_col", {c: pareto_top(s) for c, s in self._shares.items()})
 
+    @cached_property
+    def date_reading(self) -> DataFrame | None:
+        """How the date column writes its dates, and how many of its cells are none: what the trend leaves out."""
+        return settle(date_votes(self.df, [self.date])) if self.date else None
+
     @cached_property
     def trend(self) -> DataFrame | None:
         if not self.timed_measure:
             return None
-        ts = parse_timestamp(F.col(f"`{self.date}`"), self.df.schema[self.date].dataType)
+        kind = self.df.schema[self.date].dataType
+        # only texts leave the order open
+        month_first = isinstance(kind, T.StringType) and self.date_reading.first()["date_order"] in ("month", "mixed: month")
+        ts = parse_timestamp(F.col(f"`{self.date}`"), kind, month_first)
         return settle(periodic_totals(self.df, ts, self.amounts[self.timed_measure], self.unit))
 
     @cached_property
@@ -239,7 +247,7 @@ class TableAnalysis:
 
 RESULT_TABLES = (
     "column_profile", "data_quality", "sparse_measures", "money_facts", "currency_alerts", "financial_context", "outliers", "correlations",
-    "pareto", "pareto_summary", "pareto_top", "trend", "trend_summary", "before_after", "insights", "cards",
+    "pareto", "pareto_summary", "pareto_top", "date_reading", "trend", "trend_summary", "before_after", "insights", "cards",
     "traffic_lights", "kpis", "conclusions", "chart_meta", "chart_data", "main_table",
 )
 

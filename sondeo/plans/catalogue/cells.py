@@ -6,9 +6,10 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from sondeo.functions import vocabulary as V
-from sondeo.functions.dates import bucket_label, from_excel_serial, parse_timestamp
+from sondeo.functions.dates import bucket_label, date_votes, from_excel_serial, parse_timestamp
 from sondeo.functions.numbers import (
     format_axis,
     format_callout,
@@ -191,8 +192,6 @@ def lenient_dates(spark, sf):
         .when(line % 3 == 1, F.date_format("l_shipdate", "yyyy-MM-dd"))
         .otherwise(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
     )
-    from pyspark.sql.types import StringType
-
     ts = parse_timestamp(text, StringType())
     return (
         table(spark, sf, "lineitem").select(bucket_label(ts).alias("month")).where("month IS NOT NULL")
@@ -200,6 +199,47 @@ def lenient_dates(spark, sf):
     )
 
 
+DATE_WRITINGS = {
+    "day first": "dd/MM/yyyy", "month first": "M-d-yyyy", "year first": "yyyy-MM-dd", "with time": "MM.dd.yyyy H:mm",
+}
+
+
+def _writings(spark, sf):
+    """Order days written in every way; one column only on days that fit both orders, one with two orders in it."""
+    day = F.col("o_orderdate")
+    early = F.date_add(F.date_trunc("month", day).cast("date"), F.dayofmonth(day) % 12)
+    mixed = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
+    rest = {"either": F.date_format(early, "dd/MM/yyyy"), "mixed": mixed, "gaps": F.when(F.col("o_orderkey") % 5 > 0, F.date_format(day, "MM/dd/yyyy")).otherwise("sin fecha")}
+    return table(spark, sf, "orders").select("o_totalprice", *[F.date_format(day, f).alias(name) for name, f in DATE_WRITINGS.items()], *[c.alias(name) for name, c in rest.items()])
+
+
+@query("""
+WITH d AS (SELECT o_orderkey AS k, day(o_orderdate) AS d, month(o_orderdate) AS m FROM orders WHERE o_orderdate IS NOT NULL),
+n AS (SELECT count(*) AS n, count(*) FILTER (WHERE d > 12) AS late, count(*) FILTER (WHERE d <= 12) AS early,
+      count(*) FILTER (WHERE d > 12 AND k % 3 = 0) AS late_day, count(*) FILTER (WHERE d > 12 AND k % 3 <> 0) AS late_month,
+      count(*) FILTER (WHERE k % 5 = 0) AS gaps, count(*) FILTER (WHERE d > 12 AND k % 5 > 0) AS late_told, count(*) FILTER (WHERE d <= 12 AND k % 5 > 0) AS early_told FROM d)
+SELECT 'day first' AS "column", n, late AS n_day, 0::BIGINT AS n_month, early AS n_open, 'day' AS date_order, 0::BIGINT AS n_unread FROM n UNION ALL
+SELECT 'month first', n, 0, late, early, 'month', 0 FROM n UNION ALL
+SELECT 'year first', n, 0, 0, 0, 'none', 0 FROM n UNION ALL
+SELECT 'with time', n, 0, late, early, 'month', 0 FROM n UNION ALL
+SELECT 'either', n, 0, 0, n, 'undecided', 0 FROM n UNION ALL
+SELECT 'mixed', n, late_day, late_month, early, 'mixed: month', late_day FROM n UNION ALL
+SELECT 'gaps', n, 0, late_told, early_told, 'month', gaps FROM n""")
+def date_order_votes(spark, sf):
+    written = _writings(spark, sf)
+    return date_votes(written, written.columns[1:]).select("column", "n", "n_day", "n_month", "n_open", "date_order", "n_unread")
+
+
+@query("""
+SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1""")
+def month_first_dates(spark, sf):
+    """Totals by month of days written with the month first, in the order the column votes for."""
+    written = _writings(spark, sf)
+    order = date_votes(written, ["month first"]).first()["date_order"]
+    ts = parse_timestamp(F.col("`month first`"), StringType(), order == "month")
+    return written.groupBy(bucket_label(ts).alias("month")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query("""
 SELECT code, count(*) AS n, round(sum(price), 2) AS total FROM (
   SELECT CASE o_orderstatus WHEN 'O' THEN 'COP' WHEN 'F' THEN 'USD'

@@ -18,6 +18,7 @@ from sondeo.operators.readers import finding_bullets, read_first_column, read_hi
 from sondeo.plans.catalogue import query, table
 from sondeo.session import local_table, shared_path
 from sondeo.sources.grid import GRID_COLUMNS, as_grid, read_grid
+from sondeo.sources.sinks import read_organised, write_organised
 
 SHEETS = {
     "customer": ("c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
@@ -91,6 +92,18 @@ def grid_body(spark, sf):
     return rows.groupBy("sheet").agg(F.count(F.lit(1)).alias("n_rows"), F.min("row_ord").alias("first_row"), F.max("row_ord").alias("last_row"))
 
 
+@query(f"""
+WITH g AS ({grid_sql()}), h AS ({HEADERS})
+SELECT g.sheet, 'Hoja ' || g.sheet AS title, row_ord, array_to_string(cells, '|') AS line FROM g JOIN h USING (sheet) WHERE row_ord > header_row AND sheet IN ('part', 'supplier')""")
+def organised_store(spark, sf):
+    """Two of three sheets read back from a store, each row beside the title of its sheet."""
+    g = grid(spark, sf)
+    heads, folder = S.detect_headers(g), shared_path(spark, "organised")
+    write_organised(S.body_rows(g, heads), S.sheet_tags(g, heads), folder)
+    rows, tags = read_organised(spark, folder, ["part", "supplier"])
+    return rows.join(F.broadcast(tags.select("sheet", "title")), "sheet").select("sheet", "title", "row_ord", F.array_join("cells", "|").alias("line"))
+
+
 @query("""
 SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS balance, min(c_name) AS first_name FROM customer GROUP BY 1""")
 def materialized_sheet(spark, sf):

@@ -10,9 +10,9 @@ from sondeo.operators.digest import column_digests, table_digest
 from sondeo.operators.profile import shape_types
 from sondeo.operators.workbook import classify_sheets, decide_shape, workbook_notes, workbook_profile
 from sondeo.plans.catalogue import add, query, table
-from sondeo.session import local_table, union_all
+from sondeo.session import local_table, shared_path, union_all
 from sondeo.sources.catalog import Catalog, Sheet, find_sheet, load_catalog, sheet_table
-from sondeo.sources.sinks import file_fingerprints, from_report_json, to_report_json
+from sondeo.sources.sinks import file_fingerprints, from_report_json, record_runs, recorded_runs, to_report_json
 
 KEYS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "customer": ["c_custkey"], "supplier": ["s_suppkey"], "part": ["p_partkey"],
@@ -117,6 +117,44 @@ def unauthorised_inputs(spark, sf):
     return A.unauthorised_paths(paths, allowed).select(F.element_at(F.split("path", "/"), -1).alias("file"))
 
 
+@query("SELECT 'orders.parquet' AS file, false AS authorised UNION ALL SELECT 'customer.parquet', true")
+def plan_dependencies(spark, sf):
+    """Both files of a join, from its plan, and whether each is on the list."""
+    read = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").count()
+    referenced, allowed = A.referenced_paths(read), A.referenced_paths(table(spark, sf, "customer"))
+    strange = A.unauthorised_paths(referenced, allowed).withColumn("authorised", F.lit(False))
+    told = referenced.join(strange, "path", "left").select(F.regexp_extract("path", r"/([a-z]+\.parquet)", 1).alias("file"), F.coalesce("authorised", F.lit(True)).alias("authorised"))
+    return told.distinct()      # a table may be a folder of files
+
+
+@query("""
+SELECT c_mktsegment AS run_id, CASE WHEN c_mktsegment < 'G' THEN 10 * count(*) ELSE count(*) END AS n_rows, round(sum(c_acctbal), 2) AS total
+FROM customer GROUP BY 1""")
+def audit_of_repeated_runs(spark, sf):
+    """A record for each market segment; some are written again with another count and replace what was there."""
+    runs = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("run_id")).agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+    folder = shared_path(spark, "audit")
+    record_runs(runs, folder)
+    record_runs(runs.where("run_id < 'G'").withColumn("n_rows", F.col("n_rows") * 10), folder)
+    return recorded_runs(spark, folder, runs.schema)
+
+
+@query("""
+SELECT 'kept' AS side, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(o_orderkey) AS first_key FROM orders WHERE o_orderkey % 7 > 1 UNION ALL
+SELECT 'refused', count(*), NULL, min(o_orderkey) FROM orders WHERE o_orderkey % 7 <= 1""")
+def refused_records_orders(spark, sf):
+    """Orders written as lines, some with a price in letters and some cut short; nothing is lost, each line is on one side."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("string")
+    line = F.when(key % 7 == 0, F.concat_ws(";", key, F.lit("mil"), "o_orderstatus")).when(key % 7 == 1, F.concat_ws(";", key, price)).otherwise(F.concat_ws(";", key, price, "o_orderstatus"))
+    folder = shared_path(spark, "lines")
+    table(spark, sf, "orders").select(line.alias("value")).write.text(folder)
+    book = load_catalog(spark, "libro", {"pedidos": folder}, "csv", schemas={"pedidos": "clave bigint, precio double, estado string"}, sep=";")
+    kept = book.sheets["pedidos"].df.agg(F.lit("kept").alias("side"), F.count(F.lit(1)).alias("n"), F.round(F.sum("precio"), 2).alias("total"), F.min("clave").alias("first_key"))
+    told = F.split("record", ";")[0].cast("bigint")
+    refused = book.rejected.agg(F.lit("refused").alias("side"), F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("total"), F.min(told).alias("first_key"))
+    return kept.unionByName(refused)
+
+
 # ---- facts of all sheets from one store, and digests of what they hold ------------------------------
 FACTS = {
     "region": {"r_regionkey": "n", "r_name": "t"}, "nation": {"n_nationkey": "n", "n_name": "t", "n_regionkey": "n"},

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from sondeo.functions.text import semantic_text
 from sondeo.operators.profile import profilable
-from sondeo.session import local_table, settle, union_all
+from sondeo.session import local_table, settle, shared_path, union_all
 
 SIGNATURE_HEADERS, SIGNATURE_ROWS, SIGNATURE_CELLS = 10, 4, 4
 
@@ -32,21 +32,50 @@ class Catalog:
     workbook: str
     sheets: dict[str, Sheet]
     errors: dict[str, str] = field(default_factory=dict)
+    rejected: DataFrame | None = None      # records that could not be read, where schemas were given
 
 
 def load_catalog(
     spark: SparkSession, workbook: str, paths: dict[str, str], fmt: str = "parquet",
-    order_by: dict[str, list[str]] | None = None, **options,
+    order_by: dict[str, list[str]] | None = None, schemas: dict[str, str] | None = None, **options,
 ) -> Catalog:
-    """Scan every path lazily; an unreadable one is reported instead of raised."""
-    sheets, errors = {}, {}
+    """Scan every path lazily; an unreadable one is reported instead of raised.
+
+    A sheet of records (CSV, JSON) with a schema in ``schemas`` is read once and stored; records that do not fit go to
+    ``rejected`` instead of becoming rows of NULLs.
+    """
+    sheets, errors, rejected = {}, {}, []
     for name, path in paths.items():
         try:
-            df = spark.read.format(fmt).options(**options).load(path)
+            if name in (schemas or {}):
+                df, refused = split_records(spark, path, fmt, schemas[name], **options)
+                rejected.append(refused.select(F.lit(name).alias("sheet"), "file", "block_start", "record"))
+            else:
+                df = spark.read.format(fmt).options(**options).load(path)
             sheets[name] = Sheet(name, df, (order_by or {}).get(name, []))
         except (PySparkException, Py4JJavaError) as problem:      # a missing path, or a file of another kind
             errors[name] = (problem.getCondition() if isinstance(problem, PySparkException) else None) or str(problem).splitlines()[0]
-    return Catalog(workbook, sheets, errors)
+    return Catalog(workbook, sheets, errors, union_all(rejected) if rejected else None)
+
+
+def split_records(spark: SparkSession, path: str, fmt: str, schema: str, **options) -> tuple[DataFrame, DataFrame]:
+    """Rows that fit the schema, and (file, block_start, record) of what does not: the text as it stands, with the file and the
+    part of it that the task read.
+
+    One scan writes both, side by side, to a new table in the shared folder; what is read afterwards cannot fail any more.
+    """
+    wanted = T.StructType.fromDDL(schema)
+    record = T.StructField("refused record", T.StringType())
+    scan = spark.read.format(fmt).options(**options).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", record.name)
+    found = scan.schema(T.StructType([*wanted, record])).load(path)
+    told = found.select(
+        F.struct(*[F.col(f"`{f.name}`") for f in wanted]).alias("row"), F.col(f"`{record.name}`").alias("record"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_start"))
+    folder = shared_path(spark, "records")
+    told.withColumn("fits", F.col("record").isNull()).write.partitionBy("fits").parquet(folder)
+    kinds = T.StructType([*told.schema, T.StructField("fits", T.BooleanType())])
+    back = spark.read.schema(kinds).parquet(folder)
+    return back.where("fits").select("row.*"), back.where("not fits").select("file", "block_start", "record")
 
 
 def sort_place(df: DataFrame, order_by: list[str]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def to_report_json(df: DataFrame) -> DataFrame:
@@ -32,10 +33,38 @@ def write_organised(sheets: DataFrame, tags: DataFrame, folder: str) -> None:
     tags.write.mode("overwrite").parquet(f"{folder}/sheet_tags")
 
 
+def read_organised(spark: SparkSession, folder: str, sheets: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows and tags of a store, of all sheets or of those named; only their folders are listed and read.
+
+    Sheet names are texts, also where they look like numbers or dates.
+    """
+    stored = spark.read.parquet(f"{folder}/rows").schema
+    kinds = T.StructType([T.StructField(f.name, T.StringType() if f.name == "sheet" else f.dataType) for f in stored])
+    rows, tags = spark.read.schema(kinds).parquet(f"{folder}/rows"), spark.read.parquet(f"{folder}/sheet_tags")
+    if sheets is None:
+        return rows, tags
+    return rows.where(F.col("sheet").isin(sheets)), tags.where(F.col("sheet").isin(sheets))
+
+
 def append_audit(record: DataFrame, folder: str) -> None:
+    """Add records as they come; a run that is repeated is there twice. ``record_runs`` replaces it instead."""
     record.write.mode("append").json(folder)
 
 
+def record_runs(records: DataFrame, folder: str, run: str = "run_id") -> None:
+    """Store audit records under their run. Records of a run stored before, by a failed or repeated attempt, are replaced as a
+    whole when the write commits; those of other runs stay. The session's settings are left alone."""
+    keyed = records.withColumn("run_key", F.col(f"`{run}`").cast("string"))
+    keyed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_key").json(folder)
+
+
+def recorded_runs(spark: SparkSession, folder: str, schema: str | T.StructType, runs: list[str] | None = None) -> DataFrame:
+    """The stored records, of all runs or of those named; only their folders are read."""
+    kinds = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    found = spark.read.schema(T.StructType([*kinds, T.StructField("run_key", T.StringType())])).json(folder)
+    return (found if runs is None else found.where(F.col("run_key").isin(runs))).drop("run_key")
+
+
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, sha256) of every input file, one file at a time per task."""
     files = spark.read.format("binaryFile").load(path)
