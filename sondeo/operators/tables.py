@@ -6,7 +6,6 @@ are decisions on one record per column, made while the report is planned.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -18,13 +17,9 @@ from sondeo.functions import vocabulary as V
 from sondeo.functions.numbers import format_full, format_metric, number_view
 from sondeo.functions.text import clean_text, is_noise, is_sentence, is_time_label
 from sondeo.operators.groups import leaders, ranked_top, report_groups
-from sondeo.operators.profile import (
-    exact_where_it_matters,
-    first_whole_values,
-    looks_sequential,
-    profilable,
-)
+from sondeo.operators.profile import SEQUENCE_LENGTH, exact_where_it_matters, first_whole_values, profilable
 from sondeo.operators.running import first_appearances
+from sondeo.operators.weights import FLOOR, TEXT_SIGNS, TEXT_SIGNS_NEEDED, admitted, best, holds, weigh
 from sondeo.session import local_table
 
 
@@ -157,54 +152,53 @@ def _mark_time_columns(facts: TableFacts, order_by: list[str] | None) -> None:
         c.time_like = bool(first.agg(F.bool_or(is_time_label(F.col("t")))).first()[0])
 
 
+def column_traits(c: CellFacts, n_rows: int = 0) -> dict[str, float]:
+    """A column as the named numbers that ``weights`` speaks of; ``n_rows`` are the rows of its table."""
+    numbers, cells = max(1, c.n_numbers), max(1, c.n)
+    mean = max(abs((c.total or 0.0) / numbers), 1)
+    person, identifier, metric = names.is_person(c.name), names.is_identifier(c.name), names.is_executive_metric(c.name)
+    whole = c.n_whole >= max(4, int(c.n_numbers * 0.8))
+    steps = [round(b - a, 6) for a, b in zip(c.head, c.head[1:])]
+    even = whole and bool(steps)
+    return {
+        "n": c.n, "n_numbers": c.n_numbers, "n_distinct": c.n_distinct, "unique_ratio": c.unique_ratio, "numeric_ratio": c.numeric_ratio,
+        "dated_ratio": c.n_dated / cells, "mean_length": c.n_chars / cells, "sentence_ratio": c.n_sentences / cells,
+        "filled_to_12": min(c.n, 12) / 12, "values_to_12": min(c.n_distinct, 12) / 12, "scattered": c.unique_ratio >= 0.85 or c.n_distinct > 18,
+        "coverage": c.n_numbers / max(1, n_rows), "nonzero_ratio": c.n_nonzero / numbers, "spread": min(((c.highest or 0.0) - (c.lowest or 0.0)) / mean, 25),
+        "nearly_unique": c.n_distinct / numbers >= 0.9 and not metric, "unit_known": c.kind != "number",
+        # of the first numbers: at most two different steps, and small ones
+        "even_steps": even and c.n_numbers >= 4 and len(set(steps[:8])) <= 2,
+        "small_even_steps": even and c.n_numbers >= 5 and len(set(steps)) <= 2 and max(map(abs, steps)) <= SEQUENCE_LENGTH,
+        "mostly_unique": c.unique_ratio >= 0.72, "repetitive": c.unique_ratio <= 0.35, "up_to_6_values": c.n_distinct <= 6, "7_to_10_values": 7 <= c.n_distinct <= 10,
+        "dimension_name": names.is_executive_dimension(c.name), "metric_name": metric, "time_name": names.is_time_like(c.name), "time_like": c.time_like,
+        "person_name": person, "identifier_name": identifier, "shunned_name": person or identifier,
+        "scattered_date": names.mentions(c.name, ("fecha",)) and c.n_distinct > 8,
+    }
+
+
+def _described(facts: TableFacts, excluded: set[str] = frozenset()) -> list[tuple[CellFacts, dict[str, float]]]:
+    return [(c, column_traits(c, facts.n_rows)) for c in facts.columns if c.name not in excluded]
+
+
 def choose_label(facts: TableFacts) -> CellFacts | None:
     """The column whose values best name the rows; none when no column qualifies."""
-    def score(c: CellFacts) -> float:
-        points = c.unique_ratio + min(c.n, 12) / 20
-        points += 4 * names.is_executive_dimension(c.name) + 3 * names.is_time_like(c.name)
-        points -= 5 * names.is_person(c.name) + 8 * names.is_identifier(c.name)
-        return points - 4 * (c.unique_ratio >= 0.85 or c.n_distinct > 18)
-
-    able = [c for c in facts.columns if c.n and c.numeric_ratio <= 0.4 and c.n_dated / c.n <= 0.7]
-    ranked = [c for c in able if score(c) > -1]
-    return max(ranked, key=score, default=None)
+    return best("label", _described(facts))
 
 
 def choose_measure(facts: TableFacts) -> CellFacts | None:
     """The column that measures best: well covered, varied, and not a code or a counter."""
-    def score(c: CellFacts) -> float:
-        mean = max(abs(c.total / c.n_numbers), 1)
-        points = 12 * c.n_numbers / facts.n_rows + 4 * c.n_nonzero / c.n_numbers + min((c.highest - c.lowest) / mean, 25)
-        metric = names.is_executive_metric(c.name)
-        points += 4 * metric - 12 * names.is_identifier(c.name) + 2 * (c.kind != "number")
-        points -= 6 * (c.n_distinct / c.n_numbers >= 0.9 and not metric)
-        return points - 18 * looks_sequential(c.head, c.n_whole, c.n_numbers)
-
-    able = [c for c in facts.columns if c.n_numbers >= 2 and c.n_numbers >= 0.45 * facts.n_rows]
-    ranked = [c for c in able if score(c) > -1]
-    return max(ranked, key=score, default=None)
+    return best("measure", _described(facts))
 
 
 def choose_focus(facts: TableFacts, excluded: set[str]) -> CellFacts | None:
     """A second label column worth a remark."""
-    def score(c: CellFacts) -> float:
-        shunned = names.is_person(c.name) or names.is_identifier(c.name)
-        return min(c.n_distinct, 12) + c.n / 10 + 4 * names.is_executive_dimension(c.name) - 6 * shunned
-
-    able = [c for c in facts.columns if c.name not in excluded and c.n >= 2 and c.numeric_ratio <= 0.4 and c.n_distinct >= 2]
-    return max((c for c in able if score(c) > -1), key=score, default=None)
+    return best("focus", _described(facts, excluded))
 
 
 def dimension_score(c: CellFacts) -> float:
     """Fitness of a column as a chart dimension; zero or less means unfit."""
-    if c.n < 3 or not 2 <= c.n_distinct <= 18 or c.n_chars / c.n > 30 or c.n_sentences / c.n > 0.18:
-        return -1.0
-    if names.is_person(c.name) or (names.mentions(c.name, ("fecha",)) and c.n_distinct > 8):
-        return -1.0
-    points = 7.0 * c.time_like + 5 * names.is_executive_dimension(c.name) - 8 * names.is_identifier(c.name)
-    points += -5 if c.unique_ratio >= 0.72 else 3 if c.unique_ratio <= 0.35 else 0
-    points += 4 if c.n_distinct <= 6 else 2 if c.n_distinct <= 10 else 0
-    return points + min(c.n, 12) / 4
+    traits = column_traits(c)
+    return weigh("dimension", traits) if admitted("dimension", traits) else FLOOR
 
 
 @dataclass
@@ -250,25 +244,20 @@ class Signal:
 
 
 def table_signal(facts: TableFacts) -> Signal:
-    n_cells = facts.n_rows * len(facts.columns)
-    readable = sum(c.n for c in facts.columns)
-    numbers = sum(min(c.n_numbers, c.n) for c in facts.columns)
-    base = max(1, readable)
-    weak = facts.weak / max(1, facts.n_rows)
-    noise = 1 - readable / max(1, n_cells)
-    generic = sum(map(names.is_generic_report_header, facts.headers)) / max(1, len(facts.headers))
-    length = sum(c.n_chars for c in facts.columns) / base
-    numeric, text = numbers / base, 1 - numbers / base
-    sentences = sum(c.n_sentences for c in facts.columns) / base
-    wordy = sum((numeric < 0.22, sentences >= 0.18, length >= 28, text >= 0.72)) >= 3
-    operational = numeric >= 0.28 or facts.dominant_share >= 0.22 or len(facts.columns) >= 5
-    narrative = wordy and not operational
-    detail = (
-        facts.informative >= max(3, math.ceil(0.45 * facts.n_rows))
-        and weak <= 0.42 and noise <= 0.58 and generic <= 0.6
-        and not (narrative and sentences >= 0.28 and length >= 45)
-    )
-    return Signal(weak, noise, generic, facts.dominant_share, length, numeric, sentences, text, narrative, detail)
+    """What the cells of a table are like, and whether it reads like a text."""
+    columns = len(facts.columns)
+    readable, numbers = (sum(x) for x in zip((0, 0), *[(c.n, min(c.n_numbers, c.n)) for c in facts.columns]))
+    chars, sentences = (sum(x) / max(1, readable) for x in zip((0, 0), *[(c.n_chars, c.n_sentences) for c in facts.columns]))
+    traits = {
+        "weak_ratio": facts.weak / max(1, facts.n_rows), "noise_ratio": 1 - readable / max(1, facts.n_rows * columns),
+        "generic_ratio": sum(map(names.is_generic_report_header, facts.headers)) / max(1, columns),
+        "dominant_share": facts.dominant_share, "mean_length": chars, "numeric_ratio": numbers / max(1, readable), "sentence_ratio": sentences,
+        "text_ratio": 1 - numbers / max(1, readable), "n_columns": columns, "informative": facts.informative, "informative_share": facts.informative / max(1, facts.n_rows),
+    }
+    wordy = sum(holds(sign, traits) for sign in TEXT_SIGNS) >= TEXT_SIGNS_NEEDED
+    traits["narrative"] = wordy and not admitted("operational", traits)
+    shares = ("weak_ratio", "noise_ratio", "generic_ratio", "dominant_share", "mean_length", "numeric_ratio", "sentence_ratio", "text_ratio", "narrative")
+    return Signal(*[traits[name] for name in shares], admitted("readable", traits) and not admitted("essay", traits))
 
 
 @dataclass
@@ -291,20 +280,17 @@ class Truth:
 
 def table_truth(facts: TableFacts, basis: Basis, signal: Signal, source: str = "") -> Truth:
     """Weighted confidence in a table, between 0 and 0.99."""
-    rows = max(1, facts.n_rows)
-    score = 0.2 + 0.12 * min(facts.n_rows, 12) / 12 + 0.16 * facts.informative / rows
-    score += 0.14 * (1 - signal.noise_ratio) + 0.12 * (1 - signal.weak_ratio) + 0.10 * (1 - signal.generic_ratio)
-    score += 0.06 if source.strip() else 0
+    rows, label = max(1, facts.n_rows), basis.label
     coverage = basis.measure.n_numbers / rows if basis.measure else None
-    score += 0.04 if coverage is None else 0.10 * coverage
-    if basis.label is None:
-        score -= 0.14
-    elif names.is_identifier(basis.label.name):
-        score -= 0.16
-    else:
-        score += -0.08 if names.is_person(basis.label.name) else 0.06
-    score -= 0.06 if signal.narrative and basis.measure is None else 0
-    score -= 0.10 if facts.n_rows < 3 else 0
+    identifier = label is not None and names.is_identifier(label.name)
+    person = label is not None and not identifier and names.is_person(label.name)
+    score = weigh("truth", {
+        "always": 1, "rows_to_12": min(facts.n_rows, 12) / 12, "informative_share": facts.informative / rows, "clean_share": 1 - signal.noise_ratio,
+        "strong_share": 1 - signal.weak_ratio, "named_share": 1 - signal.generic_ratio, "source_named": bool(source.strip()),
+        "counted_only": coverage is None, "measure_coverage": coverage or 0.0, "label_missing": label is None, "label_identifier": identifier,
+        "label_person": person, "label_good": label is not None and not identifier and not person,
+        "told_without_measure": signal.narrative and basis.measure is None, "under_3_rows": facts.n_rows < 3,
+    })
     return Truth(max(0.0, min(0.99, score)), coverage)
 
 
@@ -331,36 +317,30 @@ class TableReport:
     def titled(self, *words: str) -> bool:
         return names.mentions(self.facts.name, words)
 
-    def allows_dashboard(self, slots: int = 2) -> bool:
+    def traits(self, slots: int) -> dict[str, float]:
+        """The table as the named numbers that ``weights`` speaks of; ``slots`` are the places left for its rows."""
         f, s = self.facts, self.signal
-        if self.truth.blocked_dashboard or self.family in V.DOCUMENTARY_FAMILIES or (s.narrative and s.numeric_ratio < 0.35):
-            return False
-        if self.good_measure and self.good_label and f.n_rows >= 8 and f.informative >= 4:
-            return True
-        if self.titled("principal", "hallazgo", "coso", "consolidado") and f.n_rows >= 4 and s.noise_ratio <= 0.72:
-            return True
-        wide = len(f.columns) >= 5 and f.n_rows >= max(6, 2 * slots)
-        return wide and f.informative >= 4 and (self.good_measure or self.good_label)
+        return {
+            "n_rows": f.n_rows, "n_columns": len(f.columns), "informative": f.informative, "slots": slots, "rows_per_slot": f.n_rows / max(1, slots),
+            "noise_ratio": s.noise_ratio, "numeric_ratio": s.numeric_ratio, "mean_length": s.mean_length, "sentence_ratio": s.sentence_ratio,
+            "narrative": s.narrative, "detail_allowed": s.detail_allowed, "documentary": self.family in V.DOCUMENTARY_FAMILIES,
+            "measure_good": self.good_measure, "label_good": self.good_label, "basis_good": self.good_measure or self.good_label,
+            "title_leading": self.titled("principal", "hallazgo", "coso", "consolidado"), "title_spread": self.titled("principal", "hallazgo", "coso", "distribucion"),
+            "title_consolidated": self.titled("consolidado"), "title_main": self.titled("principal"), "title_findings": self.titled("hallazgo", "coso"),
+        }
+
+    def _allows(self, purpose: str, blocked: bool, slots: int = 2) -> bool:
+        traits = self.traits(slots)
+        return not blocked and not admitted(f"no_{purpose}", traits) and admitted(purpose, traits)
+
+    def allows_dashboard(self, slots: int = 2) -> bool:
+        return self._allows("dashboard", self.truth.blocked_dashboard, slots)
 
     def allows_summary(self) -> bool:
-        f = self.facts
-        if self.truth.blocked_summary or f.informative < 2:
-            return False
-        sizeable = f.n_rows >= 5 or len(f.columns) >= 5
-        return self.signal.narrative or sizeable or self.titled("principal", "hallazgo", "coso", "distribucion")
+        return self._allows("summary", self.truth.blocked_summary)
 
     def allows_detail(self, slots: int = 2) -> bool:
-        f, s = self.facts, self.signal
-        long_text = s.mean_length >= 48 and s.sentence_ratio >= 0.25
-        if self.truth.blocked_detail or self.family in V.DOCUMENTARY_FAMILIES or not s.detail_allowed or long_text:
-            return False
-        if self.titled("consolidado") or len(f.columns) > 6:
-            return False
-        if self.titled("principal"):
-            return True
-        if self.titled("hallazgo", "coso"):
-            return f.n_rows <= 18
-        return f.n_rows <= 6 or (slots >= 1 and f.n_rows <= 25)
+        return self._allows("detail", self.truth.blocked_detail, slots)
 
     @property
     def priority(self) -> int:
