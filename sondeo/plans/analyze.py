@@ -20,22 +20,31 @@ from sondeo.functions.dates import date_votes, parse_timestamp
 from sondeo.functions.text import semantic_text
 from sondeo.operators import charts as C
 from sondeo.operators import insights as I
-from sondeo.operators.audit import check_blocks, conservative_mode, new_titles
+from sondeo.operators.audit import check_blocks, conservative_mode, new_titles, run_audit
 from sondeo.operators.cellstore import facts_of_sheets
 from sondeo.operators.cleaning import clean_rows, clean_tables, main_table
 from sondeo.operators.commissions import commission_charts, executive_summary, generic_summary, is_commissions
 from sondeo.operators.correlation import correlations
+from sondeo.operators.digest import input_digests
 from sondeo.operators.groups import category_totals, imbalance, leaders, ranked_top, report_groups, top_with_others, totals
 from sondeo.operators.money import currency_alerts, financial_context, money_facts, money_view
 from sondeo.operators.outliers import outliers
 from sondeo.operators.pareto import group_shares, pareto_summary, pareto_top
 from sondeo.operators.profile import ColumnProfile, profile_columns, profile_table
 from sondeo.operators.quality import data_quality, sparse_measures
-from sondeo.operators.readers import secondary_table
-from sondeo.operators.tables import TableReport, dimension_score, judged, report_rows
+from sondeo.operators.readers import (
+    finding_bullets,
+    progress_column,
+    progress_status,
+    progress_values,
+    read_first_column,
+    read_hierarchy,
+    secondary_table,
+)
+from sondeo.operators.tables import TableReport, dashboard, dimension_score, judged, report_rows, table_summary
 from sondeo.operators.trend import before_after, last_periods, periodic_totals, trend_summary
 from sondeo.operators.workbook import classify_sheets, workbook_notes, workbook_profile
-from sondeo.session import local_table, settle
+from sondeo.session import local_table, settle, union_all
 from sondeo.sources.catalog import Catalog, Sheet, sheet_table
 
 
@@ -346,6 +355,10 @@ def derived_charts(reports: list[TableReport], limit: int = V.MAX_DERIVED_CHARTS
     return describe_charts(wanted, limit) if wanted else {}
 
 
+#: Families of sheets with a layout of their own, families of findings, and the roles of columns that tell one.
+SPECIAL_FAMILIES, FINDING_FAMILIES, FINDING_ROLES = ("coso", "distribucion"), ("hallazgos", "oportunidades"), ("risk",)
+
+
 class WorkbookAnalysis:
     """A workbook: its sheets classified, the primary one analysed, every table reported on."""
 
@@ -416,7 +429,7 @@ class WorkbookAnalysis:
     @cached_property
     def reports(self) -> list[TableReport]:
         """Every sheet with two rows and columns, except the two special layouts."""
-        wanted = [r for r in self._found if r["n_rows"] >= 2 and r["n_cols"] >= 2 and r["family"] not in ("coso", "distribucion")]
+        wanted = [r for r in self._found if r["n_rows"] >= 2 and r["n_cols"] >= 2 and r["family"] not in SPECIAL_FAMILIES]
         sheets = [self.catalog.sheets[r["sheet"]] for r in wanted]
         cleaned = clean_tables([s.df for s in sheets])
         titles = ["Tabla principal" if r["is_primary"] else r["sheet"] for r in wanted]
@@ -436,14 +449,92 @@ class WorkbookAnalysis:
             found["chart_meta"] = new_titles(found["chart_meta"], own)
         return found
 
+    @cached_property
+    def _others(self) -> list[tuple[Sheet, str]]:
+        """The sheets beside the primary one, cleaned like report tables, with their families; the two special layouts and sheets
+        of fewer than two rows or columns are none of them."""
+        wanted = [r for r in self._found if not r["is_primary"] and r["family"] not in SPECIAL_FAMILIES and r["n_rows"] >= 2 and r["n_cols"] >= 2]
+        sheets = [self.catalog.sheets[r["sheet"]] for r in wanted]
+        cleaned = clean_tables([s.df for s in sheets])
+        return [(Sheet(s.name, df, s.order_by), r["family"]) for s, df, r in zip(sheets, cleaned, wanted)]
+
+    @cached_property
+    def fill(self) -> DataFrame | None:
+        """(sheet, n_rows, n_cells, n_filled, enough): how full each other sheet is, from one scan of each, in one job."""
+        def counted(sheet: Sheet) -> DataFrame:
+            filled = sum((F.count(F.col(f"`{c}`")) for c in sheet.df.columns), F.lit(0))
+            return sheet.df.agg(F.count(F.lit(1)).alias("n_rows"), filled.alias("n_filled")).select(
+                F.lit(sheet.name).alias("sheet"), "n_rows", (F.col("n_rows") * len(sheet.df.columns)).alias("n_cells"), "n_filled")
+
+        if not self._others:
+            return None
+        facts = union_all([counted(sheet) for sheet, _ in self._others])
+        enough = (F.col("n_rows") > 0) & (F.col("n_filled") >= V.MIN_FILL_RATIO * F.col("n_cells"))
+        return settle(facts.withColumn("enough", enough))
+
+    @cached_property
+    def _shown(self) -> list[tuple[Sheet, str]]:
+        """The other sheets worth a table: findings always, the rest if they are full enough."""
+        if not self._others:
+            return []
+        enough = {r["sheet"] for r in self.fill.where("enough").collect()}      # one row per sheet
+        return [(sheet, family) for sheet, family in self._others if family in FINDING_FAMILIES or sheet.name in enough]
+
     def secondary_tables(self) -> dict[str, DataFrame]:
-        """The display table of each sheet other than the primary one."""
+        """The display table of each other sheet that has an order."""
+        return {f"table:{s.name}": secondary_table(s.df, s.order_by, family) for s, family in self._shown if s.order_by}
+
+    @cached_property
+    def progress(self) -> DataFrame | None:
+        """(sheet, column, total, done, under_way, pending, mean_progress) of every other sheet that tells how far its items are."""
+        told = [(s, c) for s, _ in self._shown if (c := progress_column(s.df.columns))]
+        parts = [progress_status(s.df, progress_values(s.df, c)).select(F.lit(s.name).alias("sheet"), F.lit(c).alias("column"), "*") for s, c in told]
+        return settle(union_all(parts)) if parts else None
+
+    @cached_property
+    def bullets(self) -> DataFrame | None:
+        """(sheet, ord, column, text): the first findings of each sheet of findings or opportunities, from its first column that tells one."""
+        parts = []
+        for sheet, family in self._others:
+            told = next((c for c in sheet.df.columns if names.semantic_role(c) in FINDING_ROLES), None)
+            if family in FINDING_FAMILIES and sheet.order_by and told:
+                lines = finding_bullets(sheet.df, told, sheet.order_by)      # eight lines at most
+                ranked = lines.select(F.lit(sheet.name).alias("sheet"), F.monotonically_increasing_id().alias("place"), F.lit(told).alias("column"), "text")
+                parts.append(ranked)
+        if not parts:
+            return None
+        rank = F.row_number().over(Window.partitionBy("sheet").orderBy("place"))
+        return settle(union_all(parts).select("sheet", rank.alias("ord"), "column", "text"))
+
+    @cached_property
+    def special_layouts(self) -> dict[str, DataFrame]:
+        """The readings of raw grids in the two special layouts: the control hierarchy, and the first column of a distribution."""
         out = {}
         for r in self._found:
-            sheet = self.catalog.sheets[r["sheet"]]
-            if not r["is_primary"] and sheet.order_by and r["family"] not in ("coso", "distribucion"):
-                out[f"table:{r['sheet']}"] = secondary_table(sheet.df, sheet.order_by, r["family"])
-        return out
+            df = self.catalog.sheets[r["sheet"]].df
+            if r["family"] in SPECIAL_FAMILIES and {"row_ord", "cells"} <= set(df.columns):
+                out[f"layout:{r['sheet']}"] = read_hierarchy(df) if r["family"] == "coso" else read_first_column(df)
+        return {name: found for name, found in out.items() if found is not None}
+
+    @cached_property
+    def dashboards(self) -> DataFrame | None:
+        """The figures and rankings of all tables that may have a dashboard, those with detail first."""
+        wanted = sorted((r for r in self.reports if r.allows_dashboard()), key=lambda r: r.priority)
+        return settle(union_all([dashboard(r) for r in wanted])) if wanted else None
+
+    @cached_property
+    def table_summaries(self) -> DataFrame | None:
+        """The facts of all tables that may be summed up."""
+        wanted = sorted((r for r in self.reports if r.allows_summary()), key=lambda r: r.priority)
+        return settle(union_all([table_summary(r) for r in wanted])) if wanted else None
+
+    @cached_property
+    def audit(self) -> DataFrame | None:
+        """The record of the run: what was shown and why, with the digest of what every sheet holds."""
+        if self.blocks is None:
+            return None
+        inputs = input_digests({name: sheet.df for name, sheet in self.catalog.sheets.items()})
+        return run_audit(self.blocks, inputs, self.run, self.primary.data_quality if self.primary else None)
 
     @cached_property
     def blocks(self) -> DataFrame | None:
@@ -461,10 +552,10 @@ class WorkbookAnalysis:
 
     def tables(self) -> dict[str, DataFrame]:
         out = {name: getattr(self, name) for name in (
-            "sheets", "workbook", "workbook_notes", "executive_summary", "commission_charts", "generic_summary", "table_reports", "blocks", "run")}
+            "sheets", "workbook", "workbook_notes", "executive_summary", "commission_charts", "generic_summary", "table_reports", "fill", "progress", "bullets", "dashboards", "table_summaries", "blocks", "run", "audit")}
         out |= self.primary.tables() if self.primary else {}
         out |= {"conclusions": self.conclusions, "insights": self.insights}
-        out |= self.secondary_tables() | {f"derived_{k}": v for k, v in self.derived_charts.items()}
+        out |= self.secondary_tables() | self.special_layouts | {f"derived_{k}": v for k, v in self.derived_charts.items()}
         return {name: result for name, result in out.items() if result is not None}
 
 

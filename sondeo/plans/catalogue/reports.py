@@ -363,6 +363,47 @@ def derived_charts_tables(spark, sf):
     return r2(out["chart_data"].select("chart_id", "label", "value"), "value")
 
 
+# ---- a workbook run composes its parts ---------------------------------------------------------------
+def tasks_book(spark, sf) -> WorkbookAnalysis:
+    """Orders beside a plan in percent, a follow-up in fractions, findings, and a sheet that is nearly empty."""
+    labels, docs, part = (table(spark, sf, t) for t in ("labels", "documents", "part"))
+    plan = labels.select("doc_id", F.concat(F.lit("Tarea "), "doc_id").alias("Tarea"), (F.coalesce("quality", F.lit(0)) * 60 + F.coalesce("toxic", F.lit(0)) * 40).alias("Avance"))
+    follow = part.select("p_partkey", F.col("p_name").alias("Tema"), F.col("p_brand").alias("Area"), (F.col("p_size") / 40.0).alias("%"))
+    finds = docs.select("doc_id", F.col("text").alias("Hallazgo"), F.col("source").alias("Origen"))
+    rare = part.select("p_partkey", *[F.when(F.col("p_partkey") % 50 == 0, F.col("p_name")).alias(f"Nota {i}") for i in range(9)])
+    sheets = {
+        "Ventas": Sheet("Ventas", table(spark, sf, "orders"), ["o_orderkey"]), "Plan": Sheet("Plan", plan, ["doc_id"]), "Seguimiento": Sheet("Seguimiento", follow, ["p_partkey"]),
+        "Hallazgos 2024": Sheet("Hallazgos 2024", finds, ["doc_id"]), "Notas": Sheet("Notas", rare, ["p_partkey"])}
+    return WorkbookAnalysis(Catalog("libro", sheets))
+
+
+@query("""
+WITH p AS (SELECT 'Plan' AS sheet, 'Avance' AS "column", (coalesce(quality, 0) * 60 + coalesce(toxic, 0) * 40) / 100.0 AS v FROM labels UNION ALL
+           SELECT 'Seguimiento', '%', p_size / 40.0 FROM part),
+s AS (SELECT max(v) > 1.2 AS hundred FROM p WHERE sheet = 'Seguimiento'),
+q AS (SELECT sheet, "column", CASE WHEN sheet = 'Seguimiento' AND hundred THEN v / 100 ELSE v END::DOUBLE AS v FROM p, s)
+SELECT sheet, "column", count(*) AS total, count(*) FILTER (WHERE v >= 1) AS done, count(*) FILTER (WHERE v > 0 AND v < 1) AS under_way,
+       count(*) FILTER (WHERE v = 0) AS pending, round(avg(v), 4) AS mean_progress FROM q GROUP BY 1, 2""")
+def workbook_secondary_progress(spark, sf):
+    return tasks_book(spark, sf).progress
+
+
+@query("""
+SELECT 'Plan' AS sheet, count(*) AS n_rows, 3 * count(*) AS n_cells, 3 * count(*) AS n_filled, true AS enough FROM labels UNION ALL
+SELECT 'Seguimiento', count(*), 4 * count(*), 4 * count(*), true FROM part UNION ALL
+SELECT 'Hallazgos 2024', count(*), 3 * count(*), count(*) + count(text) + count(source), true FROM documents""")
+def workbook_fill(spark, sf):
+    """How full the other sheets are, but for the one that cleaning thins out."""
+    return tasks_book(spark, sf).fill.where("sheet <> 'Notas'")
+
+
+@query("""
+SELECT 'Hallazgos 2024' AS sheet, row_number() OVER (ORDER BY doc_id)::INTEGER AS ord, 'Hallazgo' AS "column", left(replace(text, '_x000d_', ' '), 120) AS text FROM (
+  SELECT * FROM documents WHERE length(left(text, 120)) > 5 ORDER BY doc_id LIMIT 8)""")
+def workbook_bullets(spark, sf):
+    return tasks_book(spark, sf).bullets
+
+
 # ---- content checks and audit ---------------------------------------------------------------
 @query("""
 SELECT CASE WHEN p_size % 5 = 0 THEN 'chart' WHEN p_size % 5 = 1 THEN 'table' ELSE 'text' END AS type, count(*) AS n,
