@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import duckdb
+
 from sondeo.llm import licenses, secret_scan
 from sondeo.llm.catalogue import QUERIES
 from tests.agreement import compare, connect
@@ -151,7 +153,9 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
 IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
 FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
 AUTHORS OR COPYRIGHT HOLDERS BE LIABLE.""",
-    "BSD-2-Clause:full,BSD-3-Clause:full": """Redistribution and use in source and binary forms, with or without
+    "BSD-3-Clause:full": """Copyright 2020 A. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are met:
 
 1. Redistributions of source code must retain the above copyright notice,
@@ -162,6 +166,35 @@ modification, are permitted provided that the following conditions are met:
 3. Neither the name of the copyright holder nor the names of its contributors
    may be used to endorse or promote products derived from this software
    without specific prior written permission.""",
+    "BSD-2-Clause:full": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    "ISC:full": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE.""",
+    "LGPL-2.1-or-later:full": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+
+You should have received a copy of the GNU Lesser General Public
+License along with this library; if not, write to the Free Software Foundation.""",
+    "GPL-2.0-only:named": """This program is free software; you can redistribute it and/or modify it
+under the terms of the GNU General Public License version 2 as
+published by the Free Software Foundation.""",
 }
 
 
@@ -180,6 +213,23 @@ def test_published_notices_wrapped_and_unwrapped(spark):
     assert got == want
 
 
+def test_rules_take_their_sentences(spark, tmp_path):
+    texts = [
+        f"{NOTICES['BSD-3-Clause:full']}\n\n{NOTICES['BSD-2-Clause:full']}", f"{NOTICES['MIT:full']}\n\nAll rights reserved.", "All rights reserved.\n\nAll rights reserved.",
+        "// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: GPL-2.0-or-later\n", "/* SPDX-License-Identifier: BSD-3-Clause */", "SPDX-License-Identifier: MIT OR Apache-2.0",
+        f"SPDX-License-Identifier: MIT\n\n{NOTICES['MIT:full']}", "\n\n".join(NOTICES.values()), "\n\n".join(f"{t}\n\nAll rights reserved." for t in reversed(NOTICES.values()))]
+    texts += [*NOTICES.values(), *(" ".join(t.split()) for t in NOTICES.values()), None, "", "licence " * 50_000, "All rights\nreserved", "x.  All rights reserved;\n\n \nthe mit license"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["strength"] for r in licenses.scan(docs).collect()}
+    every = ",".join(sorted({*NOTICES}))
+    assert [got[i] for i in range(10)] == [
+        "BSD-2-Clause:full,BSD-3-Clause:full", "MIT:full", "Proprietary:named", "MIT:named", "GPL-2.0-or-later:named", "BSD-3-Clause:named", "", "MIT:full", every, every]
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert sorted(tuple(r) for r in licenses.scan(docs).collect()) == sorted(duck.execute(licenses.scan_sql()).fetchall())
+
+
 def test_sentences_end_at_clauses_and_paragraphs(spark):
     rows = [(1, "Copyright 2020 A. All rights\nreserved."), (2, "All rights\n\nreserved."), (3, "Not all rights reserved."), (4, "All rights reserved here."), (5, "All rights\n *\n* reserved."),
             (6, "released under\nthe MIT License"), (7, "licence " + ". " * 200_000 + "\n" * 3 + "- " * 200_000 + "\nAll rights reserved")]
