@@ -55,11 +55,11 @@ def executive_summary(df: DataFrame, cols: CommissionColumns = CommissionColumns
     )
 
 
-def generic_summary(df: DataFrame, source: str, measures: list[str]) -> DataFrame:
-    """One row: rows, columns and the first names of each."""
+def generic_summary(df: DataFrame, source: str, measures: list[str], max_measures: int | None = 8, max_columns: int | None = 12) -> DataFrame:
+    """One row: rows, columns and the first names of each; None names all."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
         F.lit(source).alias("source"), "n_rows", F.lit(len(df.columns)).alias("n_cols"),
-        F.array(*map(F.lit, measures[:8])).cast("array<string>").alias("measures"), F.array(*map(F.lit, df.columns[:12])).alias("columns"),
+        F.array(*map(F.lit, measures[:max_measures])).cast("array<string>").alias("measures"), F.array(*map(F.lit, df.columns[:max_columns])).alias("columns"),
     )
 
 

@@ -111,17 +111,21 @@ def exact_where_it_matters(df: DataFrame, sketched: dict[str, tuple[Column, int,
         return estimate <= CHEAP_DISTINCT or near
 
     recount = {name: expr for name, (expr, estimate, n) in sketched.items() if decides(estimate, n)}
-    counts = {name: estimate for name, (_, estimate, _) in sketched.items()}
-    if recount:
-        # Compared by 128 bits of hash, so that long texts are not shuffled whole.
-        prints = F.array(*[
-            F.when(expr.isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(expr).alias("a"), F.xxhash64(F.lit("sondeo"), expr).alias("b")))
-            for i, expr in enumerate(recount.values())
-        ])
-        cells = df.select(F.inline(prints)).where("i IS NOT NULL").groupBy("i", "a", "b").count()
-        exact = {r["i"]: r["n"] for r in cells.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
-        counts.update({name: exact.get(i, 0) for i, name in enumerate(recount)})
-    return counts
+    return {name: estimate for name, (_, estimate, _) in sketched.items()} | exact_distinct(df, recount)
+
+
+def exact_distinct(df: DataFrame, values: dict[str, Column]) -> dict[str, int]:
+    """Exact distinct counts of several expressions in one scan, for figures that are shown."""
+    if not values:
+        return {}
+    # Compared by 128 bits of hash, so that long texts are not shuffled whole.
+    prints = F.array(*[
+        F.when(expr.isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(expr).alias("a"), F.xxhash64(F.lit("sondeo"), expr).alias("b")))
+        for i, expr in enumerate(values.values())
+    ])
+    cells = df.select(F.inline(prints)).where("i IS NOT NULL").groupBy("i", "a", "b").count()
+    exact = {r["i"]: r["n"] for r in cells.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {name: exact.get(i, 0) for i, name in enumerate(values)}
 
 
 def looks_sequential(values: list[float | None], n_whole: int, n: int) -> bool:

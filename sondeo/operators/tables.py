@@ -17,7 +17,7 @@ from sondeo.functions import vocabulary as V
 from sondeo.functions.numbers import format_full, format_metric, number_view
 from sondeo.functions.text import clean_text, is_noise, is_sentence, is_time_label
 from sondeo.operators.groups import leaders, ranked_top, report_groups
-from sondeo.operators.profile import SEQUENCE_LENGTH, exact_where_it_matters, first_whole_values, profilable
+from sondeo.operators.profile import SEQUENCE_LENGTH, exact_distinct, first_whole_values, profilable
 from sondeo.operators.running import first_appearances
 from sondeo.operators.weights import FLOOR, TEXT_SIGNS, TEXT_SIGNS_NEEDED, admitted, best, holds, weigh
 from sondeo.session import local_table
@@ -117,19 +117,17 @@ def table_facts(df: DataFrame, name: str, order_by: list[str] | None = None) ->
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(readable >= least).alias("informative"),
         F.count_if(readable <= max(1, least - 1)).alias("weak"),
-        *[F.struct(cell_aggregates(s["text"], s["ok"], s["v"]).alias("facts"), F.approx_count_distinct(label, 0.02).alias("sketch")).alias(f"f{i}") for i, (s, label) in enumerate(zip(cells, labels))],
+        *[cell_aggregates(s["text"], s["ok"], s["v"]).alias(f"f{i}") for i, s in enumerate(cells)],
     ).first()
-    distinct = exact_where_it_matters(
-        staged, {c: (labels[i], one[f"f{i}"]["sketch"], one[f"f{i}"]["facts"]["n"]) for i, c in enumerate(columns)}
-    )
+    distinct = exact_distinct(staged, dict(zip(columns, labels)))
     heads = first_whole_values(
-        staged, {c: cells[i]["v"] for i, c in enumerate(columns) if one[f"f{i}"]["facts"]["n_whole"]},
-        {c: one[f"f{i}"]["facts"]["n_whole"] for i, c in enumerate(columns)}, order_by,
+        staged, {c: cells[i]["v"] for i, c in enumerate(columns) if one[f"f{i}"]["n_whole"]},
+        {c: one[f"f{i}"]["n_whole"] for i, c in enumerate(columns)}, order_by,
     ) if order_by else {}
 
     described = []
     for i, c in enumerate(columns):
-        f = one[f"f{i}"]["facts"].asDict()
+        f = one[f"f{i}"].asDict()
         described.append(CellFacts(c, n_distinct=distinct[c], head=heads.get(c, []), **f))
     facts_ = TableFacts(name, df, described, one["n_rows"], one["informative"], one["weak"])
     _mark_time_columns(facts_, order_by)

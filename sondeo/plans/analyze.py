@@ -68,9 +68,13 @@ class TableAnalysis:
     every statement about them reads its few grouped rows.
     """
 
-    def __init__(self, df: DataFrame, source: str, order_by: list[str] | None = None, strict: bool = True, unit: str = "month", ranked_categories: int | None = 3):
+    def __init__(self, df: DataFrame, source: str, order_by: list[str] | None = None, strict: bool = True, unit: str = "month", ranked_categories: int | None = 3,
+                 totalled_measures: int | None = 3, charted_categories: int | None = 3, charted_totals: int | None = 2):
         self.df, self.source, self.order_by, self.strict, self.unit = df, source, order_by, strict, unit
         self.ranked_categories = ranked_categories      # how many get a Pareto; None: all
+        self.totalled_measures = totalled_measures      # how many are totalled by category; None: all
+        # how many categories get a chart of counts, and of totals; None: all
+        self.charted_categories, self.charted_totals = charted_categories, charted_totals
 
     # -- decisions: one record per column -------------------------------------------------
     @cached_property
@@ -144,7 +148,7 @@ class TableAnalysis:
 
     @cached_property
     def groups(self) -> CategoryGroups | None:
-        return CategoryGroups(self.df, self.categories, dict(list(self.amounts.items())[:3])) if self.categories else None
+        return CategoryGroups(self.df, self.categories, dict(list(self.amounts.items())[: self.totalled_measures])) if self.categories else None
 
     @cached_property
     def _shares(self) -> dict[str, DataFrame]:
@@ -296,10 +300,10 @@ def automatic_charts(t: TableAnalysis) -> dict[str, DataFrame]:
 
     cats = [p for p in t.profiles if p.role == "categorica" and not names.is_person(p.column) and not names.is_identifier(p.column)]
     measures = [p for p in t.measures if not names.is_identifier(p.column)]
-    for p in cats[:3]:
+    for p in cats[: t.charted_categories]:
         data = top_with_others(t.groups.counts(p.column), V.MAX_BAR)
         want(data, f"distribution:{p.column}", None, f"Distribución por {p.column}", p.column, "Registros", "conteo", p.importance + 8)
-    for p in cats[:2]:
+    for p in cats[: t.charted_totals]:
         for m in [m for m in measures if m.column in t.groups.slots]:
             data = top_with_others(t.groups.by_value(p.column, m.column), V.MAX_BAR)
             want(data, f"value:{p.column}:{m.column}", "bar", f"{m.column} por {p.column}", p.column, m.column, "suma", p.importance + m.importance)
@@ -332,8 +336,8 @@ def describe_charts(wanted: list[tuple], limit: int) -> dict[str, DataFrame]:
     return {"chart_meta": meta, "chart_data": data.join(F.broadcast(meta.select("chart_id")), "chart_id", "left_semi")}
 
 
-def derived_charts(reports: list[TableReport], limit: int = V.MAX_DERIVED_CHARTS) -> dict[str, DataFrame]:
-    """Charts from report tables: two best dimensions each, by total of the measure or by count."""
+def derived_charts(reports: list[TableReport], limit: int = V.MAX_DERIVED_CHARTS, dimensions: int | None = 2) -> dict[str, DataFrame]:
+    """Charts from report tables: the best ``dimensions`` of each (None: all), by total of the measure or by count."""
     wanted, titles = [], set()
     for r in reports:
         f, s = r.facts, r.signal
@@ -341,7 +345,7 @@ def derived_charts(reports: list[TableReport], limit: int = V.MAX_DERIVED_CHARTS
             continue
         measure = r.basis.measure
         dims = sorted((c for c in f.columns if c is not measure and dimension_score(c) > 0 and c.n_distinct >= 3), key=dimension_score, reverse=True)
-        for c in dims[:2]:
+        for c in dims[:dimensions]:
             title = f"{f.name} · {c.name}"
             if title.lower() in titles:
                 continue

@@ -38,4 +38,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import every module that registers queries."""
-    from sondeo.plans.catalogue import analyses, cells, grids, groups, reports, workbooks  # noqa: F401
+    from sondeo.plans.catalogue import analyses, cells, grids, groups, reports, statements, workbooks  # noqa: F401

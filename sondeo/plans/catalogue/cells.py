@@ -57,9 +57,9 @@ def parse_decorated_numbers(spark, sf):
 
 
 @query("""
-SELECT 'o_orderpriority' AS col, count(*) AS n, count(*) AS n_lenient, 0::BIGINT AS n_strict FROM orders
-UNION ALL
-SELECT 'p_brand', count(*), count(*), 0::BIGINT FROM part""")
+WITH c AS (SELECT 'o_orderpriority' AS col, o_orderpriority AS x FROM orders UNION ALL SELECT 'p_brand', p_brand FROM part)
+SELECT col, count(*) AS n, count(*) FILTER (WHERE regexp_matches(x, '[0-9]')) AS n_lenient,
+       count(*) FILTER (WHERE regexp_full_match(trim(x), '[-+(]*[0-9][0-9.,]*[)%]*')) AS n_strict FROM c GROUP BY 1""")
 def parse_strictness(spark, sf):
     def counted(t, c):
         return table(spark, sf, t).agg(

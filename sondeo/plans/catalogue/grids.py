@@ -74,9 +74,12 @@ def grid_headers_first(spark, sf):
     return S.detect_headers(grid(spark, sf), "first").select("sheet", "header_row")
 
 
-@query("""
-SELECT 'customer' AS sheet, 'Hoja customer' AS title, 'Datos base' AS subtitle, 'CHART' AS type UNION ALL
-SELECT 'part', 'Hoja part', 'Datos base', 'CHART' UNION ALL SELECT 'supplier', 'Hoja supplier', 'Datos base', 'CHART'""")
+@query(f"""
+WITH g AS ({grid_sql()}), h AS ({HEADERS}),
+a AS (SELECT g.sheet, trim(cells[1]) AS t, len([c FOR c IN cells IF c IS NOT NULL AND trim(c) <> '']) AS filled FROM g JOIN h USING (sheet) WHERE row_ord < header_row)
+SELECT sheet, max(trim(substr(t, 7))) FILTER (WHERE starts_with(t, 'TITLE:')) AS title,
+       max(t) FILTER (WHERE filled = 1 AND length(t) > 3 AND NOT regexp_matches(t, '^(TITLE|SUBTITLE|TYPE):')) AS subtitle,
+       max(trim(substr(t, 6))) FILTER (WHERE starts_with(t, 'TYPE:')) AS type FROM a GROUP BY 1""")
 def grid_tags(spark, sf):
     g = grid(spark, sf)
     return S.sheet_tags(g, S.detect_headers(g)).drop("workbook")

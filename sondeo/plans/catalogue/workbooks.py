@@ -83,11 +83,16 @@ def workbook_note_counts(spark, sf):
     return notes.groupBy("note").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
-@query("SELECT 'libro' AS workbook, 'COSO' AS coso, 'TD' AS td")
+@query(" UNION ALL ".join(f"SELECT '{n}' AS sheet, {i} AS ord, count(*) AS n_rows FROM {t}" for i, (n, (t, *_)) in enumerate(NAMED.items())).join(("WITH s AS (", """)
+SELECT 'libro' AS workbook, min_by(sheet, ord) FILTER (WHERE contains(lower(sheet), 'coso')) AS coso,
+       min_by(sheet, ord) FILTER (WHERE contains(lower(sheet), 'distribucion') OR trim(lower(sheet)) = 'td') AS td,
+       min_by(n_rows, ord) FILTER (WHERE contains(lower(sheet), 'coso')) AS coso_rows FROM s""")))
 def sheets_by_name(spark, sf):
+    """Two sheets found by name, and the rows of the first."""
     sheets = sheet_table(named(spark, sf))
     coso = find_sheet(sheets, contains="coso").withColumnRenamed("sheet", "coso")
-    return coso.join(find_sheet(sheets, contains="distribucion", equals="td").withColumnRenamed("sheet", "td"), "workbook")
+    both = coso.join(find_sheet(sheets, contains="distribucion", equals="td").withColumnRenamed("sheet", "td"), "workbook")
+    return both.join(sheets.select("workbook", F.col("sheet").alias("coso"), F.col("n_rows").alias("coso_rows")), ["workbook", "coso"])
 
 
 SHAPES = {"orders": "auto", "part": "auto", "customer": "boardroom", "lineitem": "charts", "documents": "tables"}
