@@ -20,7 +20,7 @@ from sondeo.llm.bpe import Vocabulary, WordEncoder, worker_encoder
 from sondeo.llm.support import CHUNK_CHARS, Shipped, _utf8_lengths, chunks, lighter_batches, stored, tidy
 
 CAPACITY = 4096
-SLICES = 64
+SLICE_ROWS = 100_000     # pieces of one length that one task numbers
 
 
 class Lengths:
@@ -158,22 +158,31 @@ def pack(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text", ca
 
     A null or empty text is the single id ``end``; only texts beyond ``capacity`` ids are cut. Repeated
     rows are packed each. No rows give no rows. Columns beside key and text are ignored; a key named like a column of the
-    result is refused. The pieces of a length are numbered within ``SLICES``
-    hashed slices, shifted by the sizes of the slices before, so that a very common length is no single task.
+    result is refused. The pieces of a length are numbered within hashed
+    slices of about ``SLICE_ROWS``, shifted by the sizes of the slices before, so that a very common length is no single
+    task at any size of the table.
     """
-    if key in ("piece", "start", "length", "ids_crc32", "sequence_id", "offset"):
-        raise ValueError(f"the key {key} is named like a column of the result; rename it")
+    if key in ("piece", "start", "length", "ids_crc32", "sequence_id", "offset", "_slices", "_first", "_slice", "_rank"):
+        raise ValueError(f"the key {key} is named like a column that packing makes; rename it")
     spark = docs.sparkSession
     pieces = stored(tokenised(docs, file, key, text, capacity, end))
-    sliced = pieces.withColumn("slice", F.pmod(F.xxhash64(F.col(key).cast("string"), "piece", "ids_crc32"), F.lit(SLICES)).cast("int"))
-    sizes = sliced.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))      # at most capacity * SLICES rows
-    table = sizes.toArrow()
-    counts = np.zeros((capacity + 1, SLICES), dtype=np.int64)
-    counts[table.column(0).to_numpy(), table.column(1).to_numpy()] = table.column(2).to_numpy()
-    before = np.cumsum(counts, axis=1) - counts
-    where = places(plan(counts.sum(axis=1), capacity))
-    shipped = Shipped(spark, (before, where))     # capacity * SLICES numbers, and the plan
-    numbered = sliced.withColumn("rank", F.row_number().over(Window.partitionBy("length", "slice").orderBy(key, "piece", "ids_crc32")) - 1)
+    lengths = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toArrow()      # at most capacity rows
+    total = np.zeros(capacity + 1, dtype=np.int64)
+    total[lengths.column(0).to_numpy()] = lengths.column(1).to_numpy()
+    slices = -(-total // SLICE_ROWS)
+    first = np.cumsum(slices) - slices                  # the slices of all lengths, one after another
+    cut = F.broadcast(spark.createDataFrame(pa.table({"length": np.arange(capacity + 1), "_slices": slices, "_first": first})))
+    hashed = F.pmod(F.xxhash64(F.col(key).cast("string"), "piece", "ids_crc32"), F.col("_slices"))
+    sliced = pieces.join(cut, "length").withColumn("_slice", F.col("_first") + hashed)
+    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).toArrow()      # capacity rows, and one for SLICE_ROWS pieces
+    counts = np.zeros(int(slices.sum()), dtype=np.int64)
+    counts[sizes.column(0).to_numpy()] = sizes.column(1).to_numpy()
+    # pieces of the same length in the slices before
+    running = np.cumsum(counts) - counts
+    before = running - np.repeat((np.cumsum(total) - total), slices)
+    where = places(plan(total, capacity))
+    shipped = Shipped(spark, (before, where))     # a number for each slice, and the plan
+    numbered = sliced.withColumn("_rank", F.row_number().over(Window.partitionBy("_slice").orderBy(key, "piece", "ids_crc32")) - 1)
     names = [key, "piece", "start", "length", "ids_crc32"]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +192,7 @@ def pack(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text", ca
             if not batch.num_rows:
                 continue
             length = batch.column(3).to_numpy()
-            rank = before[length, batch.column(5).to_numpy()] + batch.column(6).to_numpy()
+            rank = before[batch.column(5).to_numpy()] + batch.column(6).to_numpy()
             row = where[np.searchsorted(code, length << 40 | rank, side="right") - 1]
             since = rank - row[:, 1]
             yield pa.RecordBatch.from_arrays(
@@ -191,5 +200,5 @@ def pack(docs: DataFrame, file: str, key: str = "doc_id", text: str = "text", ca
                 names=[*names, "sequence_id", "offset"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return numbered.select(*names, "slice", F.col("rank").cast("long").alias("rank")).mapInArrow(
+    return numbered.select(*names, "_slice", F.col("_rank").cast("long").alias("_rank")).mapInArrow(
         look_up, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -166,3 +166,23 @@ def test_long_pieces_are_cut_where_cuts_are_forced(file, monkeypatch):
         cuts = np.flatnonzero(~v.together[raw[:-1] << 8 | raw[1:]]) + 1
         sizes += np.diff([0, *cuts, len(raw)]).tolist()
     assert sorted(seen) == sorted(n for n in sizes if n > bpe.LONG_PIECE) and max(seen, default=0) < 3000
+
+
+def test_common_lengths_are_numbered_in_slices(spark, monkeypatch):
+    """Few pieces a slice: every length falls into many of them, and places still have neither gaps nor overlaps."""
+    monkeypatch.setattr(packing, "SLICE_ROWS", 7)
+    texts = ["one two three"] * 200 + ["word " * n for n in range(60)] + [None] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "first long, text string")
+    rows = packing.pack(docs, WORDS, key="first", capacity=40).collect()
+    assert {r["first"] for r in rows} == set(range(len(texts)))
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in sequences.values():
+        ends = 0
+        for offset, length in sorted(places):
+            assert offset == ends
+            ends += length
+        assert ends <= 40
+    total = sum(r["length"] for r in rows)
+    assert len(sequences) <= -(-total // 40) + 2
