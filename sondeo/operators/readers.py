@@ -69,8 +69,9 @@ def progress_column(columns: list[str]) -> str | None:
 
 def progress_status(df: DataFrame, progress: Column) -> DataFrame:
     """One row: items done (at least 1), under way, pending, and the mean."""
-    p = F.coalesce(progress, F.lit(0.0))
-    return df.agg(
+    p = F.col("p")
+    # Projected first, so each text is parsed once however many figures read the number.
+    return df.select(F.coalesce(progress, F.lit(0.0)).alias("p")).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(p >= 1).alias("done"),
         F.count_if((p > 0) & (p < 1)).alias("under_way"),
