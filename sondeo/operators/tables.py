@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from sondeo.functions import names
 from sondeo.functions import vocabulary as V
 from sondeo.functions.numbers import format_full, format_metric, number_view
-from sondeo.functions.text import clean_text, is_noise, is_sentence, is_time_label
+from sondeo.functions.text import clean_text, is_noise, is_readable, is_sentence, is_time_label, reads_as_sentence
 from sondeo.operators.groups import leaders, ranked_top, report_groups
 from sondeo.operators.profile import SEQUENCE_LENGTH, exact_distinct, first_whole_values, profilable
 from sondeo.operators.running import first_appearances
@@ -86,7 +86,7 @@ def cell_aggregates(text: Column, ok: Column, v: Column) -> Column:
         F.count_if(v == F.floor(v)).alias("n_whole"),
         F.count_if(v != F.floor(v)).alias("n_fractions"),
         F.count_if(F.abs(v) > 1e-9).alias("n_nonzero"),
-        F.count_if(ok & v.isNull() & is_sentence(text)).alias("n_sentences"),
+        F.count_if(ok & v.isNull() & reads_as_sentence(text)).alias("n_sentences"),
         F.count_if(ok & text.rlike("[-/:]")).alias("n_dated"),
         F.coalesce(F.sum(F.when(ok, F.length(text))), F.lit(0)).alias("n_chars"),
         F.min(v).alias("lowest"),
@@ -105,10 +105,9 @@ def table_facts(df: DataFrame, name: str, order_by: list[str] | None = None) ->
         for i, c in enumerate(columns)
         for view in (
             clean_text(F.col(f"`{c}`")).alias(f"text{i}"),
-            (~is_noise(F.col(f"`{c}`"))).alias(f"ok{i}"),
             number_view(F.col(f"`{c}`"), df.schema[c].dataType).alias(f"v{i}"),
         )
-    ])
+    ]).select("*", *[is_readable(F.col(f"text{i}")).alias(f"ok{i}") for i in range(len(columns))])
     cells = [{k: F.col(f"{k}{i}") for k in ("text", "ok", "v")} for i in range(len(columns))]
     readable = sum((s["ok"].cast("int") for s in cells), F.lit(0))
     labels = [F.when(s["ok"], F.lower(s["text"])) for s in cells]
