@@ -207,6 +207,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
+        self.special_ids = {x: y.to_bytes(4, "little") for x, y in vocabulary.special.items()}
         self.pieces = regex.compile(self.PIECES).findall
         self.special = re.compile(vocabulary.special_pattern).split if vocabulary.special else None
         self.new: dict[str, bytes] = {}
@@ -221,7 +222,7 @@ class Encoder:
         return text
 
     def chunks(self, text: str) -> list[str]:
-        """``text`` (without special tokens) cut at places where pieces end; fewer cuts than pieces, and cheaper to find."""
+        """``text`` (without special tokens) cut at places where pieces end. A chunk that ``LATIN`` matches is one piece."""
         return self.pieces(text)
 
     def split(self, text: str) -> list[str]:
@@ -235,14 +236,18 @@ class Encoder:
         """Ids of each text, little-endian in 32 bits each."""
         split = [self.split(x) for x in texts]
         fresh = set().union(*split).difference(self.new)
-        local = {x: self.old[x] for x in fresh if x in self.old}
-        ids = self.vocabulary.special
-        missing = [x for x in fresh if x not in local]
-        parts = [[x] if x in ids else self.pieces(x) for x in missing]
-        pieces = list(set().union(*parts).difference(ids))
-        coded = {x: y.to_bytes(4, "little") for x, y in ids.items()} | dict(zip(pieces, self.vocabulary.encode_pieces([x.encode() for x in pieces])))
-        local |= {x: b"".join([coded[y] for y in part]) for x, part in zip(missing, parts)}
-        more = sum(PIECE_BYTES + len(x) + len(y) for x, y in local.items())
+        local = {x: self.old[x] for x in fresh & self.old.keys()}
+        missing = fresh.difference(local)
+        coded = {x: self.special_ids[x] for x in missing & self.special_ids.keys()}
+        parts = {x: self.pieces(x) for x in missing if not x.isascii() and not LATIN(x) and x not in coded}
+        pieces = missing.difference(parts, coded).union(*parts.values())
+        for held in (self.new, local):       # a piece is a chunk, too
+            coded.update((x, held[x]) for x in pieces & held.keys())
+        pieces = list(pieces.difference(coded))
+        coded.update(zip(pieces, self.vocabulary.encode_pieces([x.encode() for x in pieces])))
+        coded.update([(x, b"".join(map(coded.__getitem__, part))) for x, part in parts.items()])
+        local.update(coded)
+        more = PIECE_BYTES * len(local) + sum(map(len, local)) + sum(map(len, local.values()))
         if len(self.new) + len(local) > REMEMBERED or self.size + more > REMEMBERED_BYTES:
             self.old, self.new, self.size = self.new, {}, 0
         self.size += more
@@ -251,23 +256,28 @@ class Encoder:
         out = [b"".join(map(known.__getitem__, x)) for x in split]
         if known is not self.new:
             self.new.update(local)
-        for x in local:
-            if len(x) > LONGEST_REMEMBERED:
-                self.new.pop(x, None)
+        for x in [x for x in local if len(x) > LONGEST_REMEMBERED]:
+            self.new.pop(x, None)
         return out
 
 
+#: Latin letters beyond ASCII that every version of Unicode has; ASCII signs and controls that are no white space; what must
+#: not follow a run that is to end where it does; contractions.
+MORE, SIGNS, SHORT = "À-ÖØ-öø-ſ", r"[!-/:-@\[-`{-~\x00-\x08\x0e-\x1b\x7f]", r"'(?:s|t|re|ve|m|ll|d)"
+WHOLE = rf"(?![^\x00-\x7f{MORE}])"
+LATIN = re.compile(rf"[\x00-\x7f{MORE}]*").fullmatch
+
+
 class ByteEncoder(Encoder):
     """Pieces of a byte-level vocabulary: a word with the blank before it, a number, a run of signs, white space."""
 
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
-    RUNS = re.compile(r"\s\s|\x00")
+    RUNS = re.compile(r"\s\s|[\x1c-\x1f]")
+    PLAIN = re.compile(rf" ?[A-Za-z{MORE}]++{WHOLE}|{SHORT}| ?[0-9]++{WHOLE}| ?{SIGNS}++{WHOLE}| ?\S+|\s")
 
     def chunks(self, text: str) -> list[str]:
-        if self.RUNS.search(text):
-            return self.pieces(text)
-        # single white space everywhere: pieces end before every blank and on both sides of a line feed
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        # single white space everywhere: pieces, and where letters or signs are others than those above, all up to white space
+        return self.pieces(text) if self.RUNS.search(text) else self.PLAIN.findall(text)
 
 
 class WordEncoder(Encoder):
@@ -275,13 +285,14 @@ class WordEncoder(Encoder):
 
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
     ODD = re.compile("[\x1c-\x1f]")    # white space to Python, not to the vocabulary
+    PLAIN = re.compile(rf"[a-z{MORE}]++{WHOLE}|{SHORT}|[0-9]|{SIGNS}++{WHOLE}|\S+")
 
     def normal(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
         return (text.replace("Σ", "σ") if "Σ" in text else text).lower()    # character by character: no final sigma
 
     def chunks(self, text: str) -> list[str]:
-        return self.pieces(text) if self.ODD.search(text) else text.split()
+        return self.pieces(text) if self.ODD.search(text) else self.PLAIN.findall(text)
 
 
 def worker_encoder(kind: type, shipped, name: str):

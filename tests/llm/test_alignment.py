@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sondeo.llm import alignment
-from sondeo.llm.bpe import byte_characters
+from sondeo.llm.bpe import Vocabulary, byte_characters
 from sondeo.llm.catalogue import QUERIES
 from tests.llm.conftest import ODD_TEXTS
 
@@ -93,3 +93,10 @@ def test_covering_tokens_give_all_overlaps():
         groups = alignment.grouped(left, right, at)
         common = np.intersect1d(*cuts)
         assert all(np.array_equal(g, np.searchsorted(common, c)) for g, c in zip(groups, cuts))
+
+
+def test_a_special_token_on_a_line_of_its_own_is_plain_text():
+    library, encoder = Tokenizer.from_file(A), alignment.PlainEncoder(Vocabulary(A))
+    library.encode_special_tokens = True
+    text = "x\n<|endoftext|>\ny"
+    assert np.frombuffer(encoder.encode_all([text])[0], dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids

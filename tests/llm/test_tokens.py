@@ -186,3 +186,24 @@ def test_common_lengths_are_numbered_in_slices(spark, monkeypatch):
         assert ends <= 40
     total = sum(r["length"] for r in rows)
     assert len(sequences) <= -(-total // 40) + 2
+
+
+@pytest.mark.parametrize("file, kind", [(BYTES, bpe.ByteEncoder), (WORDS, bpe.WordEncoder)])
+def test_a_special_token_in_other_letters_is_plain_text(file, kind):
+    library, encoder = Tokenizer.from_file(file), kind(bpe.Vocabulary(file))
+    for x in ["a <|STARTOFTEXT|> b", "<|ENDOFTEXT|>", "x <|EndOfText|>y", "x\n<|endoftext|>\n<|ENDOFTEXT|>"]:
+        assert np.frombuffer(encoder.encode_all([x])[0], dtype="<u4").tolist() == library.encode(x, add_special_tokens=False).ids, x
+
+
+@pytest.mark.parametrize("file, kind", [(BYTES, bpe.ByteEncoder), (WORDS, bpe.WordEncoder)])
+def test_words_are_cut_from_their_signs_and_encoded_once(file, kind):
+    texts = ["so word, (word) word. été! été;", "x\xa0word \xa0 a’b, don’t 'll’s word×2 no\u0301 ﬁ1 ſ' ß's"]
+    encoder = kind(bpe.Vocabulary(file))
+    assert [x.strip() for x in encoder.chunks(texts[0])] == ["so", "word", ",", "(", "word", ")", "word", ".", "été", "!", "été", ";"]
+    for x in texts + [x or "" for x in ODD_TEXTS] + AWKWARD:
+        chunks = encoder.chunks(encoder.normal(x))
+        assert [y for c in chunks for y in encoder.pieces(c)] == encoder.pieces(encoder.normal(x))
+        assert all(encoder.pieces(c) == [c] for c in chunks if bpe.LATIN(c))
+    library = Tokenizer.from_file(file)
+    for x, ids in zip(texts, encoder.encode_all(texts)):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == library.encode(x, add_special_tokens=False).ids
