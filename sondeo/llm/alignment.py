@@ -52,7 +52,8 @@ class Sides:
         self.b = piece_bytes(model)
         self.sizes = tuple(np.array([len(t) for t in side], dtype=np.int64) for side in (self.a, self.b))
         # four ways to write a token: A inside or at the end of its side, B inside or at the end of the group
-        self.written = [f"{i}{end}".encode() for side, end in ((self.a, ","), (self.a, "|"), (self.b, ","), (self.b, ";")) for i in range(len(side))]
+        self.written = pa.array([f"{i}{end}".encode() for side, end in ((self.a, ","), (self.a, "|"), (self.b, ","), (self.b, ";")) for i in range(len(side))], pa.large_binary())
+        self.tables = tuple(pa.array(side, pa.large_binary()) for side in (self.a, self.b))
 
     def tokens(self, texts: list[str | None]) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Which texts have tokens, and of those: ids of A, ids of B, and how many each text has.
@@ -63,12 +64,25 @@ class Sides:
         spaced = [" " + texts[i] for i in full]
         mine = [np.frombuffer(x, dtype="<u4").astype(np.int64) for x in self.encoder.encode_all(spaced)] if full else []
         theirs = self.model.encode([texts[i] for i in full], num_threads=1) if full else []
-        same = [k for k, x in enumerate(spaced) if b"".join(map(self.b.__getitem__, theirs[k])) == (raw := x.encode()) and b"".join(map(self.a.__getitem__, mine[k].tolist())) == raw]
-        a, b = [mine[k] for k in same], [np.array(theirs[k], dtype=np.int64) for k in same]
+        theirs = [np.array(x, dtype=np.int64) for x in theirs]
         none = np.zeros(0, dtype=np.int64)
+        back = [joined(table, np.concatenate([none, *side]), np.cumsum([len(x) for x in side])) for table, side in zip(self.tables, (mine, theirs))]
+        same = [k for k, x in enumerate(spaced) if back[0][k] == (raw := x.encode()) and back[1][k] == raw]
+        a, b = [mine[k] for k in same], [theirs[k] for k in same]
         return [full[k] for k in same], np.concatenate([none, *a]), np.concatenate([none, *b]), np.array([len(x) for x in a], dtype=np.int64), np.array([len(x) for x in b], dtype=np.int64)
 
 
+def joined(table: pa.Array, places: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Entries of ``table`` (bytes) written one after another; a new string begins after each of ``ends``."""
+    if not len(places):
+        return [b""] * len(ends)
+    found = table.take(pa.array(places))
+    _, offsets, data = found.buffers()
+    raw = data.to_pybytes() if data else b""
+    bounds = np.frombuffer(offsets, dtype=np.int64)[found.offset + np.append(0, ends).astype(np.int64)].tolist()
+    return [raw[lo:hi] for lo, hi in zip(bounds, bounds[1:])]
+
+
 def covering(sizes: tuple[np.ndarray, np.ndarray], docs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
     """For each token of either side the token of the other side that covers its start, and the starts.
 
@@ -145,9 +159,7 @@ def written(ids: tuple[np.ndarray, np.ndarray], groups: tuple[np.ndarray, np.nda
     line = np.zeros(len(ids[0]) + len(ids[1]), dtype=np.int64)
     line[np.arange(len(ids[0])) + np.append(0, places[0])[groups[0]]] = ids[0] + n * last[0]
     line[np.arange(len(ids[1])) + places[1][groups[1]]] = 2 * n + ids[1] + len(sides.b) * last[1]
-    codes, table = line.tolist(), sides.written
-    ends = (bounds[0] + bounds[1]).tolist()
-    return [b"".join(map(table.__getitem__, codes[lo:hi]))[:-1] for lo, hi in zip([0, *ends], ends)]
+    return [x[:-1] for x in joined(sides.written, line, bounds[0] + bounds[1])]
 
 
 def aligned(docs: DataFrame, file: str, model_file: str, key: str, text: str, keep_groups: bool) -> DataFrame:

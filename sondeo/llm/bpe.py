@@ -31,6 +31,8 @@ PIECE_BYTES = 200
 LONGEST_REMEMBERED = 40
 #: Fragments beyond this many bytes are merged one by one with a heap.
 LONG_PIECE = 300
+#: White space to Python, not to the vocabularies.
+ODD = "\x1c\x1d\x1e\x1f"
 
 
 def byte_characters() -> list[str]:
@@ -204,6 +206,7 @@ class Encoder:
     """
 
     PIECES: str
+    PLAIN: re.Pattern
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
@@ -222,8 +225,9 @@ class Encoder:
         return text
 
     def chunks(self, text: str) -> list[str]:
-        """``text`` (without special tokens) cut at places where pieces end. A chunk that ``LATIN`` matches is one piece."""
-        return self.pieces(text)
+        """``text`` (without special tokens) cut at places where pieces end. A chunk that ``LATIN`` matches is one piece;
+        where letters or signs are others, all up to the next white space is one chunk."""
+        return self.pieces(text) if any(x in text for x in ODD) else self.PLAIN.findall(text)
 
     def split(self, text: str) -> list[str]:
         """The chunks of a text, strings of special tokens among them."""
@@ -272,28 +276,19 @@ class ByteEncoder(Encoder):
     """Pieces of a byte-level vocabulary: a word with the blank before it, a number, a run of signs, white space."""
 
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?![^\p{White_Space}])|\p{White_Space}+"
-    RUNS = re.compile(r"\s\s|[\x1c-\x1f]")
-    PLAIN = re.compile(rf" ?[A-Za-z{MORE}]++{WHOLE}|{SHORT}| ?[0-9]++{WHOLE}| ?{SIGNS}++{WHOLE}| ?\S+|\s")
-
-    def chunks(self, text: str) -> list[str]:
-        # single white space everywhere: pieces, and where letters or signs are others than those above, all up to white space
-        return self.pieces(text) if self.RUNS.search(text) else self.PLAIN.findall(text)
+    PLAIN = re.compile(rf" ?[A-Za-z{MORE}]++{WHOLE}|{SHORT}| ?[0-9]++{WHOLE}| ?{SIGNS}++{WHOLE}| ?\S+|\s+(?!\S)|\s+")
 
 
 class WordEncoder(Encoder):
     """Pieces of a vocabulary with marked word ends: lower-cased words, digits, runs of signs; white space is dropped."""
 
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-    ODD = re.compile("[\x1c-\x1f]")    # white space to Python, not to the vocabulary
     PLAIN = re.compile(rf"[a-z{MORE}]++{WHOLE}|{SHORT}|[0-9]|{SIGNS}++{WHOLE}|\S+")
 
     def normal(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
         return (text.replace("Σ", "σ") if "Σ" in text else text).lower()    # character by character: no final sigma
 
-    def chunks(self, text: str) -> list[str]:
-        return self.pieces(text) if self.ODD.search(text) else self.PLAIN.findall(text)
-
 
 def worker_encoder(kind: type, shipped, name: str):
     """The worker's own encoder over a broadcast vocabulary; what it remembers outlives the task."""

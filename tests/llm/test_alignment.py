@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -100,3 +101,10 @@ def test_a_special_token_on_a_line_of_its_own_is_plain_text():
     library.encode_special_tokens = True
     text = "x\n<|endoftext|>\ny"
     assert np.frombuffer(encoder.encode_all([text])[0], dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_entries_are_joined_text_by_text():
+    table = pa.array([b"a", b"", b"bc"], pa.large_binary())
+    assert alignment.joined(table, np.array([0, 2, 1, 2, 2]), np.array([2, 2, 3, 5])) == [b"abc", b"", b"", b"bcbc"]
+    assert alignment.joined(table, np.array([1, 1]), np.array([1, 2])) == [b"", b""]
+    assert alignment.joined(table, np.zeros(0, dtype=np.int64), np.array([0, 0])) == [b"", b""] and alignment.joined(table, np.zeros(0, dtype=np.int64), np.zeros(0)) == []
