@@ -3,9 +3,13 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from sondeo.llm import jaccard
+from pyspark.sql import functions as F
+
+from sondeo.llm import jaccard, support
 from sondeo.llm.catalogue import QUERIES
 from sondeo.llm.components import components
 from tests.llm.conftest import ODD_TEXTS
@@ -91,3 +95,14 @@ def test_components_of_hubs_and_chains(spark):
     found = {r["node"]: r["component"] for r in components(links).collect()}
     assert found == {**{i: 1 for i in range(1, 61)}, **{1000 + i: 1000 for i in range(200)}, 2001: 2001}
     assert components(links.limit(0)).collect() == []
+
+
+def test_a_bitmap_tells_row_numbers_of_many_partitions_apart(spark):
+    keys = np.array([0, 1, -1, 42, 2**63 - 1, -(2**63), 7 << 33 | 5], dtype=np.int64)
+    df = spark.createDataFrame(pa.table({"k": keys}))
+    assert [r[0] for r in df.select(F.xxhash64("k")).collect()] == support.xxhash64_of_longs(keys).tolist()
+    rows = (np.arange(100, dtype=np.int64)[:, None] << 33 | np.arange(2_000)).ravel()
+    some = rows[::50]
+    marked = support.in_bitmap(support.bitmap(spark.createDataFrame(pa.table({"k": some})), "k"), rows)
+    assert marked[::50].all() and marked.sum() < 1.1 * len(some)
+    assert not support.in_bitmap(support.bitmap(df.filter("false"), "k"), rows).any()
