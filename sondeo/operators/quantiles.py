@@ -119,14 +119,16 @@ def _borders(views: DataFrame, pending: list[_Search], accuracy: int) -> dict[in
 def _count_cells(views: DataFrame, borders: dict[int, list[float]]) -> dict[int, list]:
     """Non-empty cells of every column in value order, all columns in one pass: each border is a cell, and so is what lies
     between two of them, with its count, minimum and maximum."""
-    placed = []
-    for c, values in borders.items():
-        v = F.col(f"v{c}")
-        # 2j + 1 for the border j itself, 2j for what comes before it
-        cell = reduce(lambda a, b: a + b, [(v >= b).cast("int") + (v > b).cast("int") for b in values])
-        placed.append(F.when(v.isNotNull(), F.struct(F.lit(c).alias("c"), cell.alias("cell"), v.alias("v"))))
+    # Columns fan out first and a value looks its borders up: as expressions of every column at once they are too long a method
+    # to be compiled. Columns of fewer borders are filled up with NaN, which no other value reaches.
+    fan = F.array(*[F.when(F.col(f"v{c}").isNotNull(), F.struct(F.lit(c).alias("c"), F.col(f"v{c}").alias("v"))) for c in borders])
     # Nulls are dropped after the fan-out: a filter on the array would leave generated code.
-    rows = views.select(F.inline(F.array(*placed))).where("c IS NOT NULL")
+    values = views.select(F.inline(fan)).where("c IS NOT NULL")
+    held = [borders.get(c, []) for c in range(max(borders) + 1)]
+    ranked = [F.get(F.array(*[F.lit(b[j] if j < len(b) else math.nan) for b in held]), F.col("c")) for j in range(max(map(len, held)))]
+    # 2j + 1 for the border j itself, 2j for what comes before it
+    cell = reduce(lambda a, b: a + b, [(F.col("v") >= b).cast("int") + (F.col("v") > b).cast("int") for b in ranked])
+    rows = values.select("c", cell.alias("cell"), "v")
     counted = rows.groupBy("c", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     out: dict[int, list] = {c: [] for c in borders}
     for row in sorted(counted.collect(), key=lambda r: (r["c"], r["cell"])):

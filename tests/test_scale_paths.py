@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from sondeo.operators import groups as G
 from sondeo.operators import quantiles
 from sondeo.operators.outliers import outliers
 from sondeo.operators.pareto import pareto
+from sondeo.operators.profile import profile_columns
 from sondeo.operators.quality import duplicate_rows
 from sondeo.operators.quantiles import exact_quantiles
 from sondeo.operators.running import first_appearances, forward_fill, running_totals
@@ -79,6 +81,63 @@ def test_quantiles_of_many_columns_need_three_jobs(spark):
     assert len(jobs) <= 8      # adaptive plans run a job for each shuffle
 
 
+COMPILED = 8_000      # bytes; the JVM leaves longer methods to its interpreter
+
+
+def method_sizes(df):
+    """The longest generated method of each stage of a query that has run."""
+    told = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", told)]
+
+
+def test_cells_of_many_columns_are_counted_in_compiled_code(spark, monkeypatch):
+    n, wide, sizes = 1000, 12, []
+    df = spark.range(n).select(*[F.when(F.col("id") % (i + 2) != 0, (F.col("id") * (2 * i + 1)) % n).cast("double").alias(f"v{i}") for i in range(wide)])
+    collect = type(df).collect
+
+    def collected(self):
+        rows = collect(self)
+        sizes.extend(method_sizes(self))
+        return rows
+
+    monkeypatch.setattr(type(df), "collect", collected)
+    borders = {i: [0.0, 99.5, *(100.0 * k for k in range(1, 4 + i % 5)), 999.0] for i in range(wide) if i != 3}      # not equally many
+    counted = quantiles._count_cells(df, borders)
+    monkeypatch.undo()
+    assert sizes and max(sizes) <= COMPILED
+    for i, edges in borders.items():
+        cells = {}
+        for v in ((j * (2 * i + 1)) % n for j in range(n) if j % (i + 2)):
+            cells.setdefault(sum((v >= b) + (v > b) for b in edges), []).append(v)
+        assert [(r["n"], r["lo"], r["hi"]) for r in counted[i]] == [(len(vs), min(vs), max(vs)) for _, vs in sorted(cells.items())]
+
+
+def test_a_profile_reads_numbers_apart_from_texts(spark, monkeypatch):
+    """A text or a sketch beside them must not take the sums of number columns out of compiled code."""
+    numbers = [F.col("id").alias("a"), (F.col("id") % 7).cast("double").alias("b"), (F.col("id") * 0.5).alias("c"), (F.col("id") % 3).alias("d")]
+    texts = [F.concat(F.lit("x"), F.col("id") % 4).alias("e"), F.concat(F.lit("1.00"), F.col("id") % 5).alias("f"), F.lit(None).cast("string").alias("g")]
+    df = spark.range(300).select(*numbers, *texts)
+    read, first = [], type(df).first
+
+    def seen(self):
+        self.collect()      # ``first`` runs another query, with a limit
+        read.append((self._jdf.queryExecution().optimizedPlan().toString(), method_sizes(self)))
+        return first(self)
+
+    monkeypatch.setattr(type(df), "first", seen)
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    found = {p.column: p for p in profile_columns(df)}
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    monkeypatch.undo()
+    sums = [(plan, sizes) for plan, sizes in read if plan.count("stddev_samp(") >= len(numbers)]
+    assert len(sums) == 1 and "approx_count_distinct" not in sums[0][0] and "RLIKE" not in sums[0][0]
+    assert len(sums[0][1]) == 2 and max(sums[0][1]) <= COMPILED      # before and after the shuffle
+    assert {c: (p.role, p.n, p.n_missing) for c, p in found.items()} == {
+        "a": ("numerico", 300, 0), "b": ("numerico", 300, 0), "c": ("numerico", 300, 0), "d": ("numerico", 300, 0),
+        "e": ("categorica", 300, 0), "f": ("numerico", 300, 0)}
+    assert found["e"].n_distinct == 4 and found["a"].stats["total"] == 44850.0 and found["b"].stats["max"] == 6.0
+
+
 def test_quantiles_ignore_nulls_and_empty_columns(spark):
     df = spark.createDataFrame([(1.0, None), (None, None), (3.0, None)], "a double, b double")
     assert exact_quantiles(df, {"a": F.col("a"), "b": F.col("b")}, (0.5,)) == {"a": [2.0], "b": [None]}
