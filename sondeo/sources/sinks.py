@@ -6,6 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sondeo.session import local_table, union_all
+from sondeo.sources import chain
+
+#: Bytes of a file that a task may hold and hash as one cell.
+WHOLE = 128 << 20
+
 
 def to_report_json(df: DataFrame) -> DataFrame:
     """One JSON document per row."""
@@ -66,6 +72,24 @@ def recorded_runs(spark: SparkSession, folder: str, schema: str | T.StructType,
 
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of every input file, one file at a time per task."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of every input file. Files of up to ``WHOLE`` bytes are a cell each, longer ones are read split by split.
+
+    Longer files are hashed when this is called; see ``chain.long_file_sha256``.
+    """
+    def read(paths: str | list[str]) -> DataFrame:
+        return spark.read.format("binaryFile").load(paths)
+
+    def hashed(files: DataFrame) -> DataFrame:
+        return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+    if not chain.resumable():
+        return hashed(read(path))
+    packed = F.lower("path").rlike(chain.UNPACKED).alias("packed")
+    rows = read(path).where(F.col("length") > WHOLE).select("path", "length", packed).collect()
+    parts = [hashed(read(path).where(F.col("length") <= WHOLE))]
+    if cells := [chain.literal(r["path"]) for r in rows if r["packed"]]:
+        parts.append(hashed(read(cells)))
+    if lengths := {r["path"]: r["length"] for r in rows if not r["packed"]}:
+        found = chain.long_file_sha256(spark, lengths)
+        parts.append(local_table(spark, [(p, lengths[p], found[p]) for p in sorted(lengths)], "path string, length bigint, sha256 string"))
+    return union_all(parts)
