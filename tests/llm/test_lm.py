@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sondeo.llm import lm
+from sondeo.llm import lm, support
 from sondeo.llm.catalogue import QUERIES
 from sondeo.llm.support import fold
 
@@ -111,3 +111,118 @@ def test_learning_follows_the_gradient():
     model.learn(before, classes, noise, 1e-6, np.random.default_rng(1), state)
     for slope, seen in zip(slopes, state):
         assert np.allclose(np.sqrt(seen), np.abs(slope), rtol=0.02, atol=2e-3)
+
+
+def test_every_word_is_learned_not_its_bucket(spark):
+    """Words of one bucket, beyond all frequent ones and used alike, are told apart by the words around them."""
+    rng = np.random.default_rng(3)
+    kinds = [[f"{kind}{i}zz" for i in range(25)] for kind in "pq"]
+    rows = [(i, " ".join(rng.choice(kinds[i % 2], 60)), True) for i in range(400)]
+    rows += [(1000 + i, " ".join([f"common{i}"] * 2000), True) for i in range(lm.WORDS + 5)]
+    pure = [rng.choice(kinds[i % 2], 40) for i in range(40)]
+    mixed = [rng.permutation(np.concatenate([x[half], y[half]])) for x, y in zip(pure[::2], pure[1::2]) for half in (slice(20), slice(20, 40))]
+    rows += [(2000 + 1000 * k + i, " ".join(x), False) for k, some in enumerate((pure, mixed)) for i, x in enumerate(some)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, teaches boolean").coalesce(1)
+    got = lm.score(docs, F.col("teaches")).collect()
+    assert lm.bucket_of(b"p1zz") == lm.bucket_of(b"q24zz")
+    held = [[r for r in got if r["doc_id"] // 1000 == k] for k in (2, 3)]
+    base, score = ([sum(r[c] for r in some) for some in held] for c in ("base_score", "score"))
+    assert base[0] == pytest.approx(base[1]) and score[0] > score[1] + 0.05 * 40 * 40
+
+
+def test_vectors_of_a_word_are_those_of_all_blocks(spark, documents, monkeypatch):
+    """Every word of the training documents has vectors, the same in all blocks that hold it, and nothing else has."""
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 100_000)
+    monkeypatch.setattr(lm, "CHUNK_CHARS", 50_000)
+    monkeypatch.setattr(lm, "SHARD", 2_000)
+    kept, train = {}, lm.train
+
+    def watched(texts, counts, shards):
+        kept.update(texts=texts, counts=counts, shards=shards, made=train(texts, counts, shards))
+        return kept["made"]
+
+    monkeypatch.setattr(lm, "train", watched)
+    docs = documents.select("doc_id", "text", (fold(F.col("doc_id")) != 1).alias("teaches"))
+    lm.score(docs, F.col("teaches")).collect()
+    model, within, back = kept["made"]
+    assert kept["shards"] > 1
+    rows, found = kept["texts"].toArrow(), {}
+    sent_back = {(r["block"], r["shard"]): r["vectors"] for r in back.collect()}
+    assert rows.num_rows > 1
+    for i in range(rows.num_rows):
+        block = lm.Block.read(rows, i)
+        for shard, at in lm.sent(block, kept["shards"]):
+            vectors = lm.unpacked(sent_back.pop((rows.column("block")[i].as_py(), shard)))
+            for word, bucket, total, v in zip(block.words[at], block.classes[at].astype(int) - 1 - lm.WORDS, block.total[at], vectors):
+                assert np.array_equal(found.setdefault(int(word), (bucket, total, v))[2], v)
+    assert not sent_back
+    used = Counter(w for r in docs.collect() if r["teaches"] for w in words(r["text"]))
+    assert len(found) == len(used) - lm.WORDS and all(np.abs(v).max() > 0 for _, _, v in found.values())
+
+    counts = kept["counts"]
+    bucket, total, vectors = (np.array(x) for x in zip(*found.values()))
+    share, unseen = 10 ** counts.within(total, bucket), 10 ** counts.within(np.zeros(lm.BUCKETS), np.arange(lm.BUCKETS))
+    q = model.predicted(np.random.default_rng(1).integers(0, 1 + lm.WORDS + lm.BUCKETS, (500, lm.CONTEXT)))
+    for b in range(0, lm.BUCKETS, 16):
+        tilts = np.exp(np.hstack([q[:, : lm.OWN], np.ones((500, 1))]) @ vectors[bucket == b][:, lm.OWN :].T)
+        off = np.exp(within.log(np.full(500, b), q)) / (tilts @ share[bucket == b] + unseen[b]) - 1
+        assert abs(off.mean()) < 0.02 and np.abs(off).max() < 0.3
+
+
+def test_words_learn_against_the_slope():
+    """A step on the vectors of words moves each against the numerical slope of the loss: true words against their bucket's others."""
+    rng = np.random.default_rng(5)
+    n, places = 12, 30
+    words, buckets = rng.integers(0, n + 1, places), rng.integers(0, 3, places)
+    own = lm.Own(rng.normal(0, 0.3, (n + 1, lm.OWN)), rng.normal(0, 0.3, (n + 1, lm.OWN + 1)))
+    own.context[n], own.target[n] = 0, 0
+    q, target = rng.normal(0, 1, (places, lm.WIDTH)), own.target.copy()
+    groups = [[i for i in range(places) if words[i] != n and buckets[i] == b] for b in range(3)]
+
+    def loss(theta, q):
+        total, odds = 0.0, math.log(lm.OTHERS)
+        for group in groups:
+            for j, i in enumerate(group):
+                tilt = lambda w: theta[w, : lm.OWN] @ q[i, : lm.OWN] + theta[w, lm.OWN]
+                total += np.log1p(np.exp(odds - tilt(words[i])))
+                total += sum(np.log1p(np.exp(tilt(words[group[(j + k) % len(group)]]) - odds)) for k in range(1, lm.OTHERS + 1))
+        return total
+
+    dq = np.zeros((places, lm.WIDTH))
+    own.learn_target(q.astype(np.float32), dq, words, buckets)
+
+    def slope(of, x):
+        out = np.zeros(x.shape)
+        for at in np.ndindex(x.shape):
+            sides = []
+            for move in (1e-4, -1e-4):
+                y = x.copy()
+                y[at] += move
+                sides.append(of(y))
+            out[at] = (sides[0] - sides[1]) / 2e-4
+        return out
+
+    want = slope(lambda t: loss(t, q), target)
+    want[n] = 0
+    assert np.allclose(own.target - target, -lm.OWN_RATE * want / np.sqrt(1 + want ** 2), atol=1e-4)
+    assert np.allclose(dq, slope(lambda x: loss(target, x), q), atol=1e-3)
+    near, distance = rng.integers(0, n + 1, (places, lm.CONTEXT)), rng.normal(0, 1, (lm.CONTEXT, lm.WIDTH))
+    before, grad = own.context.copy(), np.zeros_like(own.context)
+    own.learn_context(near, dq, distance)
+    for i, k in np.ndindex(near.shape):
+        if near[i, k] != n:
+            grad[near[i, k]] += dq[i, : lm.OWN] * distance[k, : lm.OWN]
+    assert np.allclose(own.context - before, -lm.OWN_RATE * grad / np.sqrt(1 + grad ** 2), atol=1e-4)
+
+
+def test_stores_go_when_they_are_read_no_more(spark, tmp_path, monkeypatch):
+    folder, name = tmp_path / "a b", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folder.mkdir()
+    monkeypatch.setattr(support, "shared_folder", lambda spark: str(folder))
+    kept, gone, empty = (support.stored(spark.range(n)) for n in (5, 6, 0))
+    support.freed(gone, empty)
+    assert kept.count() == 5 and len(list(folder.iterdir())) == 1
+    was = spark.conf.get(name, None)
+    with support.shuffles_freed(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name, None) == was
